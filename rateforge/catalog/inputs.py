@@ -52,13 +52,11 @@ def _weight(model: int, k: int, rid: str, y: str) -> str:
     )
 
 
-def prediction_columns(model: int, rid: str = "row_id", y: str = "y_true") -> dict[str, str]:
-    """p1..p5 of one model: integer weights normalised to one."""
-    total = " + ".join(_weight(model, k, rid, y) for k in CLASSES)
-    return {
-        f"p{k}": f"CAST({_weight(model, k, rid, y)} AS DOUBLE) / CAST({total} AS DOUBLE)"
-        for k in CLASSES
-    }
+def _weights(model: int) -> list[str]:
+    return [f"{_weight(model, k, 'row_id', 'y_true')} AS w{k}" for k in CLASSES]
+
+
+_SHARES = [f"CAST(w{k} AS DOUBLE) / CAST(w1 + w2 + w3 + w4 + w5 AS DOUBLE) AS p{k}" for k in CLASSES]
 
 
 def argmax_sql(prefix: str = "p") -> str:
@@ -68,10 +66,10 @@ def argmax_sql(prefix: str = "p") -> str:
 
 
 def predictions_sql(model: int, source: str) -> str:
-    """Predictions of one model over a (row_id, y_true, ...) source."""
-    cells = ", ".join(f"{v} AS {k}" for k, v in prediction_columns(model).items())
+    """Predictions of one model over a (row_id, y_true, ...) source: p1..p5 and y_pred."""
     return (
-        f"SELECT *, {argmax_sql()} AS y_pred FROM (SELECT s.*, {cells} FROM ({source}) s) t"
+        f"SELECT *, {argmax_sql()} AS y_pred FROM (SELECT * EXCLUDE (w1, w2, w3, w4, w5), {', '.join(_SHARES)} "
+        f"FROM (SELECT s.*, {', '.join(_weights(model))} FROM ({source}) s) w) t"
     )
 
 
@@ -86,8 +84,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with at least as many scan partitions as cores.
+
+    A single-row-group file is read by one task; the exchange is only added then, so a
+    table of many files keeps its scan partitioning.
+    """
+    df = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return texts(spark, sf).selectExpr(
         *[f"{v} AS {k}" for k, v in REVIEW_COLUMNS.items()]
     )
 
@@ -103,8 +112,10 @@ def review_truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(df: DataFrame, model: int) -> DataFrame:
-    cells = [f"{v} AS {k}" for k, v in prediction_columns(model).items()]
-    return df.selectExpr("*", *cells).selectExpr("*", f"{argmax_sql()} AS y_pred")
+    """Spark form of ``predictions_sql``; the class with the largest weight has the
+    largest share, so the prediction is read off the integers."""
+    weighted = df.selectExpr("*", *_weights(model))
+    return weighted.selectExpr(*df.columns, *_SHARES, f"{argmax_sql('w')} AS y_pred")
 
 
 # SQL building blocks shared by the twins.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CLASSES = (1, 2, 3, 4, 5)
 PROB_COLS = tuple(f"p{c}" for c in CLASSES)
@@ -37,16 +37,25 @@ def log_prob(p: Column) -> Column:
     return F.ln(F.least(F.greatest(p, F.lit(EPS)), F.lit(1.0)))
 
 
-def temper(probs: list[Column], temperature) -> list[Column]:
-    """softmax(ln p / T), shifted by the row maximum; T is a number or a Column."""
-    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    z = [log_prob(p) / t for p in probs]
-    top = F.greatest(*z)
-    e = [F.exp(x - top) for x in z]
-    total = e[0]
-    for x in e[1:]:
-        total = total + x
-    return [x / total for x in e]
+def log_prob_sql(column: str) -> str:
+    return f"ln(least(greatest({column}, {EPS}D), 1D))"
+
+
+def with_tempered(df: DataFrame, temperature, source: str = "p", out: str = "p") -> DataFrame:
+    """Set out1..out5 to softmax(ln p / T), shifted by the row maximum.
+
+    T is a number or the name of a column.  The steps are separate projections, so each
+    logarithm and exponential is written once in the generated code.
+    """
+    t = f"`{temperature}`" if isinstance(temperature, str) else f"{float(temperature)!r}D"
+    keep = [f"`{c}`" for c in df.columns if c not in {f"{out}{k}" for k in CLASSES}]
+    z = [f"{log_prob_sql(f'{source}{c}')} / {t} AS _z{c}" for c in CLASSES]
+    step = df.selectExpr("*", *z).selectExpr(
+        *keep, *[f"_z{c}" for c in CLASSES], "greatest(_z1, _z2, _z3, _z4, _z5) AS _top"
+    )
+    step = step.selectExpr(*keep, *[f"exp(_z{c} - _top) AS _e{c}" for c in CLASSES])
+    total = " + ".join(f"_e{c}" for c in CLASSES)
+    return step.selectExpr(*keep, *[f"_e{c} / ({total}) AS {out}{c}" for c in CLASSES])
 
 
 def prob_of_class(probs: list[Column], y: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashing import seeded_hash
 from ..plans.ranking import bucket_offsets, with_hash
-from .metrics import macro_f1
+from .metrics import count_cells, macro_f1
 
 BLOCK_GROUPS = 20_000
 
@@ -18,23 +18,15 @@ def group_cells(df: DataFrame, models: dict[str, str], group: str) -> DataFrame:
 
     Hot groups collapse in the map-side part of the aggregate.
     """
-    cells = [
-        F.count_if((F.col("y_true") - 1) * 5 + F.col(p) - 1 == i).alias(f"{m}_{i}")
-        for m, p in models.items()
-        for i in range(25)
-    ]
+    cells = [c for m, p in models.items() for c in count_cells(p=p, name=f"{m}_")]
     return df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(*cells)
 
 
-def _cells(model: str) -> list:
-    return [F.col(f"{model}_{i}") for i in range(25)]
-
-
 def _scores(sums: DataFrame, models, pairs, keep=()) -> DataFrame:
     """macro-F1 of each model and differences a - b, from summed cells."""
-    single = sums.select(*keep, *[macro_f1(_cells(m)).alias(m) for m in models])
-    return single.select(
-        *keep, *models, *[(F.col(a) - F.col(b)).alias(f"{a} - {b}") for a, b in pairs]
+    single = sums.select(*keep, *[macro_f1(f"{m}_").alias(m) for m in models])
+    return single.selectExpr(
+        *keep, *[f"`{m}`" for m in models], *[f"`{a}` - `{b}` AS `{a} - {b}`" for a, b in pairs]
     )
 
 
@@ -58,7 +50,7 @@ def block_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame:
         sizes[r["block"]] = r["n"]
     weights = sizes / max(sizes.sum(), 1.0)
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(key[0])
         cells = pdf.sort_values("group")[names].to_numpy(dtype=np.float64)
         out = np.empty((n_boot, len(names)))
@@ -72,7 +64,7 @@ def block_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame:
 
     schema = "rep int, " + ", ".join(f"`{c}` double" for c in names)
     parts = blocked.groupBy("block").applyInPandas(draw, schema)
-    return parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names])
+    return parts.groupBy("rep").agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in names])
 
 
 def hashed_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame:
@@ -85,8 +77,6 @@ def hashed_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame
     n_groups = groups.count()
     names = [f"{m}_{i}" for m in models for i in range(25)]
     keyed = with_hash(groups, ["group"], seed)
-    from pyspark.sql import Window as W
-
     inside = W.partitionBy("_b").orderBy("_h", "group")
     placed = keyed.join(bucket_offsets(keyed, []), "_b").withColumn(
         "pos", F.col("_before") + F.row_number().over(inside) - 1
@@ -98,7 +88,7 @@ def hashed_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame
     return (
         weights.join(placed.select("pos", *names), "pos")
         .groupBy("rep")
-        .agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in names])
+        .agg(*[F.expr(f"sum(`{c}` * w) AS `{c}`") for c in names])
     )
 
 
@@ -114,7 +104,8 @@ def cluster_bootstrap(
     groups = group_cells(df, models, group)
     names = [f"{m}_{i}" for m in models for i in range(25)]
     labels = [*models, *[f"{a} - {b}" for a, b in pairs]]
-    point = _scores(groups.agg(*[F.sum(c).alias(c) for c in names]), models, pairs)
+    total = groups.agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in names])
+    point = _scores(total, models, pairs)
     reps = _scores(draws(groups, models, n_boot, seed), models, pairs, ["rep"])
 
     def long(table: DataFrame, keep: list[str]) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bins import CONF_EDGES, bin_index
 from ..functions.probs import (
-    CLASSES, PROB_COLS, confidence, log_prob, predicted_class, prob_of_class, row_brier,
-    row_log_loss, temper,
+    CLASSES, PROB_COLS, confidence, log_prob_sql, predicted_class, row_brier, row_log_loss,
+    with_tempered,
 )
 
 LOW_T, HIGH_T = 0.05, 20.0
@@ -21,7 +21,7 @@ def _probs() -> list[Column]:
 
 def apply_temperature(df: DataFrame, temperature) -> DataFrame:
     """Replace p1..p5 by softmax(ln p / T)."""
-    return df.withColumns(dict(zip(PROB_COLS, temper(_probs(), temperature))))
+    return with_tempered(df, temperature)
 
 
 def log_loss(df: DataFrame, y: str = "y_true") -> DataFrame:
@@ -33,32 +33,28 @@ def brier(df: DataFrame, y: str = "y_true") -> DataFrame:
 
 
 def _log_columns(df: DataFrame, y: str) -> DataFrame:
-    """Log-probabilities z1..z5 and that of the true class: all a fit needs."""
-    z = df.select(F.col(y).alias("y"), *[log_prob(F.col(f"p{c}")).alias(f"z{c}") for c in CLASSES])
-    return z.withColumn("zy", prob_of_class([F.col(f"z{c}") for c in CLASSES], F.col("y")))
+    """Log-probabilities d1..d5 and dy of the true class, shifted so that the largest is 0.
 
-
-def _log_sum(inverse: float) -> tuple[Column, list[Column]]:
-    z = [F.col(f"z{c}") * F.lit(inverse) for c in CLASSES]
-    top = F.greatest(*z)
-    e = [F.exp(x - top) for x in z]
-    return top, e
+    The shift scales with 1/T like the logarithms themselves, so it cancels in the loss
+    and keeps every exponential at most 1.
+    """
+    z = df.selectExpr(f"`{y}` AS y", *[f"{log_prob_sql(f'p{c}')} AS z{c}" for c in CLASSES])
+    top = z.selectExpr(
+        "*", "greatest(z1, z2, z3, z4, z5) AS top",
+        f"CASE {' '.join(f'WHEN y = {c} THEN z{c}' for c in CLASSES)} END AS zy",
+    )
+    return top.selectExpr(*[f"z{c} - top AS d{c}" for c in CLASSES], "zy - top AS dy")
 
 
 def temperature_grid(df: DataFrame, grid: list[float], y: str = "y_true") -> DataFrame:
     """Log-loss at every temperature of a fixed grid, in one pass over the rows."""
-    logs = _log_columns(df, y)
     losses = []
     for i, t in enumerate(grid):
-        top, e = _log_sum(1.0 / t)
-        loss = top + F.ln(sum(e[1:], e[0])) - F.col("zy") * F.lit(1.0 / t)
-        losses.append(F.avg(loss).alias(f"l{i}"))
-    wide = logs.agg(*losses)
-    cells = [
-        F.struct(F.lit(t).alias("temperature"), F.col(f"l{i}").alias("log_loss"))
-        for i, t in enumerate(grid)
-    ]
-    return wide.select(F.inline(F.array(*cells)))
+        b = f"{1.0 / t!r}D"
+        total = " + ".join(f"exp(d{c} * {b})" for c in CLASSES)
+        losses.append(F.expr(f"avg(ln({total}) - dy * {b}) AS l{i}"))
+    cells = [f"struct({float(t)!r}D AS temperature, l{i} AS log_loss)" for i, t in enumerate(grid)]
+    return _log_columns(df, y).agg(*losses).selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def best_of_grid(df: DataFrame, grid: list[float], y: str = "y_true") -> DataFrame:
@@ -74,23 +70,19 @@ def fit_temperature(
     The loss is convex in 1/T, so Newton steps kept inside a bracket converge in a
     handful of passes.  Each pass is one aggregate over a cached six-column projection.
     """
-    logs = _log_columns(df, y).drop("y").persist()
+    logs = _log_columns(df, y).persist()
 
     def slopes(inverse: float) -> tuple[float, float]:
-        _, e = _log_sum(inverse)
-        cols = logs.select(*[x.alias(f"e{c}") for x, c in zip(e, CLASSES)], "zy",
-                           *[f"z{c}" for c in CLASSES])
-        total = sum((F.col(f"e{c}") for c in CLASSES[1:]), F.col("e1"))
-        m1 = sum((F.col(f"e{c}") * F.col(f"z{c}") for c in CLASSES[1:]), F.col("e1") * F.col("z1"))
-        m2 = sum(
-            (F.col(f"e{c}") * F.col(f"z{c}") * F.col(f"z{c}") for c in CLASSES[1:]),
-            F.col("e1") * F.col("z1") * F.col("z1"),
+        e = logs.selectExpr(
+            "*", *[f"exp(d{c} * {inverse!r}D) AS e{c}" for c in CLASSES]
+        )
+        total = " + ".join(f"e{c}" for c in CLASSES)
+        first = " + ".join(f"e{c} * d{c}" for c in CLASSES)
+        second = " + ".join(f"e{c} * d{c} * d{c}" for c in CLASSES)
+        moments = e.selectExpr(
+            "dy", f"({first}) / ({total}) AS mean", f"({second}) / ({total}) AS square"
         )
-        moments = cols.select("zy", (m1 / total).alias("mean"), (m2 / total).alias("square"))
-        row = moments.agg(
-            F.avg(F.col("mean") - F.col("zy")).alias("first"),
-            F.avg(F.col("square") - F.col("mean") * F.col("mean")).alias("second"),
-        ).first()
+        row = moments.selectExpr("avg(mean - dy) AS first", "avg(square - mean * mean) AS second").first()
         return row["first"] or 0.0, row["second"] or 0.0
 
     low, high, at = 1.0 / HIGH_T, 1.0 / LOW_T, 1.0
@@ -149,10 +141,7 @@ def calibration_table(df: DataFrame, temperatures: dict[str, float]) -> DataFram
     t = F.when(F.lit(False), F.lit(0.0))
     for model, value in temperatures.items():
         t = t.when(F.col("model") == model, F.lit(float(value)))
-    rows = df.withColumn("t", t)
-    scaled = rows.withColumns(
-        {f"q{c}": q for c, q in zip(CLASSES, temper(_probs(), F.col("t")))}
-    )
+    scaled = with_tempered(df.withColumn("t", t), "t", out="q")
     moved = scaled.groupBy("model", "split").agg(
         F.count_if(
             predicted_class(_probs()) != predicted_class([F.col(f"q{c}") for c in CLASSES])

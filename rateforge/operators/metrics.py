@@ -32,65 +32,69 @@ def confusion_counts(
     )
 
 
-def count_cells(y: Column, p: Column, n: Column | None = None) -> list[Column]:
-    """25 aggregates: rows with truth i and prediction j, in row-major order."""
-    weight = F.lit(1) if n is None else n
-    cell = (y - 1) * 5 + (p - 1)
+def count_cells(y: str = "y_true", p: str = "y_pred", n: str = "1", name: str = "c") -> list[Column]:
+    """25 aggregates: rows with truth i and prediction j, in row-major order.
+
+    The expressions are generated as SQL text: one parse each instead of a chain of
+    driver calls.
+    """
     return [
-        F.coalesce(F.sum(F.when(cell == i, weight)), F.lit(0)).alias(f"c{i}") for i in range(25)
+        F.expr(f"coalesce(sum(CASE WHEN ({y} - 1) * 5 + {p} - 1 = {i} THEN {n} END), 0L) AS `{name}{i}`")
+        for i in range(25)
     ]
 
 
-def class_f1(cells: list[Column]) -> tuple[list[Column], list[Column]]:
-    """Per class: F1 (0 when undefined) and its denominator, from 25 cells."""
+def _sum_of(cells: list[str]) -> str:
+    return " + ".join(f"`{c}`" for c in cells)
+
+
+def class_f1(name: str = "c") -> tuple[list[str], list[str]]:
+    """Per class: F1 (0 when undefined) and its denominator, as SQL over 25 cells."""
     f1, denominators = [], []
     for c in range(5):
-        tp = cells[c * 5 + c]
-        actual = sum((cells[c * 5 + j] for j in range(1, 5)), cells[c * 5])
-        said = sum((cells[i * 5 + c] for i in range(1, 5)), cells[c])
-        d = (actual + said).cast("double")
+        actual = _sum_of([f"{name}{c * 5 + j}" for j in range(5)])
+        said = _sum_of([f"{name}{i * 5 + c}" for i in range(5)])
+        d = f"CAST({actual} + {said} AS DOUBLE)"
         denominators.append(d)
-        f1.append(F.coalesce(F.try_divide(2 * tp.cast("double"), d), F.lit(0.0)))
+        f1.append(f"coalesce(try_divide(2D * `{name}{c * 6}`, {d}), 0D)")
     return f1, denominators
 
 
-def macro_f1(cells: list[Column], present_only: bool = False) -> Column:
+def macro_f1(name: str = "c", present_only: bool = False) -> Column:
     """Mean F1 over all five classes, or over those seen in truth or prediction."""
-    f1, d = class_f1(cells)
-    total = sum(f1[1:], f1[0])
+    f1, d = class_f1(name)
+    total = " + ".join(f1)
     if not present_only:
-        return total / F.lit(5.0)
-    seen = sum(((x > 0).cast("int") for x in d[1:]), (d[0] > 0).cast("int"))
-    return F.try_divide(total, seen.cast("double"))
+        return F.expr(f"({total}) / 5D")
+    seen = " + ".join(f"CAST({x} > 0 AS INT)" for x in d)
+    return F.expr(f"try_divide({total}, CAST({seen} AS DOUBLE))")
 
 
 def metrics(df: DataFrame, by: list[str] = (), y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """macro-F1, accuracy, MAE, quadratic kappa and per-class F1 for every group."""
-    counts = confusion_counts(df, list(by), y, p)
-    n, yt, yp = F.col("n"), F.col("y_true"), F.col("y_pred")
-    sums = counts.groupBy(*by).agg(
-        *count_cells(yt, yp, n),
-        F.sum("n").alias("n"),
-        F.sum(F.when(yt == yp, n).otherwise(0)).alias("hits"),
-        F.sum(n * F.abs(yt - yp)).alias("abs_error"),
-        F.sum(n * (yt - yp) * (yt - yp)).alias("sq_error"),
-        F.sum(n * yt).alias("sy"), F.sum(n * yp).alias("sp"),
-        F.sum(n * yt * yt).alias("syy"), F.sum(n * yp * yp).alias("spp"),
+    """macro-F1, accuracy, MAE, quadratic kappa and per-class F1 for every group.
+
+    The expected squared distance in kappa follows from the moments of the two margins.
+    """
+    by = list(by)
+    sums = confusion_counts(df, by, y, p).groupBy(*by).agg(
+        *count_cells(n="n"),
+        *[F.expr(e) for e in (
+            "sum(n) AS n", "sum(IF(y_true = y_pred, n, 0L)) AS hits",
+            "sum(n * abs(y_true - y_pred)) AS abs_error",
+            "sum(n * (y_true - y_pred) * (y_true - y_pred)) AS sq_error",
+            "sum(n * y_true) AS sy", "sum(n * y_pred) AS sp",
+            "sum(n * y_true * y_true) AS syy", "sum(n * y_pred * y_pred) AS spp",
+        )],
     )
-    f1, _ = class_f1([F.col(f"c{i}") for i in range(25)])
-    total = F.col("n").cast("double")
-    # Expected squared distance under independence, by moments of the two margins.
-    chance = (F.col("syy") + F.col("spp")).cast("double") - F.lit(2.0) * F.col("sy").cast(
-        "double"
-    ) * F.col("sp").cast("double") / total
-    kappa = F.lit(1.0) - F.try_divide(F.col("sq_error").cast("double"), chance)
-    return sums.select(
+    f1, _ = class_f1()
+    chance = "(CAST(syy + spp AS DOUBLE) - 2D * sy * sp / n)"
+    return sums.selectExpr(
         *by, "n",
-        (sum(f1[1:], f1[0]) / F.lit(5.0)).alias("macro_f1"),
-        (F.col("hits").cast("double") / total).alias("accuracy"),
-        (F.col("abs_error").cast("double") / total).alias("mae"),
-        F.coalesce(kappa, F.lit(0.0)).alias("qwk"),
-        *[f.alias(f"f1_{c}") for c, f in zip(CLASSES, f1)],
+        f"({' + '.join(f1)}) / 5D AS macro_f1",
+        "CAST(hits AS DOUBLE) / n AS accuracy",
+        "CAST(abs_error AS DOUBLE) / n AS mae",
+        f"coalesce(1D - try_divide(CAST(sq_error AS DOUBLE), {chance}), 0D) AS qwk",
+        *[f"{f} AS f1_{c}" for c, f in zip(CLASSES, f1)],
     )
 
 
@@ -98,7 +102,7 @@ def confusion_matrix(
     df: DataFrame, y: str = "y_true", p: str = "y_pred", normalize: bool = False
 ) -> DataFrame:
     """5x5 table over all classes, as counts or as shares of the true class."""
-    cells = df.agg(*count_cells(F.col(y), F.col(p)))
+    cells = df.agg(*count_cells(y, p))
     rows = [
         F.struct(
             F.lit(c).alias("truth"),
@@ -118,18 +122,14 @@ def confusion_matrix(
 
 def per_class_table(long: DataFrame) -> DataFrame:
     """Rows, recall, precision and F1 per (model, class); denominators are at least 1."""
-    n = F.col("n")
     counts = confusion_counts(long, ["model"])
-    stats = counts.groupBy("model").agg(*count_cells(F.col("y_true"), F.col("y_pred"), n))
+    stats = counts.groupBy("model").agg(*count_cells(n="n"))
     entries = []
     for i, c in enumerate(CLASSES):
-        actual = sum((F.col(f"c{i * 5 + j}") for j in range(1, 5)), F.col(f"c{i * 5}"))
-        said = sum((F.col(f"c{j * 5 + i}") for j in range(1, 5)), F.col(f"c{i}"))
-        entries.append(
-            F.struct(F.lit(c).alias("class"), actual.alias("n"), said.alias("said"),
-                     F.col(f"c{i * 6}").alias("tp"))
-        )
-    table = stats.select("model", F.inline(F.array(*entries)))
+        actual = _sum_of([f"c{i * 5 + j}" for j in range(5)])
+        said = _sum_of([f"c{j * 5 + i}" for j in range(5)])
+        entries.append(f"struct({c} AS class, {actual} AS n, {said} AS said, c{i * 6} AS tp)")
+    table = stats.selectExpr("model", f"inline(array({', '.join(entries)}))")
 
     def ratio(a, b):
         return F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1)).cast("double")
@@ -179,15 +179,14 @@ def slice_table(
     long = combos.select("y_true", "w", F.inline(F.array(*cells))).where(
         F.col("value").isNotNull()
     )
-    y, p, w = F.col("y_true"), F.col("y_pred"), F.col("w")
     stats = long.groupBy("slice", "value", "model").agg(
-        *count_cells(y, p, w), F.sum("w").alias("n"),
-        F.sum(F.when(y == p, w).otherwise(0)).alias("hits"),
-        F.sum(w * F.abs(y - p)).alias("abs_error"),
+        *count_cells(n="w"), F.sum("w").alias("n"),
+        F.expr("sum(IF(y_true = y_pred, w, 0L)) AS hits"),
+        F.expr("sum(w * abs(y_true - y_pred)) AS abs_error"),
     )
     total = df.agg(F.count(F.lit(1))).scalar().cast("double")
     n = F.col("n").cast("double")
-    f1 = macro_f1([F.col(f"c{i}") for i in range(25)], present_only=True)
+    f1 = macro_f1(present_only=True)
     return stats.select(
         "slice", "value", "model", "n", (n / total).alias("share"),
         (F.col("hits").cast("double") / n).alias("accuracy"),
@@ -198,9 +197,8 @@ def slice_table(
 
 def reliability_table(long: DataFrame) -> DataFrame:
     """Per model and confidence bin: rows, mean confidence, accuracy."""
-    binned = long.withColumn("bin", bin_index(F.col("conf"), CONF_EDGES)).where(
-        F.col("bin").isNotNull()
-    )
+    inside = (F.col("conf") >= CONF_EDGES[0]) & (F.col("conf") < CONF_EDGES[-1])
+    binned = long.where(inside).withColumn("bin", bin_index(F.col("conf"), CONF_EDGES))
     return (
         binned.groupBy("model", "bin")
         .agg(
