@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, review_queries, split_queries  # noqa: F401
+from . import evaluation_queries, model_queries, review_queries, split_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

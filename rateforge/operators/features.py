@@ -32,43 +32,62 @@ CHAR_TFIDF = TfidfConfig("char", 2, 5, 5, 500_000)
 VARIANTS = {"word": (WORD_TFIDF,), "char": (CHAR_TFIDF,), "word+char": (WORD_TFIDF, CHAR_TFIDF)}
 
 
-def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
-    """Word n-grams of all sizes in [low, high], joined by one space."""
-    words = long_words(text)
-    sizes = []
-    for n in range(low, high + 1):
+def word_ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
+    """Word n-grams of all sizes in [low, high], joined by one space.
+
+    ``words`` must be a stored column: it is read inside a lambda, once per n-gram.
+    """
+    def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        sizes.append(
-            words if n == 1 else F.when(F.size(words) >= n, grams).otherwise(F.array())
-        )
-    return F.concat(*sizes) if len(sizes) > 1 else sizes[0]
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return words if n == 1 else F.when(F.size(words) >= n, joined).otherwise(F.array())
+
+    return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
-def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
+def char_words(text: Column) -> Column:
+    """Lower-cased whitespace-separated words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{tx.NOT_WS}+"), F.lit(0))
+
+
+def char_ngrams(words: Column, low: int = 2, high: int = 5) -> Column:
     """Character n-grams inside words padded by one space on each side.
 
     A size longer than the padded word adds the whole word once, and only if no
     smaller size already covered it whole.
     """
-    words = F.filter(F.split(tx.squeeze(F.lower(text)), " "), lambda w: w != "")
-
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         size = F.length(padded)
-        blocks = []
-        for n in range(low, high + 1):
+
+        def block(n: int) -> Column:
             starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-            block = F.transform(starts, lambda i, n=n: F.substring(padded, i, F.lit(n)))
-            blocks.append(block if n == low else F.when(size >= n, block).otherwise(F.array()))
-        return F.concat(*blocks) if len(blocks) > 1 else blocks[0]
+            cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+            return cut if n == low else F.when(size >= n, cut).otherwise(F.array())
+
+        return F.concat(*[block(n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words, grams))
 
 
-def ngrams(text: Column, config: TfidfConfig) -> Column:
-    build = word_ngrams if config.analyzer == "word" else char_ngrams
-    return build(text, config.low, config.high)
+def with_ngrams(df: DataFrame, config: TfidfConfig, out: str) -> DataFrame:
+    """Add the n-grams of ``text``; words are split in a projection of their own."""
+    split, build = (
+        (long_words, word_ngrams) if config.analyzer == "word" else (char_words, char_ngrams)
+    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    step = df.withColumn(f"_{out}_words", split(text))
+    return step.withColumn(out, build(F.col(f"_{out}_words"), config.low, config.high)).drop(
+        f"_{out}_words"
+    )
+
+
+def _term_rows(df: DataFrame, config: TfidfConfig) -> DataFrame:
+    """(row_id, term), one row per occurrence."""
+    grams = with_ngrams(df.select("row_id", "text"), config, "terms")
+    return grams.select("row_id", F.explode_outer("terms").alias("term")).where(
+        F.col("term").isNotNull()
+    )
 
 
 @F.udf(VectorUDT())
@@ -87,7 +106,7 @@ class TfidfModel:
     def transform(self, df: DataFrame, out: str) -> DataFrame:
         """Row-local: the vocabulary travels to the tasks, the rows are not shuffled."""
         terms, raw, tf, scaled = f"_{out}_t", f"_{out}_c", f"_{out}_s", f"_{out}_w"
-        step = df.withColumn(terms, ngrams(F.col("text"), self.config))
+        step = with_ngrams(df, self.config, terms)
         step = self.counts.copy({self.counts.inputCol: terms, self.counts.outputCol: raw}).transform(step)
         step = step.withColumn(tf, _sublinear(raw))
         product = ElementwiseProduct(
@@ -103,7 +122,7 @@ def fit_tfidf(df: DataFrame, config: TfidfConfig) -> TfidfModel:
     The vocabulary is bounded by ``max_features``, which is what makes it safe to hold
     on the driver and to ship to the tasks.
     """
-    terms = df.select(ngrams(F.col("text"), config).alias("terms"))
+    terms = with_ngrams(df.select("text"), config, "terms").select("terms")
     counts = CountVectorizer(
         inputCol="terms", outputCol="tf", minDF=float(config.min_df), vocabSize=config.max_features
     ).fit(terms)
@@ -129,8 +148,7 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     Used to inspect or export features; counts are combined map-side before each
     shuffle and the vocabulary keeps at most ``max_features`` terms.
     """
-    terms = df.select("row_id", F.explode(ngrams(F.col("text"), config)).alias("term"))
-    tf = terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _term_rows(df, config).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = (
         tf.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -151,8 +169,7 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
 
 def document_frequencies(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """(term, df, cf, idf) of the terms above the document floor."""
-    terms = df.select("row_id", F.explode(ngrams(F.col("text"), config)).alias("term"))
-    tf = terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _term_rows(df, config).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")
     return (
         tf.groupBy("term")

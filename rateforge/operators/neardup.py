@@ -50,7 +50,7 @@ def band_keys(sets: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
     """
     perms = range(bands * rows_per_band)
     signed = (
-        sets.select(*SET, "id", F.explode("hs").alias("h"))
+        sets.select(*SET, "id", F.explode_outer("hs").alias("h"))
         .groupBy(*SET)
         .agg(F.min("id").alias("id"), *[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}")
                                         for i in perms])
@@ -174,12 +174,11 @@ def near_duplicate_examples(
     hits = flags.where(F.col("has_dup"))
     early = top_n(hits, free, *order)
     steady = top_n(hits.where(~F.col("short")), n, *order)
-    chosen = top_n(early.unionByName(steady).distinct(), n, *order)
+    chosen = cut(top_n(early.unionByName(steady).distinct(), n, *order))
 
     texts = df.join(F.broadcast(chosen.select("row_id")), "row_id", "left_semi")
-    asked = shingle_sets(texts, ["row_id"]).withColumnRenamed("row_id", "id")
-    train = shingle_sets(df.where(F.col("split") == "train"), ["row_id"])
-    sets = distinct_sets(train)
+    asked = cut(shingle_sets(texts, ["row_id"]).withColumnRenamed("row_id", "id"))
+    sets = cut(distinct_sets(shingle_sets(df.where(F.col("split") == "train"), ["row_id"])))
     # At most n looked-up rows: their postings are the small side of the band join.
     small = band_keys(asked, bands, rows_per_band).withColumnRenamed("id", "q")
     pairs = band_keys(sets, bands, rows_per_band).join(F.broadcast(small), "band")

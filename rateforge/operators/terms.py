@@ -29,9 +29,12 @@ def term_log_odds(
     """
     rows = df.where(F.col("text").isNotNull() & F.col(label).isNotNull())
     rows = rows if n_sample is None else sample(rows, n_sample, seed)
+    # The outer form: a plain explode makes the optimizer add a size test that would
+    # run the tokenizer twice.
     terms = rows.select(
-        F.col(label).alias("y"), F.explode(F.array_distinct(long_words(F.col("text")))).alias("term")
-    )
+        F.col(label).alias("y"),
+        F.explode_outer(F.array_distinct(long_words(F.col("text")))).alias("term"),
+    ).where(F.col("term").isNotNull())
     counts = terms.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),
         F.count_if(F.col("y") == a).alias("in_a"),
