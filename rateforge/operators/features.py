@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.ml.feature import (
     CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, VectorAssembler,
 )
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
 from .terms import long_words
@@ -82,17 +83,35 @@ def with_ngrams(df: DataFrame, config: TfidfConfig, out: str) -> DataFrame:
     )
 
 
-def _term_rows(df: DataFrame, config: TfidfConfig) -> DataFrame:
-    """(row_id, term), one row per occurrence."""
-    grams = with_ngrams(df.select("row_id", "text"), config, "terms")
-    return grams.select("row_id", F.explode_outer("terms").alias("term")).where(
+def _term_counts(df: DataFrame, config: TfidfConfig) -> DataFrame:
+    """(row_id, term, tf).
+
+    The texts are partitioned by row before they are taken apart, so counting per row
+    and term shuffles each text once and never the much larger n-grams.
+    """
+    grams = with_ngrams(df.select("row_id", "text").repartition("row_id"), config, "terms")
+    rows = grams.select("row_id", F.explode_outer("terms").alias("term")).where(
         F.col("term").isNotNull()
     )
+    return rows.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
+# A vector column rebuilt from its parts: JSON is the one built-in route back into the
+# vector type that stays inside the JVM.
+_VECTOR_ROW = StructType([StructField("v", VectorUDT())])
 
-@F.udf(VectorUDT())
-def _sublinear(v: SparseVector) -> SparseVector:
-    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
+
+def sublinear(vector: Column) -> Column:
+    """Replace every stored count of a sparse vector by 1 + ln(count)."""
+    parts = F.unwrap_udt(vector)
+    damped = F.transform(parts["values"], lambda x: F.lit(1.0) + F.ln(x))
+    row = F.struct(
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"), parts["size"].alias("size"),
+            parts["indices"].alias("indices"), damped.alias("values"),
+        ).alias("v")
+    )
+    return F.from_json(F.to_json(row), _VECTOR_ROW)["v"]
 
 
 @dataclass
@@ -108,7 +127,7 @@ class TfidfModel:
         terms, raw, tf, scaled = f"_{out}_t", f"_{out}_c", f"_{out}_s", f"_{out}_w"
         step = with_ngrams(df, self.config, terms)
         step = self.counts.copy({self.counts.inputCol: terms, self.counts.outputCol: raw}).transform(step)
-        step = step.withColumn(tf, _sublinear(raw))
+        step = step.withColumn(tf, sublinear(F.col(raw)))
         product = ElementwiseProduct(
             scalingVec=Vectors.dense(self.weights), inputCol=tf, outputCol=scaled
         )
@@ -145,10 +164,10 @@ def add_features(df: DataFrame, blocks: list[TfidfModel], out: str = "features")
 def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """Long form of the same weights: (row_id, term, weight).
 
-    Used to inspect or export features; counts are combined map-side before each
-    shuffle and the vocabulary keeps at most ``max_features`` terms.
+    Used to inspect or export features; the vocabulary keeps at most ``max_features``
+    terms.
     """
-    tf = _term_rows(df, config).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _term_counts(df, config)
     vocabulary = (
         tf.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -158,7 +177,9 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     )
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")
     idf = F.ln((n + 1.0) / (F.col("df") + 1).cast("double")) + 1.0
-    raw = tf.join(vocabulary.select("term", idf.alias("idf")), "term").select(
+    # The vocabulary holds at most max_features terms, which bounds the broadcast.
+    known = F.broadcast(vocabulary.select("term", idf.alias("idf")))
+    raw = tf.join(known, "term").select(
         "row_id", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
     )
     norms = raw.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -169,7 +190,7 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
 
 def document_frequencies(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """(term, df, cf, idf) of the terms above the document floor."""
-    tf = _term_rows(df, config).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _term_counts(df, config)
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")
     return (
         tf.groupBy("term")
