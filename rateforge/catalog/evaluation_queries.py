@@ -25,9 +25,8 @@ def two_models(spark, sf) -> DataFrame:
     for name, seed in MODELS.items():
         short = {"baseline": "base", "transformer": "tr"}[name]
         scored = predictions(base.select("row_id", "y_true", "grp"), seed)
-        p = [F.col(c) for c in probs.PROB_COLS]
         cols = scored.select("row_id", F.col("y_pred").alias(f"pred_{short}"),
-                             probs.confidence(p).alias(f"conf_{short}"))
+                             F.col("conf").alias(f"conf_{short}"))
         base = base.join(cols, "row_id")
     return base
 
@@ -35,11 +34,9 @@ def two_models(spark, sf) -> DataFrame:
 def stacked(spark, sf) -> DataFrame:
     """(model, row_id, y_true, grp, p1..p5, y_pred, conf) for both models."""
     rows = rated_orders(spark, sf)
-    p = [F.col(c) for c in probs.PROB_COLS]
     return reduce(
         DataFrame.unionByName,
-        [predictions(rows, seed).withColumn("model", F.lit(name)).withColumn("conf", probs.confidence(p))
-         for name, seed in MODELS.items()],
+        [predictions(rows, seed).withColumn("model", F.lit(name)) for name, seed in MODELS.items()],
     )
 
 

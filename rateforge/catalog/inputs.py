@@ -112,10 +112,14 @@ def review_truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(df: DataFrame, model: int) -> DataFrame:
-    """Spark form of ``predictions_sql``; the class with the largest weight has the
-    largest share, so the prediction is read off the integers."""
+    """Spark form of ``predictions_sql``, with the confidence.
+
+    The class with the largest weight has the largest share, so prediction and
+    confidence are read off the integers.
+    """
     weighted = df.selectExpr("*", *_weights(model))
-    return weighted.selectExpr(*df.columns, *_SHARES, f"{argmax_sql('w')} AS y_pred")
+    conf = "CAST(greatest(w1, w2, w3, w4, w5) AS DOUBLE) / CAST(w1 + w2 + w3 + w4 + w5 AS DOUBLE) AS conf"
+    return weighted.selectExpr(*df.columns, *_SHARES, f"{argmax_sql('w')} AS y_pred", conf)
 
 
 # SQL building blocks shared by the twins.

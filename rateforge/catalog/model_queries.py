@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.probs import PROB_COLS
 from ..operators import features, models, scoring, splitting
 from ..operators.features import TfidfConfig
-from ..plans.materialize import shared_folder
+from ..plans.materialize import cut, shared_folder
 from ..sources import runlog, tables, tskv
 from ..streaming import scoring as stream
 from .inputs import CLASSES, MODELS, NOT_WS, ORDERS, W, predictions, predictions_sql, rated_orders, table, texts
@@ -81,7 +81,8 @@ def rated_texts(spark, sf) -> DataFrame:
 
 
 def _parts(spark, sf) -> DataFrame:
-    return splitting.random_split(rated_texts(spark, sf), 42)
+    """Split rows, stored once: every fit and every pass of a fit reads them again."""
+    return cut(splitting.random_split(rated_texts(spark, sf), 42))
 
 
 @query("M3_logistic_regression")
@@ -114,9 +115,9 @@ def _(spark, sf):
 @query("M7_leak_inflation")
 def _(spark, sf):
     rows = rated_texts(spark, sf)
-    grouped = splitting.make_split(rows, 42, group="grp")
+    grouped = cut(splitting.make_split(rows, 42, group="grp"))
     n = rows.count() // 2
-    return models.leak_inflation(grouped, splitting.random_split(rows, 42), n, **OPTIONS)
+    return models.leak_inflation(grouped, _parts(spark, sf), n, **OPTIONS)
 
 
 def _scorer(spark, sf):

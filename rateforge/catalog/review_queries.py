@@ -92,7 +92,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = normalised(spark, sf).select(
         "row_id", F.length("text").cast("bigint").alias("chars"),
-        tx.word_count(F.col("text")).cast("bigint").alias("words"),
+        tx.word_count(F.col("text"), squeezed=True).cast("bigint").alias("words"),
     )
     return rows.withColumn("len_bin", bins.length_bin(F.col("chars")))
 
@@ -280,7 +280,7 @@ def _quantiles_sql(v: str) -> str:
 def _(spark, sf):
     t = F.col("text")
     return profile.quantile_profile(
-        normalised(spark, sf), {"chars": F.length(t), "words": tx.word_count(t)}
+        normalised(spark, sf), {"chars": F.length(t), "words": tx.word_count(t, squeezed=True)}
     )
 
 
@@ -288,7 +288,7 @@ def _(spark, sf):
 def _(spark, sf):
     t = F.col("text")
     return profile.approximate_quantile_profile(
-        normalised(spark, sf), {"chars": F.length(t), "words": tx.word_count(t)}
+        normalised(spark, sf), {"chars": F.length(t), "words": tx.word_count(t, squeezed=True)}
     )
 
 
@@ -298,7 +298,7 @@ def _(spark, sf):
  quantile_cont(words, 0.99) AS p99, CAST(max(words) AS DOUBLE) AS max FROM w GROUP BY 1""")
 def _(spark, sf):
     rows = normalised(spark, sf).select(
-        tx.first_item(F.col("address"), ",").alias("place"), tx.word_count(F.col("text")).alias("words")
+        tx.first_item(F.col("address"), ",").alias("place"), tx.word_count(F.col("text"), squeezed=True).alias("words")
     )
     return profile.length_by_group(rows, "words", "place")
 
@@ -312,7 +312,7 @@ _TOKENS = rf"len(regexp_extract_all(t, '{W}+|[^\p{{L}}\p{{N}}_\s]'))"
     + [f"SELECT 'gt_{k}', count(*) FILTER (k > {k}), count(*) FILTER (k > {k}) / CAST(count(*) AS DOUBLE) FROM m" for k in (64, 128, 256, 512)]))
 def _(spark, sf):
     rows = normalised(spark, sf).select(
-        tx.word_count(F.col("text")).alias("words"), terms.token_count(F.col("text")).alias("tokens")
+        tx.word_count(F.col("text"), squeezed=True).alias("words"), terms.token_count(F.col("text")).alias("tokens")
     )
     return profile.threshold_shares(rows, F.col("words"), F.col("tokens"))
 

@@ -63,9 +63,15 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(F.regexp_like(text, F.lit(NOT_WS)), F.lit(False))
 
 
-def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words; null stays null."""
-    return F.regexp_count(text, F.lit(f"{NOT_WS}+"))
+def word_count(text: Column, squeezed: bool = False) -> Column:
+    """Number of whitespace-separated words; null stays null.
+
+    Once whitespace is squeezed, words are one more than the spaces; ``squeezed`` says
+    the text already is in that form.
+    """
+    flat = text if squeezed else squeeze(text)
+    gaps = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return gaps + (flat != "").cast("int")
 
 
 def tokens(text: Column) -> Column:

@@ -10,7 +10,9 @@ from ..functions.hashing import seeded_hash
 from ..plans.ranking import bucket_offsets, with_hash
 from .metrics import count_cells, macro_f1
 
-BLOCK_GROUPS = 20_000
+# Groups per block, unless that would make more than MAX_BLOCKS blocks.
+BLOCK_GROUPS = 2_000
+MAX_BLOCKS = 20_000
 
 
 def group_cells(df: DataFrame, models: dict[str, str], group: str) -> DataFrame:
@@ -33,14 +35,14 @@ def _scores(sums: DataFrame, models, pairs, keep=()) -> DataFrame:
 def block_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame:
     """Summed cells per replicate, drawn block by block.
 
-    Groups are spread over blocks of about BLOCK_GROUPS by hash.  A replicate first
+    Groups are spread over blocks by hash.  A replicate first
     splits its draws over the blocks (multinomial by block size, the same in every
     task because the generator is seeded by replicate) and each block then draws its
     share among its own groups.  Together that is the plain multinomial bootstrap, yet
     only n_boot rows per block are shuffled.
     """
     n_groups = groups.count()
-    n_blocks = max(1, -(-n_groups // BLOCK_GROUPS))
+    n_blocks = min(max(1, -(-n_groups // BLOCK_GROUPS)), MAX_BLOCKS)
     names = [f"{m}_{i}" for m in models for i in range(25)]
     blocked = groups.withColumn(
         "block", F.pmod(F.xxhash64("group"), F.lit(n_blocks)).cast("int")

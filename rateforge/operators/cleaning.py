@@ -17,7 +17,11 @@ def in_range(rating: Column, low: float = 1, high: float = 5) -> Column:
 
 
 def enough_words(text: Column, min_words: int) -> Column:
-    return F.coalesce(tx.word_count(text), F.lit(0)) >= min_words
+    """Word-count test on squeezed text, reading it once; null counts as no words."""
+    if min_words <= 0:
+        return F.lit(True)
+    pattern = f"^[^ ]+( [^ ]+){{{min_words - 1}}}"
+    return F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False))
 
 
 def text_key(text: Column) -> Column:
@@ -85,34 +89,52 @@ def _prepared(df: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, pairs: list[tuple[int, str, Column]]) -> DataFrame:
-    rows = [
-        F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"), c.alias("removed"))
-        for i, s, c in pairs
-    ]
-    return df.select(F.inline(F.array(*rows)))
+def _keyed_steps(df: DataFrame, min_words: int) -> DataFrame:
+    """Per (step, text key): rows, first row and rating range, in one pass over the rows.
+
+    Rows failing a row-level step have no key and collapse to one group per step.  The
+    step is read back as an aggregate: a filter on it, unlike one on a grouping column,
+    cannot be pushed to the scan, where it would normalise every text a second time.
+    """
+    rows = _prepared(df, min_words)
+    key = F.when(F.col("step").isNull(), text_key(F.col("text")))
+    return rows.select("row_id", "rating", "step", key.alias("key")).groupBy("step", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("row_id").alias("first_id"),
+        F.min("rating").alias("low"),
+        F.max("rating").alias("high"),
+        F.max("step").alias("failed"),
+    )
 
 
 def filter_steps(df: DataFrame, min_words: int = 1) -> DataFrame:
     """Rows removed by each step of the chain, in order, counted on what is left."""
-    rows = _prepared(df, min_words)
-    early = rows.agg(*[F.count_if(F.col("step") == i).alias(f"s{i}") for i in (1, 2, 3)])
-    keys = copy_stats(rows.where(F.col("step").isNull()), text_key(F.col("text")))
-    conflict = F.col("low") < F.col("high")
-    late = keys.agg(
-        F.coalesce(F.sum(F.when(conflict, F.col("n"))), F.lit(0)).alias("s4"),
-        F.coalesce(F.sum(F.when(~conflict, F.col("n") - 1)), F.lit(0)).alias("s5"),
+    failed, n = F.col("failed"), F.col("n")
+    conflict = failed.isNull() & (F.col("low") < F.col("high"))
+    repeated = failed.isNull() & (F.col("low") == F.col("high"))
+    removed = [F.sum(F.when(failed == i, n)) for i in (1, 2, 3)]
+    removed += [F.sum(F.when(conflict, n)), F.sum(F.when(repeated, n - 1))]
+    wide = _keyed_steps(df, min_words).agg(
+        *[F.coalesce(c, F.lit(0)).alias(f"s{i}") for i, c in enumerate(removed, start=1)]
     )
-    first = _long(early, [(i, STEPS[i - 1], F.col(f"s{i}")) for i in (1, 2, 3)])
-    return first.unionByName(_long(late, [(i, STEPS[i - 1], F.col(f"s{i}")) for i in (4, 5)]))
+    rows = [
+        F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"), F.col(f"s{i}").alias("removed"))
+        for i, s in enumerate(STEPS, start=1)
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def survivors(df: DataFrame, min_words: int = 1) -> DataFrame:
-    """Rows that pass all five steps, with the text normalised."""
-    passing = _prepared(df, min_words).where(F.col("step").isNull()).drop("step")
-    keys = copy_stats(passing, text_key(F.col("text")))
-    kept = keys.where(F.col("low") == F.col("high")).select(F.col("first_id").alias("row_id"))
-    return passing.join(kept, "row_id", "left_semi")
+    """Rows that pass all five steps, with the text normalised.
+
+    Only rows passing the row-level steps can be the first copy of a text, so the semi
+    join on the unique ``row_id`` applies the whole chain.
+    """
+    kept = _keyed_steps(df, min_words).where(
+        F.col("failed").isNull() & (F.col("low") == F.col("high"))
+    )
+    rows = df.withColumn("text", tx.normalize_text(F.col("text")))
+    return rows.join(kept.select(F.col("first_id").alias("row_id")), "row_id", "left_semi")
 
 
 def clean_table(df: DataFrame, min_words: int = 1, group_key: str = "name") -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import (
-    CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, VectorAssembler,
+    CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,7 +48,7 @@ def word_ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
 
 def char_words(text: Column) -> Column:
     """Lower-cased whitespace-separated words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"{tx.NOT_WS}+"), F.lit(0))
+    return F.filter(F.split(tx.squeeze(F.lower(text)), " "), lambda w: w != "")
 
 
 def char_ngrams(words: Column, low: int = 2, high: int = 5) -> Column:
@@ -96,6 +96,32 @@ def _term_counts(df: DataFrame, config: TfidfConfig) -> DataFrame:
     return rows.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_statistics(df: DataFrame, config: TfidfConfig) -> DataFrame:
+    """(term, df, cf): texts holding the term and occurrences, above the document floor.
+
+    Inside each text the sorted n-grams show where a term occurs first, so one
+    aggregation with map-side combining yields both counts.
+    """
+    grams = with_ngrams(df.select("text"), config, "terms").select(F.sort_array("terms").alias("t"))
+
+    def mark(term: Column, i: Column) -> Column:
+        first = (i == 0) | (term != F.get("t", i - 1))
+        return F.struct(term.alias("term"), first.cast("long").alias("first"))
+
+    rows = grams.select(F.explode_outer(F.transform("t", mark)).alias("m")).select("m.*")
+    return (
+        rows.where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
+        .where(F.col("df") >= config.min_df)
+    )
+
+
+def vocabulary(df: DataFrame, config: TfidfConfig) -> DataFrame:
+    """The ``max_features`` most frequent terms; ties go to the smaller term."""
+    return term_statistics(df, config).orderBy(F.desc("cf"), "term").limit(config.max_features)
+
+
 # A vector column rebuilt from its parts: JSON is the one built-in route back into the
 # vector type that stays inside the JVM.
 _VECTOR_ROW = StructType([StructField("v", VectorUDT())])
@@ -141,12 +167,12 @@ def fit_tfidf(df: DataFrame, config: TfidfConfig) -> TfidfModel:
     The vocabulary is bounded by ``max_features``, which is what makes it safe to hold
     on the driver and to ship to the tasks.
     """
-    terms = with_ngrams(df.select("text"), config, "terms").select("terms")
-    counts = CountVectorizer(
-        inputCol="terms", outputCol="tf", minDF=float(config.min_df), vocabSize=config.max_features
-    ).fit(terms)
-    idf = IDF(inputCol="tf", outputCol="w").fit(counts.transform(terms))
-    return TfidfModel(config, counts, idf.idf.toArray() + 1.0)
+    rows = vocabulary(df, config).collect()
+    if not rows:
+        raise ValueError(f"no {config.analyzer} term occurs in {config.min_df} texts")
+    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], "terms", "tf")
+    frequency = np.array([r["df"] for r in rows], dtype=float)
+    return TfidfModel(config, counts, np.log((df.count() + 1.0) / (frequency + 1.0)) + 1.0)
 
 
 def fit_blocks(df: DataFrame, configs: tuple[TfidfConfig, ...]) -> list[TfidfModel]:
@@ -168,17 +194,10 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     terms.
     """
     tf = _term_counts(df, config)
-    vocabulary = (
-        tf.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        .where(F.col("df") >= config.min_df)
-        .orderBy(F.desc("cf"), "term")
-        .limit(config.max_features)
-    )
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")
     idf = F.ln((n + 1.0) / (F.col("df") + 1).cast("double")) + 1.0
     # The vocabulary holds at most max_features terms, which bounds the broadcast.
-    known = F.broadcast(vocabulary.select("term", idf.alias("idf")))
+    known = F.broadcast(vocabulary(df, config).select("term", idf.alias("idf")))
     raw = tf.join(known, "term").select(
         "row_id", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
     )
@@ -190,11 +209,7 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
 
 def document_frequencies(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """(term, df, cf, idf) of the terms above the document floor."""
-    tf = _term_counts(df, config)
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")
-    return (
-        tf.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        .where(F.col("df") >= config.min_df)
-        .withColumn("idf", F.ln((n + 1.0) / (F.col("df") + 1).cast("double")) + 1.0)
+    return term_statistics(df, config).withColumn(
+        "idf", F.ln((n + 1.0) / (F.col("df") + 1).cast("double")) + 1.0
     )

@@ -26,7 +26,7 @@ def shingle_sets(df: DataFrame, keep: list[str], k: int = 3) -> DataFrame:
     hashed = words.select(
         *keep,
         F.size("words").alias("n_tokens"),
-        F.array_sort(
+        F.sort_array(
             F.array_distinct(F.transform(tx.shingles(F.col("words"), k), lambda s: F.xxhash64(s)))
         ).alias("hs"),
     )

@@ -62,7 +62,8 @@ def distinctive_terms(
 
 def token_count(text: Column) -> Column:
     """Word and punctuation tokens: the stand-in when no subword tokenizer is supplied."""
-    return F.regexp_count(text, F.lit(rf"{tx.WORD}+|[^\p{{L}}\p{{N}}_\s]"))
+    marks = F.length(F.regexp_replace(text, r"[\p{L}\p{N}_\s]+", ""))
+    return F.regexp_count(text, F.lit(f"{tx.WORD}+")) + marks
 
 
 def token_profile(df: DataFrame, n: int | None, seed: int) -> DataFrame:

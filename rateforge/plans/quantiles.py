@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def interpolated(
@@ -25,45 +26,66 @@ def interpolated(
 
 
 def interpolated_wide(
-    df: DataFrame, value: str, probs: dict[str, float], buckets: int = 1024
+    df: DataFrame, value: str, probs: dict[str, float], small: int = 1_000_000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Quantiles of a continuous measure with unboundedly many distinct values.
 
-    A first pass finds approximate bucket borders, a second counts rows per bucket
-    (at most ``buckets`` rows reach the driver); only buckets holding a wanted rank
-    are then ordered.
+    Each wanted position gets a bracket of values known to hold it.  Approximate
+    quantiles inside the brackets shrink them, exact counts confirm every step, and the
+    exact aggregate runs once no bracket holds more than ``small`` rows or all its rows
+    are equal.
     """
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    steps = [i / buckets for i in range(1, buckets)]
-    borders = values.agg(F.percentile_approx("v", steps, 10 * buckets).alias("q")).first()["q"]
-    borders = sorted(set(borders or []))
-    if not borders:
-        empty = values.agg(F.count("v").alias("n"))
-        return empty.select("n", *[F.lit(None).cast("double").alias(k) for k in probs])
+    edges = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    first = edges.first()
+    n = first["n"]
+    spots = {k: p * (n - 1) for k, p in probs.items()}
+    brackets = {k: _Bracket(first["lo"], first["hi"], 0, n) for k in probs}
+    while open_ := {k: b for k, b in brackets.items() if b.rows > small and b.low < b.high}:
+        shrunk = _shrink(values, open_, spots, accuracy)
+        if all(shrunk[k] == open_[k] for k in open_):
+            break
+        brackets |= shrunk
+    cells = []
+    for k, b in brackets.items():
+        inside = F.when(F.col("v").between(F.lit(b.low), F.lit(b.high)), F.col("v"))
+        if n == 0 or b.low == b.high:
+            cells.append(F.lit(b.low).cast("double").alias(k))
+        else:
+            share = min(max((spots[k] - b.below) / (b.rows - 1), 0.0), 1.0)
+            cells.append(F.percentile(inside, F.lit(share)).alias(k))
+    return values.agg(F.lit(n).cast("bigint").alias("n"), *cells)
 
-    cuts = F.array(*[F.lit(b) for b in borders])
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
-    # Number of borders below v; the search is per distinct value, not per row.
-    counts = counts.withColumn("b", F.size(F.filter(cuts, lambda c: c < F.col("v"))))
-    totals = {r["b"]: r["s"] for r in counts.groupBy("b").agg(F.sum("f").alias("s")).collect()}
-    n = sum(totals.values())
-    before, seen = {}, 0
-    for b in sorted(totals):
-        before[b], seen = seen, seen + totals[b]
 
-    spots = {k: p * (n - 1) for k, p in probs.items()}
-    ranks = sorted({r for s in spots.values() for r in (math.floor(s), math.ceil(s))})
-    wanted = [b for b in totals if any(before[b] <= r < before[b] + totals[b] for r in ranks)]
-    start = F.when(F.lit(False), F.lit(0).cast("bigint"))
-    for b in wanted:
-        start = start.when(F.col("b") == b, F.lit(before[b]).cast("bigint"))
-    ordered = counts.where(F.col("b").isin(wanted)).withColumn(
-        "upto", start + F.sum("f").over(W.partitionBy("b").orderBy("v"))
-    )
-    at = {r: F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"r{r}") for r in ranks}
-    picked = ordered.agg(*at.values())
-    out = []
-    for k, s in spots.items():
-        lo, hi = F.col(f"r{math.floor(s)}"), F.col(f"r{math.ceil(s)}")
-        out.append((lo + (hi - lo) * F.lit(s - math.floor(s))).alias(k))
-    return picked.select(F.lit(n).cast("bigint").alias("n"), *out)
+class _Bracket(NamedTuple):
+    """Values low..high hold ``rows`` rows and ``below`` rows are smaller than low."""
+
+    low: float
+    high: float
+    below: int
+    rows: int
+
+
+def _shrink(values: DataFrame, brackets: dict, spots: dict[str, float], accuracy: int) -> dict:
+    """Narrower brackets around the same positions, or the old ones where that failed."""
+    def inside(b: _Bracket):
+        return F.when(F.col("v").between(F.lit(b.low), F.lit(b.high)), F.col("v"))
+
+    guesses = []
+    for k, b in brackets.items():
+        at = (spots[k] - b.below) / b.rows
+        ends = [min(max(at + d, 0.0), 1.0) for d in (-3.0 / accuracy, 3.0 / accuracy)]
+        guesses.append(F.percentile_approx(inside(b), ends, accuracy).alias(k))
+    ends = values.agg(*guesses).first().asDict()
+    counts = []
+    for k, (low, high) in ends.items():
+        counts.append(F.count_if(F.col("v") < F.lit(low)).alias(f"{k}_below"))
+        counts.append(F.count_if(F.col("v") <= F.lit(high)).alias(f"{k}_upto"))
+    seen = values.agg(*counts).first().asDict()
+    out = {}
+    for k, b in brackets.items():
+        below, upto = seen[f"{k}_below"], seen[f"{k}_upto"]
+        holds = below <= math.floor(spots[k]) and math.ceil(spots[k]) < upto
+        out[k] = _Bracket(*ends[k], below, upto - below) if holds else b
+    return out

@@ -206,8 +206,9 @@ def test_quantiles_match_numpy(spark):
     v = np.concatenate([rng.normal(size=4000), np.full(2000, 0.25)])  # a third share one value
     df = spark.createDataFrame(pd.DataFrame({"v": v, "k": np.round(v * 10).astype(int)}))
     probs_ = {"a": 0.0, "b": 0.123, "c": 0.5, "d": 0.999, "e": 1.0}
-    got = interpolated_wide(df, "v", probs_, buckets=32).first()
-    assert got.n == 6000 and np.allclose([got[k] for k in probs_], np.quantile(v, list(probs_.values())))
+    for small in (1, 50, 10**6):
+        got = interpolated_wide(df, "v", probs_, small=small, accuracy=50).first()
+        assert got.n == 6000 and np.allclose([got[k] for k in probs_], np.quantile(v, list(probs_.values())))
     got = interpolated(df, "k", probs_).first()
     assert np.allclose([got[k] for k in probs_], np.quantile(np.round(v * 10), list(probs_.values())))
     assert interpolated_wide(df.where("v > 99"), "v", {"a": 0.5}).first()["a"] is None
