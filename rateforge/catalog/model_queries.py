@@ -132,7 +132,7 @@ def _(spark, sf):
                          "prediction.expected_rating", "prediction.truncated")
 
 
-@query("M8_user_model_hook", r"""SELECT doc_id AS row_id, CASE WHEN contains(text, 'the') THEN 5 ELSE 1 END AS rating, 0.6 AS confidence, length(text) > 5000 AS truncated
+@query("M8_user_model_hook", r"""SELECT doc_id AS row_id, CASE WHEN contains(text, 'the') THEN 5 ELSE 1 END AS rating, CAST(0.6 AS DOUBLE) AS confidence, length(text) > 5000 AS truncated
  FROM documents WHERE length(text) BETWEEN 1 AND 20000""")
 def _(spark, sf):
     def load():

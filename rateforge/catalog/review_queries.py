@@ -271,7 +271,12 @@ def _(spark, sf):
 
 def _quantiles_sql(v: str) -> str:
     probs = (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p99_9", 0.999), ("max", 1.0))
-    return ", ".join(f"quantile_cont(CAST({v} AS DOUBLE), {p}) AS {k}" for k, p in probs)
+    return ", ".join(f"round(quantile_cont(CAST({v} AS DOUBLE), {p}), 6) AS {k}" for k, p in probs)
+
+
+def _rounded(df, *columns):
+    """Interpolation differs in the last bits between engines: compare six digits."""
+    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
 
 
 @query("A3_length_quantiles", f"""WITH raw AS ({REVIEWS}), n AS (SELECT {norm_text('text')} AS t FROM raw)
@@ -279,9 +284,10 @@ def _quantiles_sql(v: str) -> str:
  UNION ALL SELECT 'words', {_quantiles_sql(words('t'))} FROM n""")
 def _(spark, sf):
     t = F.col("text")
-    return profile.quantile_profile(
+    out = profile.quantile_profile(
         normalised(spark, sf), {"chars": F.length(t), "words": tx.word_count(t, squeezed=True)}
     )
+    return _rounded(out, *profile.QUANTILES)
 
 
 @query("A3_length_quantiles_approximate")
@@ -294,13 +300,13 @@ def _(spark, sf):
 
 @query("A4_length_by_group", f"""WITH raw AS ({REVIEWS}), n AS (SELECT split_part(address, ',', 1) AS place, {norm_text('text')} AS t FROM raw),
  w AS (SELECT place, {words('t')} AS words FROM n)
- SELECT place, avg(words) AS mean, quantile_cont(words, 0.5) AS p50, quantile_cont(words, 0.9) AS p90,
- quantile_cont(words, 0.99) AS p99, CAST(max(words) AS DOUBLE) AS max FROM w GROUP BY 1""")
+ SELECT place, round(avg(words), 6) AS mean, round(quantile_cont(words, 0.5), 6) AS p50, round(quantile_cont(words, 0.9), 6) AS p90,
+ round(quantile_cont(words, 0.99), 6) AS p99, CAST(max(words) AS DOUBLE) AS max FROM w GROUP BY 1""")
 def _(spark, sf):
     rows = normalised(spark, sf).select(
         tx.first_item(F.col("address"), ",").alias("place"), tx.word_count(F.col("text"), squeezed=True).alias("words")
     )
-    return profile.length_by_group(rows, "words", "place")
+    return _rounded(profile.length_by_group(rows, "words", "place"), "mean", "p50", "p90", "p99")
 
 
 _TOKENS = rf"len(regexp_extract_all(t, '{W}+|[^\p{{L}}\p{{N}}_\s]'))"
@@ -330,9 +336,9 @@ def _(spark, sf):
  len(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё]')) AS letters, len(regexp_extract_all(text, '[A-ZА-ЯЁ]')) AS caps FROM named)
  SELECT rating, avg(CAST(regexp_matches(t, '{_EMOJI}') AS INT)) AS has_emoji, avg(CAST(regexp_matches(t, 'https?://|www\\.') AS INT)) AS has_url,
  avg(1 - CAST(regexp_matches(t, '[а-яА-ЯёЁ]') AS INT)) AS no_cyr, avg(len(regexp_extract_all(t, '!'))) AS excl,
- avg(caps / CAST(nullif(letters, 0) AS DOUBLE)) AS caps_share FROM f GROUP BY rating""")
+ round(avg(caps / CAST(nullif(letters, 0) AS DOUBLE)), 6) AS caps_share FROM f GROUP BY rating""")
 def _(spark, sf):
-    return profile.style_by_class(named(spark, sf))
+    return _rounded(profile.style_by_class(named(spark, sf)), "caps_share")
 
 
 @query("A8_length_by_class", f"""WITH {NORMALISED} SELECT rating, avg(length(text)) AS mean,
@@ -569,4 +575,4 @@ def _(spark, sf):
 @query("N7_token_profile", f"""WITH raw AS ({REVIEWS}), n AS (SELECT {norm_text('text')} AS t FROM raw)
  SELECT {_quantiles_sql(_TOKENS)}, count(*) AS n FROM n WHERE t <> ''""")
 def _(spark, sf):
-    return terms.token_profile(normalised(spark, sf), None, 42)
+    return _rounded(terms.token_profile(normalised(spark, sf), None, 42), *profile.QUANTILES)
