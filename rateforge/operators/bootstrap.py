@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashing import seeded_hash
+from ..plans.materialize import cut
 from ..plans.ranking import bucket_offsets, with_hash
 from .metrics import count_cells, macro_f1
 
@@ -103,7 +104,7 @@ def cluster_bootstrap(
     Limits are the 2.5 and 97.5 percentiles; a difference is significant when its
     interval excludes zero, for a single model the flag is null.
     """
-    groups = group_cells(df, models, group)
+    groups = cut(group_cells(df, models, group))
     names = [f"{m}_{i}" for m in models for i in range(25)]
     labels = [*models, *[f"{a} - {b}" for a, b in pairs]]
     total = groups.agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in names])

@@ -9,10 +9,11 @@ from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
+from ..plans.materialize import cut
 from .terms import long_words
 
 
@@ -118,8 +119,26 @@ def term_statistics(df: DataFrame, config: TfidfConfig) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, config: TfidfConfig) -> DataFrame:
-    """The ``max_features`` most frequent terms; ties go to the smaller term."""
-    return term_statistics(df, config).orderBy(F.desc("cf"), "term").limit(config.max_features)
+    """The ``max_features`` most frequent terms; ties go to the smaller term.
+
+    A histogram of the frequencies (few distinct values) gives the frequency at which
+    the vocabulary fills up.  Terms above it are taken as they are; only those equal to
+    it are ordered, for the places left.
+    """
+    terms = cut(term_statistics(df, config))
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("cf"))
+    filled = terms.groupBy("cf").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.sum("n").over(order) - F.col("n")
+    )
+    last = filled.where(F.col("before") < config.max_features).orderBy("cf").first()
+    if last is None:
+        return terms
+    above = terms.where(F.col("cf") > last["cf"])
+    level = terms.where(F.col("cf") == last["cf"])
+    places = config.max_features - last["before"]
+    if last["n"] > places:
+        level = level.orderBy("term").limit(places)
+    return above.unionByName(level)
 
 
 # A vector column rebuilt from its parts: JSON is the one built-in route back into the
@@ -167,7 +186,7 @@ def fit_tfidf(df: DataFrame, config: TfidfConfig) -> TfidfModel:
     The vocabulary is bounded by ``max_features``, which is what makes it safe to hold
     on the driver and to ship to the tasks.
     """
-    rows = vocabulary(df, config).collect()
+    rows = sorted(vocabulary(df, config).collect(), key=lambda r: (-r["cf"], r["term"]))
     if not rows:
         raise ValueError(f"no {config.analyzer} term occurs in {config.min_df} texts")
     counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], "terms", "tf")

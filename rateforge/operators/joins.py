@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.probs import PROB_COLS
+from ..plans.materialize import cut
 
 
 def key_report(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -63,9 +64,7 @@ def aligned_wide(models: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def alignment_report(models: dict[str, DataFrame]) -> DataFrame:
-    """One row: ids, ids not held exactly once by each model, ids with differing truths."""
-    wide = aligned_wide(models)
+def _alignment(wide: DataFrame, models) -> DataFrame:
     once = reduce(lambda a, b: a & b, [F.col(f"rows_{m}") == 1 for m in models])
     return wide.agg(
         F.count(F.lit(1)).alias("ids"),
@@ -74,12 +73,21 @@ def alignment_report(models: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def alignment_report(models: dict[str, DataFrame]) -> DataFrame:
+    """One row: ids, ids not held exactly once by each model, ids with differing truths."""
+    return _alignment(aligned_wide(models), models)
+
+
 def align(models: dict[str, DataFrame]) -> DataFrame:
-    """Wide predictions of several models; disagreeing ids or truths are an error."""
-    report = alignment_report(models).first()
+    """Wide predictions of several models; disagreeing ids or truths are an error.
+
+    The wide table is stored before it is checked, so the shuffle runs once.
+    """
+    wide = cut(aligned_wide(models))
+    report = _alignment(wide, models).first()
     if report["incomplete"] or report["truth_differs"]:
         raise ValueError(f"predictions do not align: {report.asDict()}")
-    return aligned_wide(models).drop("y_high", *[f"rows_{m}" for m in models])
+    return wide.drop("y_high", *[f"rows_{m}" for m in models])
 
 
 def attach_texts(pairs: DataFrame, texts: DataFrame, left_id: str, right_id: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import seeded_hash
+from ..plans.materialize import cut
 from ..plans.ranking import bucket_offsets, label_by_rank, with_hash
 from ..plans.skew import HOT_ROWS, attach
 
@@ -113,7 +114,8 @@ def make_split(
 ) -> DataFrame:
     """Rows with a ``split`` column; a group never crosses parts."""
     check_fractions(fractions)
-    groups = group_label_counts(df, group, label, labels)
+    # One row per group, read several times below: stored, so the rows are scanned once.
+    groups = cut(group_label_counts(df, group, label, labels))
     parts = assign_groups(groups, group, seed, fractions, labels, head_share)
     stats = groups.select(group, "n").join(parts, group)
     return attach(df, stats, [group], list(ids), hot_rows=hot_rows).drop("n")

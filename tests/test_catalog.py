@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -37,7 +38,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         try:
-            return f"{float(v):.6g}" if not isinstance(v, (str, bool)) else str(v)
+            return str(v) if isinstance(v, (str, bool, np.bool_)) else f"{float(v):.6g}"
         except (TypeError, ValueError):
             return str(v)
 
