@@ -12,7 +12,7 @@ from ..operators.features import TfidfConfig
 from ..plans.materialize import cut, shared_folder
 from ..sources import runlog, tables, tskv
 from ..streaming import scoring as stream
-from .inputs import CLASSES, MODELS, NOT_WS, ORDERS, W, predictions, predictions_sql, rated_orders, table, texts
+from .inputs import MODELS, NOT_WS, ORDERS, W, predictions, predictions_sql, rated_orders, table, texts
 from .registry import query
 from .review_queries import _FIELDS_SQL, _LINE
 from .split_queries import SPLIT, split_orders
@@ -181,8 +181,7 @@ def _(spark, sf):
     return tables.read_predictions(spark, folder, "transformer", "val").select("row_id", "y_true", "y_pred")
 
 
-@query("S1_S6_cached_tskv_scan", _FIELDS_SQL.replace("doc_id AS row_id", "row_number() OVER (ORDER BY doc_id) - 1 AS row_id")
-       .replace("FROM documents", "FROM documents"))
+@query("S1_S6_cached_tskv_scan", _FIELDS_SQL.replace("doc_id AS row_id", "row_number() OVER (ORDER BY doc_id) - 1 AS row_id"))
 def _(spark, sf):
     folder = _folder(spark)
     # One ordered file, so file order is id order.

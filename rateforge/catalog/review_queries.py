@@ -9,7 +9,7 @@ from ..operators import cleaning, groups, profile, terms
 from ..plans.ranking import top_n
 from ..sources import tskv
 from .inputs import (
-    CLEANED, NORMALISED, NOT_WS, NW, REVIEWS, W, WS, fold, norm_key, norm_text, reviews, sq,
+    CLEANED, NORMALISED, NW, REVIEWS, W, WS, fold, norm_key, norm_text, reviews, sq,
     table, words,
 )
 from .registry import query

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_hash
 from ..operators import leakage, neardup, profile, sampling, splitting
 from .inputs import (
-    CLASSES, NORMALISED, ORDERS, W, fold, md5_hash, rated_orders, table, texts,
+    CLASSES, ORDERS, W, fold, md5_hash, rated_orders, table, texts,
 )
 from .registry import query
-from .review_queries import named
 
 FRACTIONS = splitting.FRACTIONS
 
