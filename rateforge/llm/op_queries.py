@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import pieces, token_counts
+from . import hilbert, host_rules, pieces, token_counts
 from .common import read
 from .registry import query
 
@@ -20,3 +20,13 @@ def op3(spark, sf_dir):
 @query("op5_token_counts")
 def op5(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"), WORD_PIECES)
+
+
+@query("op10_hilbert_shards")
+def op10(spark, sf_dir):
+    return hilbert.shard_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op2_host_rules", host_rules.SQL)
+def op2(spark, sf_dir):
+    return host_rules.quality(read(spark, sf_dir, "documents"))
