@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import hilbert, host_rules, pieces, token_counts
+from . import hilbert, host_rules, pieces, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -30,3 +30,8 @@ def op10(spark, sf_dir):
 @query("op2_host_rules", host_rules.SQL)
 def op2(spark, sf_dir):
     return host_rules.quality(read(spark, sf_dir, "documents"))
+
+
+@query("op4_url_trust", url_trust.SQL)
+def op4(spark, sf_dir):
+    return url_trust.judged(read(spark, sf_dir, "pages"))
