@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import hilbert, host_rules, pieces, token_counts, url_trust
+from . import hilbert, host_rules, pieces, simhash, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -35,3 +35,8 @@ def op2(spark, sf_dir):
 @query("op4_url_trust", url_trust.SQL)
 def op4(spark, sf_dir):
     return url_trust.judged(read(spark, sf_dir, "pages"))
+
+
+@query("op1_simhash")
+def op1(spark, sf_dir):
+    return simhash.simhash(read(spark, sf_dir, "documents"))
