@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import hilbert, host_rules, pieces, simhash, token_counts, url_trust
+from . import fm_index, hilbert, host_rules, pieces, simhash, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -40,3 +40,8 @@ def op4(spark, sf_dir):
 @query("op1_simhash")
 def op1(spark, sf_dir):
     return simhash.simhash(read(spark, sf_dir, "documents"))
+
+
+@query("op6_fm_decontamination")
+def op6(spark, sf_dir):
+    return fm_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
