@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fm_index, hilbert, host_rules, pieces, simhash, token_counts, url_trust
+from . import fm_index, hilbert, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -45,3 +45,13 @@ def op1(spark, sf_dir):
 @query("op6_fm_decontamination")
 def op6(spark, sf_dir):
     return fm_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op9_nearest_toxicity")
+def op9(spark, sf_dir):
+    return neighbours.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_kneser_ney")
+def op7(spark, sf_dir):
+    return kneser_ney.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
