@@ -29,25 +29,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only a local session without that setting gets a temporary folder; a cluster
-    without it is refused, as its machines would not share one."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.  Only a local session without that
+    setting gets a temporary one; a cluster without it is refused, as its machines would
+    not share it."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="rateforge-llm-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="rateforge-llm-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    return folder
 
 
-def schema_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so that nothing before it runs again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint(eager=eager)
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None],
@@ -73,3 +74,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None
     array = batch.column(batch.schema.get_field_index(column))
     for start in range(0, len(array), 256):
         yield from array.slice(start, 256).to_pylist()
+
+
+def share(key: Column, part: float, salt: str) -> Column:
+    """Whether a row is in the ``part`` of all rows that a hash of ``key`` picks."""
+    low = F.xxhash64(key, F.lit(salt)).bitwiseAND((1 << 53) - 1)
+    return low < F.lit(int(part * (1 << 53)))
+
+
+def bounded(rows: DataFrame, key: str, size: Column, most: int, salt: str) -> DataFrame:
+    """Rows of ``rows`` with summed ``size`` of at most ``most``: all, or those that a hash
+    of ``key`` picks at a share that is lowered until they fit."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    part = 1.0
+    while total > most:
+        part *= 0.95 * most / total
+        picked = rows.where(share(F.col(key), part, salt))
+        total = picked.agg(F.sum(size)).first()[0] or 0
+    return rows if part == 1.0 else rows.where(share(F.col(key), part, salt))

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, map_arrow, texts_of
+from .common import bounded, cut, map_arrow, texts_of
 
 MAX_EXAMPLES, MAX_TERMS = 20_000, 2_000
 #: Likelihood-ratio statistic from which a term is kept, and fewest examples with it.
@@ -47,8 +47,6 @@ K, BLOCK, POWER = 12, 64, 4.0
 FOLDS = 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 300_000
-#: Hash buckets in which examples are drawn.
-_BUCKETS = 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,18 +61,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sampled(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` of the distinct ids, by a hash: whole buckets, as many as fit."""
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(_BUCKETS))
-    counts = {r["b"]: r["n"] for r in ids.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, last = 0, -1
-    for b in range(_BUCKETS):
-        if total + counts.get(b, 0) > most:
-            break
-        total, last = total + counts.get(b, 0), b
-    return ids.where(bucket <= last)
-
-
 class Terms:
     """The kept terms of texts; remembers those of words."""
 
@@ -224,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     """Model from the labelled rows of ``docs`` outside the held-out fold, idf from all rows."""
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), FOLDS) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    chosen = cut(sampled(known, max_examples))  # at most max_examples rows: bounded, so sent out whole
+    chosen = cut(bounded(known, "doc_id", F.lit(1), max_examples, "example"))  # at most max_examples rows: bounded, so sent out whole
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("y", (F.col("y") > 0).cast("int"))
     # Copies would make their chance words look telling, so equal texts of a class are one example.
     texts = cut(texts.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fm_index, hilbert, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
+from . import fm_index, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -55,3 +55,8 @@ def op9(spark, sf_dir):
 @query("op7_kneser_ney")
 def op7(spark, sf_dir):
     return kneser_ney.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op8_hidden_markov")
+def op8(spark, sf_dir):
+    return hmm.language_scores(read(spark, sf_dir, "documents"))
