@@ -168,7 +168,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                                              ["doc_id", "held_out", "n_tokens", "n_known", "base", "within", "symbols", "rare", "rare_n"])
 
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
     rows = map_arrow(rows, work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, within double, "
                                  "symbols binary, rare array<binary>, rare_n array<int>", setup)
     return cut(rows.withColumn("row", F.monotonically_increasing_id()))

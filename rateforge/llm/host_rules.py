@@ -22,8 +22,8 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT, MAX_SYMBOLS_PERCENT = 10, 20, 10
 #: A host goes when a rule's shrunk failure rate is over this.
 HOST_LIMIT = 0.5
-#: Bounds of the prior's weight, in documents.
-LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1_000_000.0
+#: Bounds of the prior's weight, in documents; the lower one keeps a host of few documents near the mean.
+LEAST_WEIGHT, MOST_WEIGHT = 10.0, 1_000_000.0
 RULES = ("short", "repeats", "symbols")
 
 

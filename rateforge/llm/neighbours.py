@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chosen = cut(bounded(known, "doc_id", F.lit(1), max_examples, "example"))  # at most max_examples rows: bounded, so sent out whole
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("y", (F.col("y") > 0).cast("int"))
     # Copies would make their chance words look telling, so equal texts of a class are one example.
-    texts = cut(texts.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "y"))
+    texts = cut(texts.groupBy("text", "y").agg(F.min("doc_id").cast("bigint").alias("doc_id")).select("doc_id", "text", "y"))
     classes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = classes.get(1, 0), classes.get(0, 0)
 
@@ -283,7 +283,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))],
             ["doc_id", "score", "evidence"])
 
-    return map_arrow(docs.select("doc_id", "text"), work, "doc_id bigint, score double, evidence array<bigint>", lambda: Scorer(sent.value))
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, "doc_id bigint, score double, evidence array<bigint>", lambda: Scorer(sent.value))
 
 
 def kept(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:

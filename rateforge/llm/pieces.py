@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow
 
@@ -398,7 +398,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             [batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select("doc_id", "text"), work,
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work,
                      "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda: Pieces(path))
 
 

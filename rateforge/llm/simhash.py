@@ -57,13 +57,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp has the 64 bits as a signed bigint."""
+    """(doc_id, text_hash, fp): fp has the 64 bits as a signed bigint."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps = np.fromiter((fingerprint(t, shingle) for t in texts_of(batch)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return map_arrow(docs.select("doc_id", "text"), work, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(rows, work, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _turned(fp: Column, bits: int) -> Column:
@@ -113,15 +114,14 @@ def linked(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS) -
 
 
 def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that
-    links reach (null only if all of them are null)."""
+    """(doc_id, text_hash, fp, root, component_id) of every row: root names the class,
+    component_id is its smallest doc_id (null only if all of them are null)."""
     stored = cut(fingerprints(docs, shingle))
     groups = cut(stored.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = cut(linked(groups.select("fp"), max_diff, segments))
-    classes = roots.join(groups, "fp")
+    classes = cut(linked(groups.select("fp"), max_diff, segments)).join(groups, "fp")
     heads = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    sized = classes.join(heads, "root").select("fp", "component_id", "n")
-    return attach(stored, sized, ["fp"], ["doc_id"], count_col="n").select("doc_id", "fp", "component_id")
+    sized = classes.join(heads, "root").select("fp", "root", "component_id", "n")
+    return attach(stored, sized, ["fp"], ["doc_id"], count_col="n").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -130,14 +130,20 @@ def simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS) -> DataFrame:
-    """One whole row of each near-duplicate class: the one of the smallest doc_id; among
-    rows of equal doc_id, the first by the hash of the text.  Rows with a null doc_id stay
-    only in classes without another id."""
+    """One whole row of each near-duplicate class: the one of the smallest doc_id (nulls
+    last), among rows of equal doc_id the one of the smallest text hash, and any one of
+    rows that are equal in both."""
     classes = cut(near_duplicates(docs, max_diff, segments))
-    known = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(known, "doc_id")
-    single = kept.where("_n = 1").drop("_n")
-    several = kept.where("_n > 1").drop("_n")
-    names = [c for c in docs.columns if c != "doc_id"]
-    once = several.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("_r")).select("doc_id", "_r.*")
-    return single.select(docs.columns).unionByName(once.select(docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    best = classes.groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.hash")
+    sizes = classes.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["hash"] == b["hash"])
+    keys = cut(sizes.join(best, same(sizes, best), "left_semi"))
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), row.alias("row"))
+    single, repeated = keys.where("n = 1"), keys.where("n > 1")
+    kept = rows.join(single, same(rows, single), "left_semi")
+    if not repeated.isEmpty():
+        again = rows.join(repeated, same(rows, repeated), "left_semi")
+        kept = kept.unionByName(again.groupBy("id", "hash").agg(F.first("row").alias("row")))
+    return kept.select("row.*")
