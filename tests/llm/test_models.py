@@ -1,0 +1,269 @@
+"""Decontamination and the trained models against brute force."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from rateforge.llm import fm_index, hmm, kneser_ney, neighbours
+
+ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def lower(text):
+    return "".join(c.lower() if c.isascii() else c for c in text or "")
+
+
+def brute_hits(texts, items, window):
+    owners = defaultdict(set)
+    for i, t in items:
+        words = ITEM_WORD.findall(lower(t))
+        for k in range(max(1, len(words) - window + 1) if words else 0):
+            owners[tuple(words[k:k + window])].add(i)
+    out = []
+    for t in texts:
+        words = ITEM_WORD.findall(lower(t))
+        hit, found = np.zeros(len(words), bool), set()
+        for n in {len(w) for w in owners}:
+            for k in range(len(words) - n + 1):
+                if (o := owners.get(tuple(words[k:k + n]))):
+                    hit[k:k + n] = True
+                    found |= o
+        out.append((hit, found))
+    return out
+
+
+def random_words(rng, words, most):
+    return " ".join(rng.choice(words) for _ in range(rng.randrange(most)))
+
+
+def test_phrases_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(40):
+        words = [f"w{i}" for i in range(rng.choice([2, 3, 6, 30]))]
+        texts = [random_words(rng, [*words, "zz", "W1"], 60) for _ in range(25)] + ["", None]
+        texts += texts[:3]
+        items = [(str(i), random_words(rng, words, 8)) for i in range(12)] + [("9", "w0 w1"), ("x", None)]
+        window = rng.choice([2, 3, 4])
+        phrases = fm_index.Phrases(items, window)
+        hit, found = phrases.find([fm_index.words_of(t) for t in texts])
+        for h, f, (want_hit, want_found) in zip(hit, found, brute_hits(texts, items, window)):
+            assert (h == want_hit).all() and {phrases.names[x] for x in f} == want_found
+
+
+def test_suffix_array_orders_runs():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        s = rng.integers(0, 3, 60).astype(np.int32)
+        s[-1] = 0
+        order = fm_index.suffix_array(s)
+        n_zero, zeros = int((s == 0).sum()), np.cumsum(s == 0) - 1
+        keys = [tuple(int(zeros[i]) if s[i] == 0 else int(s[i]) + n_zero for i in range(k, len(s))) for k in range(len(s))]
+        ends = [k[:next(i for i, x in enumerate(k) if x < n_zero) + 1] for k in keys]
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: ends[i])
+
+
+def test_hits_in_blocks_equal_one_block(spark, odd, empty):
+    rng = random.Random(8)
+    words = ["aa", "bb", "cc", "dd"]
+    bench = spark.createDataFrame([(i, random_words(rng, words, 9) or None) for i in range(20)] + [(None, "aa bb cc")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, random_words(rng, [*words, "zz"], 40)) for i in range(40)], "doc_id bigint, text string")
+    one = sorted(map(tuple, fm_index.hits(docs, bench, 3).collect()))
+    many = sorted(map(tuple, fm_index.hits(docs, bench, 3, shard_bytes=100, block_bytes=100).collect()))
+    assert one == many
+    items = [(str(r.item_id) if r.item_id is not None else None, r.text) for r in bench.collect()]
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    for got, (hit, found) in zip(one, brute_hits([t for _, t in rows], items, 3)):
+        assert got[2] == hit.sum() and got[3] == sorted(found - {None})
+        assert sum(b - a for a, b in zip(got[4], got[5])) == hit.sum()
+    assert fm_index.contamination(odd, bench).count() == odd.count()
+    assert fm_index.contamination(empty, bench).count() == 0
+    assert fm_index.contamination(odd, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_removal_leaves_no_window(spark, odd):
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "one")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x A, b; c d y", 14), (2, "a b a b c d c d z", 17), (3, "clean", 5), (4, None, None)],
+                                 "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in fm_index.removed(docs, bench, 4).collect()}
+    assert got[1] == ("x \n y", 5) and got[3] == ("clean", 5) and got[4] == (None, None)
+    assert got[2][0].split() == ["z"]
+    out = fm_index.removed(odd, bench)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert {r.doc_id: r.text for r in out.collect()}[8] == "\n"
+
+
+def brute_kneser_ney(texts):
+    """p(w | u, v) by the textbook's recursion over dictionaries."""
+    three = Counter()
+    for t in texts:
+        words = ["", "", *t.split(), None]
+        three.update(zip(words, words[1:], words[2:]))
+    two = Counter((v, w) for _, v, w in three if v != "")
+    two.update({(v, w): c for (u, v, w), c in three.items() if v == ""})
+    one = Counter(w for _, w in two)
+    words = {w for w in one}
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        if not all(n[k] for k in (1, 2, 3, 4)):
+            return 0.5, 1.0, 1.5
+        y = n[1] / (n[1] + 2 * n[2])
+        return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) for k in (1, 2, 3))
+
+    def level(counts, context, w, below):
+        d = discounts(counts)
+        own = {k: c for k, c in counts.items() if k[:-1] == context}
+        if not own:
+            return below
+        total = sum(own.values())
+        left = sum(d[min(c, 3) - 1] for c in own.values()) / total
+        c = own.get((*context, w), 0)
+        return (c - d[min(c, 3) - 1] if c else 0) / total + left * below
+
+    def p(u, v, w):
+        below = level({(x,): c for x, c in one.items()}, (), w, 1 / (len(words) + 1))
+        return level(three, (u, v), w, level(two, (v,), w, below))
+
+    return p, words
+
+
+def test_probabilities_equal_the_recursion(spark):
+    rng = random.Random(1)
+    texts = [random_words(rng, "abcdefg", 12) for _ in range(40)]
+    model = kneser_ney.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    p, words = brute_kneser_ney(texts)
+    scorer = model.scorer()
+    for text in ["a b c", "", "z a z z b", "g f e d c b a", *texts[:5]]:
+        tokens = ["", "", *text.split(), None]
+        want = sum(math.log10(p(*t)) for t in zip(tokens, tokens[1:], tokens[2:]))
+        n, logs = scorer.scores([text])
+        assert n[0] == len(tokens) - 2 and logs[0] == pytest.approx(want, abs=1e-9)
+    # Every context's probabilities, the unknown word's included, sum to one.
+    ids = np.arange(model.base - 1)
+    for u, v in itertools.product([0, 1, 2, model.base - 1], [0, 1, 3]):
+        assert scorer.probabilities(np.full(len(ids), u), np.full(len(ids), v), ids).sum() == pytest.approx(1)
+
+
+def clean_and_junk(n):
+    rng = random.Random(2)
+    words = ["the", "of", "and", "sun", "moon", "river", "stone", "tree", "light", "wind"]
+    good = [(i, " ".join(rng.choice(words) for _ in range(40)), "en" if i % 3 else None, 1) for i in range(n)]
+    return good + [(10_000 + i, " ".join(f"X{rng.random()}%" for _ in range(40)), "en", 0) for i in range(n // 10)]
+
+
+def test_quality_keeps_clean_and_drops_junk(spark, odd, empty):
+    rows = clean_and_junk(300)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(None, None, None), (1, rows[1][1], "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows] + [(None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int")
+    got = kneser_ney.judged(docs, labels).collect()
+    assert len(got) == docs.count()
+    assert all(r.kept == (r.doc_id is None or r.doc_id < 10_000) for r in got)
+    assert kneser_ney.kept(docs, labels).count() == 302
+    assert kneser_ney.judged(odd, labels.where("false")).where("kept").count() == odd.count()
+    assert kneser_ney.judged(empty, labels).count() == 0
+    assert kneser_ney.kept(odd, labels).columns == odd.columns
+
+
+def test_index_equals_brute_force():
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(300):
+        terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
+        weights = rng.integers(1, 4, len(terms)).astype(float)
+        vectors.append((terms, weights / np.sqrt((weights ** 2).sum())))
+    index = neighbours.BlockMaxIndex(vectors, 40, 16)
+    dense = np.zeros((300, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for i in range(0, 300, 7):
+        scores = np.round(dense @ dense[i], 12)
+        want = sorted(((s, e) for e, s in enumerate(scores.tolist()) if s > 0), key=lambda x: (-x[0], x[1]))[:9]
+        got = index.nearest(*vectors[i], 9)
+        assert [e for _, e in got] == [e for _, e in want] or np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_toxicity_on_held_out_rows(spark, odd, empty):
+    rng = random.Random(3)
+    words, bad = [f"word{chr(97 + i)}" for i in range(26)], ["grobian", "lumpen", "schurke"]
+    rows = []
+    for i in range(900):
+        toxic = i % 9 == 0
+        text = [rng.choice(words) for _ in range(30)] + ([rng.choice(bad) + rng.choice(["", "en", "x"]) for _ in range(3)] if toxic else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, None), (9000, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(7, None), (None, 1)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in neighbours.toxicity(docs, labels).collect()}
+    assert len(got) == 902
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
+    assert all(got[i].predicted == y for i, _, y in rows)
+    assert 0 <= got[9000].score < 0.1 and got[None].score == got[9000].score
+    model = neighbours.fit(docs, labels)
+    assert neighbours.kept(docs, model).count() == 802
+    # Labels of the held-out fold play no part.
+    held = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0 or doc_id is null")
+    assert {r.doc_id: r.score for r in neighbours.toxicity(docs, held).collect()} == {i: r.score for i, r in got.items()}
+    assert neighbours.toxicity(odd, labels.where("false")).where("score = 0").count() == odd.count()
+    assert neighbours.toxicity(empty, labels).count() == 0
+
+
+def test_forward_and_expected_counts_equal_enumeration():
+    rng = np.random.default_rng(9)
+    k, size = 3, 5
+    model = hmm.HMM(*(x / x.sum(-1, keepdims=True) for x in (rng.random(k), rng.random((k, k)), rng.random((k, size)))))
+    texts = [rng.integers(0, size, n).astype("<u2") for n in (1, 4, 3, 4, 2)]
+    start, move, emit, logs = np.zeros(k), np.zeros((k, k)), np.zeros((k, size)), []
+    for t in texts:
+        paths = list(itertools.product(range(k), repeat=len(t)))
+        p = np.array([model.start[z[0]] * np.prod([model.emit[s, x] for s, x in zip(z, t)]) * np.prod([model.move[a, b] for a, b in zip(z, z[1:])]) for z in paths])
+        logs.append(np.log10(p.sum()))
+        for z, share in zip(paths, p / p.sum()):
+            start[z[0]] += share
+            for a, b in zip(z, z[1:]):
+                move[a, b] += share
+            for s, x in zip(z, t):
+                emit[s, x] += share
+    assert np.allclose(model.log10(texts), logs)
+    for got, want in zip(model.expected(texts), (start, move, emit)):
+        assert np.allclose(got, want)
+
+
+def test_language_scores(spark, odd, empty):
+    rng = random.Random(11)
+    rows = [(i, random_words(rng, ["Aa", "bb", "cc", f"r{i}", f"q{i % 7}"], 30) if i % 10 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string")
+    got = hmm.language_scores(docs, states=2, steps=2, own=3, hot_words=6).collect()
+    tokens = [(i, [*lower(t).split(), None]) for i, t in rows + rows[:2]]
+    counts = Counter(w for i, ws in tokens if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i, zlib.crc32(str(i).encode()) % 10 == 0, len(ws), sum(counts[w] > 0 for w in ws), n) for i, ws in tokens)
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == want
+    base = {i: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) for i, ws in tokens}
+    assert all(r.base_score == pytest.approx(base[r.doc_id], abs=1e-9) for r in got)
+    assert all(r.score < 0 for r in got)
+    # The first words of all texts, an unseen one per symbol included, have probability one together.
+    assert hmm.language_scores(odd, states=2, steps=1).count() == odd.count()
+    assert hmm.language_scores(empty, states=2, steps=1).count() == 0
+
+
+def test_symbols_and_shares_sum_to_one(spark):
+    docs = spark.createDataFrame([(i, f"aa bb c{i} d{i % 5} xa ya") for i in range(30)], "doc_id bigint, text string")
+    counts = hmm.cut(hmm.word_counts(docs))
+    v = hmm.vocabulary(counts, 30, own=2, hot_words=5)
+    words = {bytes(r.word): r.c for r in counts.collect()}
+    assert v.n_tokens == 30 * 7 and v.n_types == len(words) + 1
+    shares = defaultdict(float)
+    for w, c in words.items():
+        if w not in v.words[:2]:
+            s = hmm.suffix(w)
+            shares[s] += (c + hmm.SMOOTH) / (v.sum[s] + hmm.SMOOTH * (v.types[s] + 1))
+    assert all(x == pytest.approx(1 - hmm.SMOOTH / (v.sum[s] + hmm.SMOOTH * (v.types[s] + 1))) for s, x in shares.items())
+    assert v.counts.sum() == v.n_tokens
+    sent = {bytes(r.word): r.s for r in counts.select("word", hmm._suffix_col(hmm.F.col("word")).alias("s")).collect()}
+    assert sent == {w: hmm.suffix(w) for w in words}
