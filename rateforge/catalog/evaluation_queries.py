@@ -363,7 +363,7 @@ def _boot_cells(p: str, name: str) -> str:
 _SUMS = ", ".join(f"CAST(sum(w * {m}{i}) AS DOUBLE) AS {m}{i}" for m in ("a", "b") for i in range(25))
 _BOOT = f"""WITH {TWO}, g AS (SELECT grp, {_boot_cells('pred_base', 'a')}, {_boot_cells('pred_tr', 'b')} FROM two GROUP BY grp),
  p AS (SELECT *, row_number() OVER (ORDER BY {md5_hash('42', 'grp')}, grp) - 1 AS pos FROM g), k AS (SELECT count(*) AS gn FROM g),
- d AS (SELECT rep, {md5_hash('42', 'rep', 'pos')} % gn AS pos FROM p, k, range(200) r(rep)),
+ d AS (SELECT rep, {md5_hash('42', 'rep', 'pos')} % gn AS pos FROM p, k, range(1000) r(rep)),
  wt AS (SELECT rep, pos, count(*) AS w FROM d GROUP BY 1, 2), s AS (SELECT rep, {_SUMS} FROM wt JOIN p USING (pos) GROUP BY rep),
  f AS (SELECT {_macro('a')} AS fa, {_macro('b')} AS fb FROM s),
  t AS (SELECT {_macro('a')} AS fa, {_macro('b')} AS fb FROM (SELECT {_SUMS.replace('w * ', '')} FROM g)),
@@ -376,7 +376,7 @@ _BOOT = f"""WITH {TWO}, g AS (SELECT grp, {_boot_cells('pred_base', 'a')}, {_boo
 @query("E10_E13_bootstrap_hashed_draws", _BOOT)
 def _(spark, sf):
     out = bootstrap.cluster_bootstrap(
-        two_models(spark, sf), _BOOT_MODELS, "grp", 200, 42, _PAIRS, bootstrap.hashed_draws
+        two_models(spark, sf), _BOOT_MODELS, "grp", 1000, 42, _PAIRS, bootstrap.hashed_draws
     )
     return _r(out, "estimate", "low", "high")
 
@@ -491,6 +491,7 @@ _PARITY = f"""a AS (SELECT * FROM ({STACKED}) WHERE model = 'transformer'), b AS
 
 @query("M9_parity_check", f"""WITH {_PARITY} SELECT count(*) AS n, round(quantile_cont(gap, 0.5), 9) AS median, round(quantile_cont(gap, 0.95), 9) AS p95, round(max(gap), 9) AS maximum,
  round(avg(CASE WHEN pred_a = pred_b THEN 1.0 ELSE 0.0 END), 9) AS agreement, count(*) FILTER (pred_a <> pred_b) AS differing,
+ 2 * (SELECT count(*) FROM orders) - 2 * count(*) AS incomplete,
  avg(CASE WHEN pred_a = pred_b THEN 1.0 ELSE 0.0 END) >= 0.97 AND quantile_cont(gap, 0.5) <= 0.01 AS passed FROM pr""")
 def _(spark, sf):
     rows = rated_orders(spark, sf)

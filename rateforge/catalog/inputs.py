@@ -85,14 +85,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with at least as many scan partitions as cores.
-
-    A single-row-group file is read by one task; the exchange is only added then, so a
-    table of many files keeps its scan partitioning.
+    """The documents.  A session whose table is one unsplittable row group may name a
+    partition count in ``spark.rateforge.textPartitions``; without it nothing moves.
     """
     df = table(spark, sf, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+    spread = spark.conf.get("spark.rateforge.textPartitions", None)
+    return df.repartition(int(spread), "doc_id") if spread else df
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +152,7 @@ def words(expr: str) -> str:
 
 def md5_hash(seed: str, *ids: str) -> str:
     text = " || '|' || ".join([f"'{seed}'", *[f"CAST({i} AS VARCHAR)" for i in ids]])
-    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
 
 
 CLEANED = f"""

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.probs import PROB_COLS
 from ..operators import features, models, scoring, splitting
-from ..operators.features import TfidfConfig
 from ..plans.materialize import cut, shared_folder
 from ..sources import runlog, tables, tskv
 from ..streaming import scoring as stream
@@ -17,10 +16,7 @@ from .registry import query
 from .review_queries import _FIELDS_SQL, _LINE
 from .split_queries import SPLIT, split_orders
 
-WORDS = TfidfConfig("word", 1, 2, 20, 2_000)
-CHARS = TfidfConfig("char", 2, 3, 50, 1_000)
-VARIANTS = {"word": (WORDS,), "char": (CHARS,), "word+char": (WORDS, CHARS)}
-OPTIONS = {"configs": VARIANTS, "max_iter": 30}
+WORDS, CHARS = features.WORD_TFIDF, features.CHAR_TFIDF
 
 
 def documents(spark, sf) -> DataFrame:
@@ -30,8 +26,7 @@ def documents(spark, sf) -> DataFrame:
 _WORD_TERMS = rf"""t AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '{W[:-1]}]{{2,}}') AS w FROM documents),
  occ AS (SELECT row_id, unnest(w) AS term FROM t UNION ALL SELECT row_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t)"""
 _CHAR_TERMS = rf"""wd AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '{NOT_WS}+')) AS w FROM documents), pd AS (SELECT row_id, ' ' || w || ' ' AS p FROM wd),
- occ AS (SELECT row_id, unnest(list_transform(range(1, length(p)), lambda i: substr(p, i, 2))) AS term FROM pd
- UNION ALL SELECT row_id, unnest(list_transform(range(1, greatest(length(p) - 1, 2)), lambda i: substr(p, i, 3))) FROM pd)"""
+ occ AS ({' UNION ALL '.join(f"SELECT row_id, unnest(list_transform(range(1, length(p) - {n - 2}), lambda i: substr(p, i, {n}))) AS term FROM pd" for n in range(CHARS.low, CHARS.high + 1))})"""
 
 
 def _frequencies(occ: str, min_df: int) -> str:
@@ -39,13 +34,13 @@ def _frequencies(occ: str, min_df: int) -> str:
  df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term HAVING count(*) >= {min_df})"""
 
 
-@query("M1_word_document_frequencies", _frequencies(_WORD_TERMS, 20) + " SELECT term, df, cf, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS idf FROM df, n")
+@query("M1_word_document_frequencies", _frequencies(_WORD_TERMS, WORDS.min_df) + " SELECT term, df, cf, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS idf FROM df, n")
 def _(spark, sf):
     out = features.document_frequencies(documents(spark, sf), WORDS)
     return out.withColumn("idf", F.round("idf", 6))
 
 
-@query("M1_word_tfidf_weights", _frequencies(_WORD_TERMS, 20) + """, v AS (SELECT * FROM df ORDER BY cf DESC, term LIMIT 2000),
+@query("M1_word_tfidf_weights", _frequencies(_WORD_TERMS, WORDS.min_df) + f""", v AS (SELECT * FROM df ORDER BY cf DESC, term LIMIT {WORDS.max_features}),
  w AS (SELECT row_id, term, (1 + ln(tf)) * (ln((n + 1.0) / (df + 1)) + 1) AS w FROM tf JOIN v USING (term), n)
  SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM w""")
 def _(spark, sf):
@@ -53,7 +48,7 @@ def _(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("M2_char_document_frequencies", _frequencies(_CHAR_TERMS, 50) + " SELECT term, df, cf, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS idf FROM df, n")
+@query("M2_char_document_frequencies", _frequencies(_CHAR_TERMS, CHARS.min_df) + " SELECT term, df, cf, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS idf FROM df, n")
 def _(spark, sf):
     out = features.document_frequencies(documents(spark, sf), CHARS)
     return out.withColumn("idf", F.round("idf", 6))
@@ -89,7 +84,7 @@ def _parts(spark, sf) -> DataFrame:
 def _(spark, sf):
     rows = _parts(spark, sf)
     train, val = (rows.where(F.col("split") == p) for p in ("train", "val"))
-    run = models.run_experiment(train, val, "word", "balanced", **OPTIONS)
+    run = models.run_experiment(train, val, "word", "balanced")
     return run.model.transform(val).select("row_id", "rating", "y_pred", *PROB_COLS)
 
 
@@ -97,7 +92,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = _parts(spark, sf)
     return models.compare_configurations(
-        rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val"), **OPTIONS
+        rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
     )
 
 
@@ -107,7 +102,7 @@ def _(spark, sf):
     pool = rows.where(F.col("split") == "train")
     sizes = [pool.count() // 4, pool.count() // 2]
     runs_, summary, chosen = models.learning_curve(
-        pool, rows.where(F.col("split") == "val"), sizes, 2, "word", "balanced", **OPTIONS
+        pool, rows.where(F.col("split") == "val"), sizes, 2, "word", "balanced"
     )
     return summary.withColumn("chosen_size", chosen.scalar())
 
@@ -117,23 +112,22 @@ def _(spark, sf):
     rows = rated_texts(spark, sf)
     grouped = cut(splitting.make_split(rows, 42, group="grp"))
     n = rows.count() // 2
-    return models.leak_inflation(grouped, _parts(spark, sf), n, **OPTIONS)
+    return models.leak_inflation(grouped, _parts(spark, sf), n)
 
 
 def _scorer(spark, sf):
     train = _parts(spark, sf).where(F.col("split") == "train")
-    return models.fit_rating_model(train, (WORDS,), "balanced", max_iter=30)
+    return models.fit_rating_model(train, (WORDS,), "balanced")
 
 
 @query("M8_P18_batch_scoring")
 def _(spark, sf):
     scored = scoring.score(documents(spark, sf), _scorer(spark, sf), temperature=1.3)
     return scored.select("row_id", "prediction.rating", "prediction.confidence",
-                         "prediction.expected_rating", "prediction.truncated")
+                         "prediction.expected_rating", "prediction.truncated", "reason")
 
 
-@query("M8_user_model_hook", r"""SELECT doc_id AS row_id, CASE WHEN contains(text, 'the') THEN 5 ELSE 1 END AS rating, CAST(0.6 AS DOUBLE) AS confidence, length(text) > 5000 AS truncated
- FROM documents WHERE length(text) BETWEEN 1 AND 20000""")
+@query("M8_user_model_hook", r"""SELECT doc_id AS row_id, CASE WHEN contains(text, 'the') THEN 5 ELSE 1 END AS rating, CAST(0.6 AS DOUBLE) AS confidence, length(text) > 5000 AS truncated FROM documents""")
 def _(spark, sf):
     def load():
         def predict(batch):
@@ -156,11 +150,11 @@ def _(spark, sf):
     requests = stream.read_requests(spark, sf, schema, pattern="documents.parquet")
     job = stream.start_scoring(
         requests.select(F.col("doc_id").alias("row_id"), "text"),
-        lambda df: scoring.score(df, model, 1.3).select("row_id", "prediction"),
+        lambda df: scoring.score(df, model, 1.3).select("row_id", "prediction", "reason"),
         f"{folder}/out", f"{folder}/offsets",
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("row_id", "prediction.rating", "prediction.confidence")
+    return spark.read.parquet(f"{folder}/out").select("row_id", "prediction.rating", "prediction.confidence", "reason")
 
 
 # ------------------------------------------------------------------- storage
@@ -177,7 +171,8 @@ def _(spark, sf):
         predictions(rows, seed).withColumn("model", F.lit(name)).withColumn("split", split)
         for name, seed in MODELS.items()
     ]
-    tables.write_predictions(stored[0].unionByName(stored[1]), folder)
+    for rows_ in stored:  # each model by its own call
+        tables.write_predictions(rows_, folder)
     return tables.read_predictions(spark, folder, "transformer", "val").select("row_id", "y_true", "y_pred")
 
 
@@ -214,8 +209,9 @@ def _(spark, sf):
 def _(spark, sf):
     folder = _folder(spark)
     counts = rated_orders(spark, sf).groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
-    counts.select(F.to_json(F.struct("y_true", "n")).alias("value")).repartition(5, "y_true").write.text(folder)
-    return spark.read.json(folder).select(F.col("y_true").cast("int").alias("y_true"), "n")
+    # One JSON document: an array of at most five records.
+    counts.agg(F.to_json(F.collect_list(F.struct("y_true", "n"))).alias("value")).write.text(folder)
+    return tables.read_json_if_exists(spark, folder).select(F.col("y_true").cast("int").alias("y_true"), "n")
 
 
 @query("K5_experiment_log", "SELECT event_type AS model, count(*) AS dataset_size, round(avg(value), 6) AS mae FROM events GROUP BY event_type")

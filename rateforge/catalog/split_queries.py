@@ -27,7 +27,7 @@ def _(spark, sf):
 
 
 @query("T8_nested_subsamples", f"""SELECT row_id, rep AS repeat, 42 + rep AS seed, size FROM (SELECT row_id, rep, row_number() OVER (PARTITION BY rep ORDER BY
- CAST(('0x' || substr(md5(CAST(42 + rep AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT), row_id) AS r FROM ({ORDERS}), (VALUES (0), (1), (2)) v(rep)),
+ CAST(('0x' || substr(md5(CAST(42 + rep AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)), 1, 15)) AS BIGINT), row_id) AS r FROM ({ORDERS}), (VALUES (0), (1), (2)) v(rep)),
  (VALUES (100), (250), (500)) z(size) WHERE r <= size""")
 def _(spark, sf):
     out = sampling.nested_subsamples(rated_orders(spark, sf), [100, 250, 500], 3, 42)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-HASH_BITS = 32
+HASH_BITS = 60
 
 
 def seeded_hash(seed: int | str, *ids: Column) -> Column:
-    """Uniform 32-bit hash of ``seed|id`` as a bigint (first eight hex digits of MD5)."""
+    """Uniform 60-bit hash of ``seed|id`` as a bigint (first fifteen hex digits of MD5)."""
     text = F.concat_ws("|", F.lit(str(seed)), *[i.cast("string") for i in ids])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

@@ -11,9 +11,31 @@ from ..plans.materialize import cut
 from ..plans.ranking import bucket_offsets, with_hash
 from .metrics import count_cells, macro_f1
 
-# Groups per block, unless that would make more than MAX_BLOCKS blocks.
+# Groups per block.
 BLOCK_GROUPS = 2_000
-MAX_BLOCKS = 20_000
+
+
+def block_shares(
+    sizes: np.ndarray, block: int, n_draws: int, n_boot: int, seed: int
+) -> np.ndarray:
+    """Draws that fall on one block in every replicate, of ``n_draws`` over all blocks.
+
+    The blocks are the leaves of a binary tree whose every node splits its draws by a
+    binomial seeded with the node, so all blocks agree on the split and each walks only
+    its own path: together a multinomial by block size.
+    """
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    share = np.full(n_boot, n_draws, dtype=np.int64)
+    low, high, node = 0, len(sizes), 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        all_, left = upto[high] - upto[low], upto[mid] - upto[low]
+        part = np.random.default_rng([seed, node]).binomial(share, left / all_ if all_ else 0.5)
+        if block < mid:
+            share, high, node = part, mid, 2 * node
+        else:
+            share, low, node = share - part, mid, 2 * node + 1
+    return share
 
 
 def group_cells(df: DataFrame, models: dict[str, str], group: str) -> DataFrame:
@@ -36,30 +58,29 @@ def _scores(sums: DataFrame, models, pairs, keep=()) -> DataFrame:
 def block_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame:
     """Summed cells per replicate, drawn block by block.
 
-    Groups are spread over blocks by hash.  A replicate first
-    splits its draws over the blocks (multinomial by block size, the same in every
-    task because the generator is seeded by replicate) and each block then draws its
-    share among its own groups.  Together that is the plain multinomial bootstrap, yet
-    only n_boot rows per block are shuffled.
+    Groups are spread over blocks by hash.  A replicate first splits its draws over the
+    blocks and each block then draws its share among its own groups.  Together that is
+    the plain multinomial bootstrap, yet only n_boot rows per block are shuffled.  The
+    driver holds one size per block.
     """
     n_groups = groups.count()
-    n_blocks = min(max(1, -(-n_groups // BLOCK_GROUPS)), MAX_BLOCKS)
+    n_blocks = max(1, -(-n_groups // BLOCK_GROUPS))
     names = [f"{m}_{i}" for m in models for i in range(25)]
     blocked = groups.withColumn(
         "block", F.pmod(F.xxhash64("group"), F.lit(n_blocks)).cast("int")
     )
-    sizes = np.zeros(n_blocks)
+    sizes = np.zeros(n_blocks, dtype=np.int64)
     for r in blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["block"]] = r["n"]
-    weights = sizes / max(sizes.sum(), 1.0)
+    sent = groups.sparkSession.sparkContext.broadcast(sizes)
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(key[0])
         cells = pdf.sort_values("group")[names].to_numpy(dtype=np.float64)
         out = np.empty((n_boot, len(names)))
+        shares = block_shares(sent.value, block, n_groups, n_boot, seed)
         for rep in range(n_boot):
-            share = np.random.default_rng([seed, rep]).multinomial(n_groups, weights)[block]
-            picks = np.random.default_rng([seed, rep, block]).integers(0, len(cells), share)
+            picks = np.random.default_rng([seed, rep, block]).integers(0, len(cells), shares[rep])
             out[rep] = np.bincount(picks, minlength=len(cells)) @ cells
         result = pd.DataFrame(out, columns=names)
         result.insert(0, "rep", np.arange(n_boot))

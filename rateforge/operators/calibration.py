@@ -65,7 +65,8 @@ def best_of_grid(df: DataFrame, grid: list[float], y: str = "y_true") -> DataFra
 def fit_temperature(
     df: DataFrame, y: str = "y_true", tolerance: float = 1e-9, passes: int = 60
 ) -> float:
-    """Temperature in [0.05, 20] of least log-loss.
+    """Temperature in [0.05, 20] of least log-loss; an empty split or a search that has not
+    settled after ``passes`` steps is an error.
 
     The loss is convex in 1/T, so Newton steps kept inside a bracket converge in a
     handful of passes.  Each pass is one aggregate over a cached six-column projection.
@@ -83,7 +84,9 @@ def fit_temperature(
             "dy", f"({first}) / ({total}) AS mean", f"({second}) / ({total}) AS square"
         )
         row = moments.selectExpr("avg(mean - dy) AS first", "avg(square - mean * mean) AS second").first()
-        return row["first"] or 0.0, row["second"] or 0.0
+        if row["first"] is None:
+            raise ValueError("no rows to fit a temperature on")
+        return row["first"], row["second"]
 
     low, high, at = 1.0 / HIGH_T, 1.0 / LOW_T, 1.0
     try:
@@ -99,6 +102,8 @@ def fit_temperature(
                 at = following
                 break
             at = following
+        else:
+            raise RuntimeError(f"the temperature did not settle in {passes} steps")
     finally:
         logs.unpersist()
     return 1.0 / at

@@ -152,13 +152,16 @@ def members(df: DataFrame, keys: DataFrame, on: list[str], keep: bool = True) ->
     return df.join(keys.select(*on), on, "left_semi" if keep else "left_anti")
 
 
-def validate_requests(df: DataFrame, max_chars: int = tx.MAX_TEXT_CHARS) -> DataFrame:
-    """Add ``reason``: null for a scorable text, else why it is rejected."""
+def validate_requests(df: DataFrame, max_chars: int | None = tx.MAX_TEXT_CHARS) -> DataFrame:
+    """Add ``reason``: null for a scorable text, else why it is rejected.
+
+    ``max_chars`` is the limit of single requests; None sets none.
+    """
     t = F.col("text")
     reason = (
         F.when(t.isNull(), "missing")
         .when(F.length(t) < 1, "empty")
-        .when(F.length(t) > max_chars, "too_long")
+        .when(F.lit(False) if max_chars is None else F.length(t) > max_chars, "too_long")
         .when(tx.is_blank(t), "blank")
     )
     return df.withColumn("reason", reason)

@@ -85,16 +85,20 @@ def with_ngrams(df: DataFrame, config: TfidfConfig, out: str) -> DataFrame:
 
 
 def _term_counts(df: DataFrame, config: TfidfConfig) -> DataFrame:
-    """(row_id, term, tf).
+    """(row_id, term, tf), counted inside each row.
 
-    The texts are partitioned by row before they are taken apart, so counting per row
-    and term shuffles each text once and never the much larger n-grams.
+    In the sorted n-grams a term is a run; the distance from its first place to the next
+    run's is its frequency.
     """
-    grams = with_ngrams(df.select("row_id", "text").repartition("row_id"), config, "terms")
-    rows = grams.select("row_id", F.explode_outer("terms").alias("term")).where(
-        F.col("term").isNotNull()
-    )
-    return rows.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    grams = with_ngrams(df.select("row_id", "text"), config, "terms")
+
+    def runs(t: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return F.transform(F.array(firsts), lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("tf"))))[0]
+
+    counted = F.transform(F.array(F.sort_array("terms")), lambda t: F.when(F.size(t) > 0, runs(t)))[0]
+    return grams.select("row_id", F.explode(counted).alias("r")).select("row_id", "r.*")
 
 
 def term_statistics(df: DataFrame, config: TfidfConfig) -> DataFrame:
@@ -220,10 +224,8 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     raw = tf.join(known, "term").select(
         "row_id", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
     )
-    norms = raw.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "row_id").select(
-        "row_id", "term", (F.col("w") / F.col("norm")).alias("weight")
-    )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("row_id")))
+    return raw.select("row_id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def document_frequencies(df: DataFrame, config: TfidfConfig) -> DataFrame:

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``, or a fresh local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rateforge-")
+    """Folder for intermediate tables: the one the session names in
+    ``spark.checkpoint.dir``.  Only a local session may leave it unset and gets a
+    temporary one; machines of a cluster would not share such a folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="rateforge-")
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def interpolated_wide(
     while open_ := {k: b for k, b in brackets.items() if b.rows > small and b.low < b.high}:
         shrunk = _shrink(values, open_, spots, accuracy)
         if all(shrunk[k] == open_[k] for k in open_):
-            break
+            raise RuntimeError("quantile brackets did not narrow; use a higher accuracy")
         brackets |= shrunk
     cells = []
     for k, b in brackets.items():

@@ -39,7 +39,8 @@ def smallest_by_hash(
     strata = list(strata)
     keyed = with_hash(df.dropna(subset=strata) if strata else df, ids, seed)
     offsets = bucket_offsets(keyed, strata).where(F.col("_before") < n)
-    near = keyed.join(offsets, [*strata, "_b"])
+    # Without strata there are at most 65,536 offsets: the rows stay where they are.
+    near = keyed.join(offsets if strata else F.broadcast(offsets), [*strata, "_b"])
     inside = W.partitionBy(*strata, "_b").orderBy("_h", *ids)
     ranked = near.withColumn("rank", F.col("_before") + F.row_number().over(inside))
     return ranked.where(F.col("rank") <= n).drop("_h", "_b", "_cnt", "_before")

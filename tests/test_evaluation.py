@@ -182,6 +182,8 @@ def test_parity(spark):
     b = a.withColumn("y_pred", F.when(F.col("row_id") < 10, 2).otherwise(1))
     assert not parity.parity_check(a, b).first().passed
     assert [r.row_id for r in parity.mismatches(a, b, 3).collect()] == [0, 1, 2]
+    part = parity.parity_check(a, a.where("row_id < 2")).first()
+    assert part.n == 2 and part.incomplete == a.count() - 2 and part.agreement == 1 and not part.passed
 
 
 def test_run_statistics(spark):

@@ -89,13 +89,14 @@ def test_log_odds(spark):
 def test_scoring_batch_stream_and_hook(spark, reviews, tmp_path):
     model = models.fit_rating_model(reviews, (WORDS,), None, c=100.0, max_iter=50)
     requests = reviews.select("row_id", "text").unionByName(
-        spark.createDataFrame([(100, " "), (101, None)], "row_id long, text string"))
+        spark.createDataFrame([(100, " "), (101, None), (102, "плохо место " * 3000)], "row_id long, text string"))
     batch = scoring.score(requests, model, 1.3, max_tokens=1)
     rows = {r.row_id: r.prediction for r in batch.collect()}
-    assert len(rows) == 30 and rows[0].truncated and not rows[2].truncated
-    assert all(1 <= p.rating <= 5 and math.isclose(sum(p.probabilities.values()), 1, abs_tol=1e-3) for p in rows.values())
-    good, bad = scoring.quarantine(requests)
-    assert good.count() == 30 and sorted(r.reason for r in bad.collect()) == ["blank", "missing"]
+    assert len(rows) == 33 and rows[0].truncated and not rows[2].truncated and rows[102].truncated
+    assert {r.row_id: r.reason for r in batch.where("reason is not null").collect()} == {100: "blank", 101: "missing"}
+    assert rows[100] is None and rows[101] is None
+    scored = [p for p in rows.values() if p]
+    assert all(1 <= p.rating <= 5 and math.isclose(sum(p.probabilities.values()), 1, abs_tol=1e-3) for p in scored)
 
     requests.repartition(3).write.parquet(str(tmp_path / "in"))
     source = stream.read_requests(spark, str(tmp_path / "in"), requests.schema, files_per_trigger=1)
@@ -109,7 +110,7 @@ def test_scoring_batch_stream_and_hook(spark, reviews, tmp_path):
         return lambda batch: [([0.1, 0.1, 0.1, 0.2, 0.5], len(t) > 9) for t in batch]
 
     hooked = {r.row_id: r.prediction for r in scoring.score_with(requests, load).collect()}
-    assert len(hooked) == 30 and hooked[0].rating == 5 and hooked[0].truncated and not hooked[2].truncated
+    assert len(hooked) == 33 and hooked[100] is None and hooked[102].truncated and hooked[0].rating == 5 and hooked[0].truncated and not hooked[2].truncated
 
 
 def test_learning_curve_and_comparison(spark, reviews):

@@ -55,6 +55,17 @@ def test_derived_table_is_rebuilt_only_for_new_sources(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_unfinished_cache_is_built_anew(spark, tmp_path):
+    source = tmp_path / "src"
+    source.mkdir()
+    (source / "a.txt").write_text("one\n")
+    path = lambda: next((tmp_path / "c").iterdir())
+    tables.derived_table(spark, str(source), str(tmp_path / "c"), spark.read.text)
+    for f in [*path().glob("*"), *path().glob(".*")]:
+        f.unlink()
+    assert tables.derived_table(spark, str(source), str(tmp_path / "c"), spark.read.text).count() == 1
+
+
 def test_json_result_may_be_missing(spark, tmp_path):
     assert tables.read_json_if_exists(spark, str(tmp_path / "none.json")) is None
     (tmp_path / "x.json").write_text('{"a": 1}')
@@ -67,6 +78,11 @@ def test_predictions_are_pruned_and_missing_ones_fail(spark, tmp_path):
     assert [r.row_id for r in tables.read_predictions(spark, str(tmp_path / "p"), "m", "val").collect()] == [1]
     with pytest.raises(FileNotFoundError):
         tables.read_predictions(spark, str(tmp_path / "p"), "other", "val")
+    # A second model, and new rows of one split, leave everything else in place.
+    tables.write_predictions(spark.createDataFrame([(5, "other", "val")], df.schema), str(tmp_path / "p"))
+    tables.write_predictions(spark.createDataFrame([(6, "m", "test")], df.schema), str(tmp_path / "p"))
+    stored = {(r.model, r.split, r.row_id) for r in spark.read.parquet(str(tmp_path / "p")).collect()}
+    assert stored == {("m", "val", 1), ("m", "test", 6), ("other", "val", 5)}
 
 
 def test_split_is_written_once(spark, tmp_path):
