@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bins, probs
-from ..operators import bootstrap, calibration, errors, joins, metrics, parity, runs, sampling
+from ..operators import analysis, bootstrap, calibration, errors, joins, metrics, parity, runs, sampling
 from .inputs import (
     CLASSES, MODELS, ORDERS, REVIEW_TRUTH, SEEDS, argmax_sql, md5_hash,
     predictions, predictions_sql, rated_orders, review_truth, reviews, sq, table, words,
@@ -484,6 +484,42 @@ def _(spark, sf):
     return _r(out.drop("temperature"), *_EVAL_COLS)
 
 
+# ------------------------------------------------------- analysis of one part
+def _analysis_sql(split: str) -> str:
+    part = f"(SELECT *, {_AGREE} AS agreement FROM two WHERE {_SPLIT} = '{split}')"
+    rows = [f"SELECT 'errors' AS section, agreement AS key, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM {part} GROUP BY agreement"]
+    for m, p in (("base", "pred_base"), ("tr", "pred_tr")):
+        rows.append(f"SELECT 'slices', 'agreement/' || agreement || '/{m}', count(*), round(avg(CASE WHEN y_true = {p} THEN 1.0 ELSE 0.0 END), 6) FROM {part} GROUP BY agreement")
+        rows.append(f"SELECT 'bootstrap', '{m}', n, round({_macro()}, 6) FROM (SELECT count(*) AS n, {_cells(p=p)} FROM {part})")
+    return f"""WITH {TWO}, tt AS ({_fitted_sql().replace(', 5) AS temperature', ', 12) AS temperature')}), sp AS (SELECT * FROM (SELECT *, {_SPLIT} AS split FROM ({STACKED})) WHERE split = '{split}'),
+ ba AS (SELECT model, 'before' AS stage, y_true, p1, p2, p3, p4, p5 FROM sp UNION ALL SELECT sp.model, 'after', y_true, {_AFTER} FROM sp JOIN tt t USING (model))
+ {' UNION ALL '.join(rows)} UNION ALL SELECT 'calibration', k, n, log_loss FROM ({_evaluate_sql("SELECT *, model || '/' || stage AS k FROM ba", 'k')})"""
+
+
+def _analysis(spark, sf, split: str, **options) -> DataFrame:
+    rows = two_models(spark, sf).withColumn("split", F.expr(_SPLIT.replace("VARCHAR", "STRING")))
+    label = errors.agreement_label(F.col("y_true"), F.col("pred_base"), F.col("pred_tr"))
+    found = analysis.analyse(rows.withColumn("agreement", label), _by_split(spark, sf), split, ["agreement"], "grp", **options)
+    total = found["errors"].agg(F.count(F.lit(1))).scalar()
+    parts = [
+        found["errors"].groupBy(F.col("agreement").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("value")).select(F.lit("errors").alias("section"), "key", "n", "value"),
+        found["slices"].select(F.lit("slices").alias("section"), F.concat_ws("/", "slice", "value", "model").alias("key"), "n", F.col("accuracy").alias("value")),
+        found["bootstrap"].where("significant is null").select(F.lit("bootstrap").alias("section"), F.col("name").alias("key"), total.alias("n"), F.col("estimate").alias("value")),
+        found["calibration"].select(F.lit("calibration").alias("section"), F.concat_ws("/", "model", "stage").alias("key"), "n", F.col("log_loss").alias("value")),
+    ]
+    return _r(reduce(DataFrame.unionByName, parts), "value")
+
+
+@query("E14_analysis_val", _analysis_sql("val"))
+def _(spark, sf):
+    return _analysis(spark, sf, "val")
+
+
+@query("E14_analysis_test", _analysis_sql("test"))
+def _(spark, sf):
+    return _analysis(spark, sf, "test", allow_test=True)
+
+
 # -------------------------------------------------------------------- parity
 _PARITY = f"""a AS (SELECT * FROM ({STACKED}) WHERE model = 'transformer'), b AS ({predictions_sql(3, ORDERS)}),
  pr AS (SELECT row_id, a.y_pred AS pred_a, b.y_pred AS pred_b, greatest({', '.join(f'abs(a.p{k} - b.p{k})' for k in CLASSES)}) AS gap FROM a JOIN b USING (row_id))"""

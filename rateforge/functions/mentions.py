@@ -7,6 +7,9 @@ Both are written without lookaround so the patterns run on Java and on RE2.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from .text import NOT_WORD, WORD, WS
@@ -47,20 +50,34 @@ MENTION_MATCH = "совпадает с оценкой"
 MENTION_DIFF = "не совпадает с оценкой"
 
 
-def _found(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+# What a pattern cannot match without: literal searches decide before the pattern runs.
+EARLY_NEEDS = (
+    ("/", "из"), ("звезд", "звёзд", "балл", "*"), ("оцен", "став"), ("на", "оцен", "став"),
+)
+DIGIT_NEEDS, VERB_NEEDS, WORD_NEEDS = ("зв", "балл", "из", "/"), ("оценк", "став", "да"), ("зв",)
+
+
+def _lowered(text: Column, body) -> Column:
+    """``body`` of the lower-cased text, which is made once."""
+    return F.transform(F.array(F.lower(text)), body)[0]
+
+
+def _has(text: Column, needs: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(n)) for n in needs])
+
+
+def _found(text: Column, pattern: str, group: int, needs: tuple[str, ...]) -> Column:
+    return F.when(_has(text, needs), F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
 
 
 def prioritised_mention(text: Column) -> Column:
     """Digit with a unit, else verb with a digit, else number word with a unit."""
-    low = F.lower(text)
-    word = _found(low, WORD_UNIT, 1)
-    spelled = F.when(F.lit(False), F.lit(None).cast("int"))
-    for w, v in WORD_VALUES.items():
-        spelled = spelled.when(word == w, F.lit(v))
-    return F.coalesce(
-        _found(low, DIGIT_UNIT, 1).cast("int"), _found(low, VERB_DIGIT, 1).cast("int"), spelled
-    )
+    values = F.create_map(*[F.lit(x) for pair in WORD_VALUES.items() for x in pair])
+    return _lowered(text, lambda low: F.coalesce(
+        _found(low, DIGIT_UNIT, 1, DIGIT_NEEDS).cast("int"),
+        _found(low, VERB_DIGIT, 1, VERB_NEEDS).cast("int"),
+        F.try_element_at(values, _found(low, WORD_UNIT, 1, WORD_NEEDS)),
+    ))
 
 
 def _stem_value(word: Column) -> Column:
@@ -72,20 +89,19 @@ def _stem_value(word: Column) -> Column:
 
 def earliest_mention(text: Column) -> Column:
     """Value of the leftmost mention; on a tie the earlier pattern wins."""
-    low = F.lower(text)
-    hits = []
-    for i, pattern in enumerate(EARLY_PATTERNS):
+
+    def hit(low: Column, i: int) -> Column:
+        pattern = EARLY_PATTERNS[i]
         start = F.regexp_instr(low, F.lit(pattern))
         shift = F.length(F.regexp_extract(low, pattern, 1))
         raw = F.regexp_extract(low, pattern, 2)
         value = raw.cast("int") if i < 3 else _stem_value(raw)
-        hits.append(
-            F.when(
-                start > 0,
-                F.struct((start + shift).alias("at"), F.lit(i).alias("no"), value.alias("value")),
-            )
-        )
-    return F.least(*hits)["value"].cast("double")
+        found = F.struct((start + shift).alias("at"), F.lit(i).alias("no"), value.alias("value"))
+        return F.when(_has(low, EARLY_NEEDS[i]), F.when(start > 0, found))
+
+    return _lowered(
+        text, lambda low: F.least(*[hit(low, i) for i in range(len(EARLY_PATTERNS))])["value"]
+    ).cast("double")
 
 
 def mention_group(mention: Column, truth: Column) -> Column:
