@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bins, probs
 from ..operators import analysis, bootstrap, calibration, errors, joins, metrics, parity, runs, sampling
+from ..plans.materialize import cut
 from .inputs import (
     CLASSES, MODELS, ORDERS, REVIEW_TRUTH, SEEDS, argmax_sql, md5_hash,
     predictions, predictions_sql, rated_orders, review_truth, reviews, sq, table, words,
@@ -386,6 +387,20 @@ def _(spark, sf):
     return bootstrap.cluster_bootstrap(two_models(spark, sf), _BOOT_MODELS, "grp", 1000, 42, _PAIRS)
 
 
+@query("E10_E13_block_against_hashed_draws", "SELECT name, true AS same_estimate, true AS close_limits FROM (VALUES ('baseline'), ('transformer'), ('transformer - baseline')) v(name)")
+def _(spark, sf):
+    """The production draw against the checkable one: equal estimates, and limits at most a
+    quarter of the interval apart."""
+    rows = cut(two_models(spark, sf))
+    runs_ = [bootstrap.cluster_bootstrap(rows, _BOOT_MODELS, "grp", 1000, 42, _PAIRS, draws=d)
+             for d in (bootstrap.block_draws, bootstrap.hashed_draws)]
+    other = runs_[1].select("name", *[F.col(c).alias(f"o_{c}") for c in ("estimate", "low", "high")])
+    near = lambda c: F.abs(F.col(c) - F.col(f"o_{c}")) <= (F.col("o_high") - F.col("o_low")) / 4
+    return runs_[0].join(other, "name").select(
+        "name", (F.abs(F.col("estimate") - F.col("o_estimate")) < 1e-12).alias("same_estimate"),
+        (near("low") & near("high")).alias("close_limits"))
+
+
 # --------------------------------------------------------------- calibration
 def _temper_sql(t: str) -> dict[int, str]:
     z = {k: f"ln(least(greatest(p{k}, 1e-12), 1.0)) / {t}" for k in CLASSES}

@@ -115,6 +115,40 @@ def _(spark, sf):
     return models.leak_inflation(grouped, _parts(spark, sf), n)
 
 
+@query("M3_invariants", """SELECT CAST(floor(count(*) * 0.15) AS BIGINT) AS n, true AS sums_to_one, true AS predicts_largest, true AS beats_constant FROM documents""")
+def _(spark, sf):
+    """What holds for any fit: every val row scored, probabilities that sum to one, their
+    largest predicted, and better accuracy than always answering the commonest rating."""
+    rows = _parts(spark, sf)
+    train, val = (rows.where(F.col("split") == p) for p in ("train", "val"))
+    scored = cut(models.fit_rating_model(train, (WORDS,), "balanced").transform(val).select("rating", "y_pred", *PROB_COLS))
+    best = F.greatest(*PROB_COLS)
+    total = sum((F.col(c) for c in PROB_COLS[1:]), F.col(PROB_COLS[0]))
+    commonest = scored.groupBy("rating").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.bool_and(F.get(F.array(*PROB_COLS), F.col("y_pred") - 1) == best).alias("predicts_largest"),
+        (F.count_if(F.col("rating") == F.col("y_pred")) > commonest).alias("beats_constant"),
+    )
+
+
+@query("M8_V1_batch_equals_stream", """SELECT count(*) AS n, count(*) FILTER (text IS NULL OR regexp_matches(text, '^\\s*$')) AS with_reason,
+ count(*) FILTER (length(text) > 20000) AS long_scored, CAST(0 AS BIGINT) AS differing, true AS confident FROM documents""")
+def _(spark, sf):
+    """Every row comes back from batch and stream alike, long texts scored."""
+    model = _scorer(spark, sf)
+    docs = documents(spark, sf)
+    batch = scoring.score(docs, model, 1.3).select("row_id", F.length("text").alias("size"), "prediction", "reason")
+    stored = stream_scores(spark, sf, model).select("row_id", F.col("prediction.rating").alias("streamed"))
+    both = batch.join(stored, "row_id", "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count("reason").alias("with_reason"),
+        F.count_if((F.col("size") > 20_000) & F.col("prediction").isNotNull()).alias("long_scored"),
+        F.count_if(~F.col("prediction.rating").eqNullSafe(F.col("streamed"))).alias("differing"),
+        F.bool_and(F.col("prediction.confidence").between(0.2, 1.0)).alias("confident"),
+    )
+
+
 def _scorer(spark, sf):
     train = _parts(spark, sf).where(F.col("split") == "train")
     return models.fit_rating_model(train, (WORDS,), "balanced")
@@ -142,9 +176,8 @@ def _(spark, sf):
     return scored.select("row_id", "prediction.rating", "prediction.confidence", "prediction.truncated")
 
 
-@query("V1_streaming_scoring")
-def _(spark, sf):
-    model = _scorer(spark, sf)
+def stream_scores(spark, sf, model) -> DataFrame:
+    """What a stream over the documents' files has stored when it has read them all."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "documents").schema
     requests = stream.read_requests(spark, sf, schema, pattern="documents.parquet")
@@ -154,7 +187,13 @@ def _(spark, sf):
         f"{folder}/out", f"{folder}/offsets",
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("row_id", "prediction.rating", "prediction.confidence", "reason")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("V1_streaming_scoring")
+def _(spark, sf):
+    scored = stream_scores(spark, sf, _scorer(spark, sf))
+    return scored.select("row_id", "prediction.rating", "prediction.confidence", "reason")
 
 
 # ------------------------------------------------------------------- storage

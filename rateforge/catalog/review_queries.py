@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, mentions, text as tx
 from ..operators import cleaning, groups, profile, terms
+from ..plans.materialize import cut
 from ..plans.ranking import top_n
 from ..sources import tskv
 from .inputs import (
@@ -298,6 +299,21 @@ def _(spark, sf):
     )
 
 
+@query("A3_approximate_ranks", "SELECT measure, true AS within FROM (VALUES ('chars'), ('words')) v(measure)")
+def _(spark, sf):
+    """Every approximate quantile has a rank within 1/1000 of the wanted one, counted exactly."""
+    t = F.col("text")
+    rows = normalised(spark, sf).select(F.length(t).alias("chars"), tx.word_count(t, squeezed=True).alias("words"))
+    long = cut(rows.select(F.expr("inline(array(struct('chars' AS measure, chars AS v), struct('words' AS measure, words AS v)))")).where("v is not null"))
+    table_ = profile.approximate_quantile_profile(rows, {m: F.col(m) for m in ("chars", "words")})
+    probs = profile.QUANTILES
+    shares = long.join(F.broadcast(table_), "measure").groupBy("measure").agg(
+        *[F.avg((F.col("v") < F.col(k)).cast("double")).alias(f"lo_{k}") for k in probs],
+        *[F.avg((F.col("v") <= F.col(k)).cast("double")).alias(f"hi_{k}") for k in probs])
+    ok = [(F.col(f"lo_{k}") <= p + 0.001) & (F.col(f"hi_{k}") >= p - 0.001) for k, p in probs.items()]
+    return shares.select("measure", F.array_min(F.array(*ok)).alias("within"))
+
+
 @query("A4_length_by_group", f"""WITH raw AS ({REVIEWS}), n AS (SELECT split_part(address, ',', 1) AS place, {norm_text('text')} AS t FROM raw),
  w AS (SELECT place, {words('t')} AS words FROM n)
  SELECT place, round(avg(words), 6) AS mean, round(quantile_cont(words, 0.5), 6) AS p50, round(quantile_cont(words, 0.9), 6) AS p90,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
 from ..operators import leakage, neardup, profile, sampling, splitting
+from ..plans.materialize import cut
 from .inputs import (
     CLASSES, ORDERS, W, fold, md5_hash, rated_orders, table, texts,
 )
@@ -58,13 +59,25 @@ def _(spark, sf):
     return split_orders(spark, sf)
 
 
-@query("X1_group_split_with_hot_groups")
+_HOT = "(SELECT CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE concat(source, lang) END AS grp FROM documents)"
+
+
+@query("X1_group_split_with_hot_groups", f"""SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(DISTINCT grp) FROM {_HOT}) AS groups,
+ true AS groups_whole, true AS ids_whole, true AS hot_in_train, true AS parts_known""")
 def _(spark, sf):
     rows = table(spark, sf, "documents").selectExpr(
         "doc_id AS row_id", "CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE concat(source, lang) END AS grp",
         "CAST(1 + n_chars % 5 AS INT) AS y_true",
     )
-    return splitting.make_split(rows, 42, FRACTIONS, "grp", "y_true", CLASSES)
+    out = cut(splitting.make_split(rows, 42, FRACTIONS, "grp", "y_true", CLASSES))
+    # The draw itself is ours; what every draw must keep is checked over all rows.
+    groups = out.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("a"), F.max("split").alias("b"))
+    missing = rows.join(out, "row_id", "left_anti").count()
+    return groups.agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.bool_and(F.col("a") == F.col("b")).alias("groups_whole"),
+        F.lit(missing == 0).alias("ids_whole"), F.bool_and((F.col("grp") != "hot") | (F.col("a") == "train")).alias("hot_in_train"),
+        F.bool_and(F.col("a").isin(*splitting.PARTS)).alias("parts_known"),
+    )
 
 
 @query("X3_random_split", f"""WITH n AS (SELECT count(*) AS n FROM ({ORDERS})), r AS (SELECT row_id, row_number() OVER (ORDER BY {md5_hash('42', 'row_id')}, row_id) AS r FROM ({ORDERS}))

@@ -91,7 +91,9 @@ def align(models: dict[str, DataFrame]) -> DataFrame:
 
 
 def attach_texts(pairs: DataFrame, texts: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Texts of both members of a table of id pairs."""
+    """Texts of both members of a small table of id pairs, which is what is sent out:
+    the texts stay where they are."""
     a = texts.select(F.col("row_id").alias(left_id), F.col("text").alias("left_text"))
     b = texts.select(F.col("row_id").alias(right_id), F.col("text").alias("right_text"))
-    return pairs.join(a, left_id).join(b, right_id)
+    half = a.join(F.broadcast(pairs), left_id)
+    return b.join(F.broadcast(half), right_id)

@@ -184,7 +184,7 @@ def slice_table(
         F.expr("sum(IF(y_true = y_pred, w, 0L)) AS hits"),
         F.expr("sum(w * abs(y_true - y_pred)) AS abs_error"),
     )
-    total = df.agg(F.count(F.lit(1))).scalar().cast("double")
+    total = combos.agg(F.sum("w")).scalar().cast("double")
     n = F.col("n").cast("double")
     f1 = macro_f1(present_only=True)
     return stats.select(

