@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from rateforge.catalog import all_queries
@@ -26,7 +27,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
-        spark__ui__enabled="false",
+        spark__ui__enabled="false", spark__rateforge__textPartitions=cpus,
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="rateforge-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, times = all_queries(), {}
