@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-*Terms* are words and their first four and five letters, lower-cased; those that the
-labelled examples' classes differ in (likelihood ratio) are kept.  *Weights* are
+*Terms* are words and their first four and five letters, lower-cased; those that toxic
+labelled examples hold more often than the others do (likelihood ratio) are kept.  *Weights* are
 (1 + ln tf) x idf, idf over all documents, at unit length.  Examples of equal weights are
 one entry of the index with its counts of both classes.
 
@@ -85,34 +85,40 @@ class BlockMaxIndex:
     """Entries of unit vectors in blocks with per-term maxima."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        n_blocks = -(-self.n // block) if self.n else 0
+        n_blocks = -(-len(vectors) // block)
+        self.block = block
         self.most = np.zeros((n_terms, n_blocks))
-        found: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                found.setdefault((t, e // block), []).append((e % block, w))
-        self.postings = {}
-        for (t, b), entries in found.items():
-            self.postings[t, b] = np.array([e for e, _ in entries]), np.array([w for _, w in entries])
-            self.most[t, b] = max(w for _, w in entries)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        # For each block: the row of every term in its postings (the last row is empty).
+        self.row = np.full((n_blocks, n_terms), -1, np.int32)
+        self.postings = []
+        for b in range(n_blocks):
+            own = vectors[b * block:(b + 1) * block]
+            terms = np.unique(np.concatenate([t for t, _ in own]))
+            self.row[b, terms] = np.arange(len(terms))
+            weights = np.zeros((len(terms) + 1, block))
+            for e, (t, w) in enumerate(own):
+                weights[self.row[b, t], e] = w
+            self.most[terms, b] = weights[:-1].max(axis=1)
+            self.postings.append(weights)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(similarity, entry) of the k nearest entries of positive similarity, best first,
-        equal ones by entry.  ``without`` is an entry to leave out."""
+        equal ones by entry."""
         bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
+        best = np.zeros(0)
+        entries = np.zeros(0, np.int64)
         for b in np.argsort(-bounds, kind="stable").tolist():
             # A bound is a sum in another order than a score: a hair's breadth is no skip.
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
+            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-9:
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                if (p := self.postings.get((t, b))) is not None:
-                    scores[p[0]] += w * p[1]
-            own = [(s, b * self.block + e) for e, s in enumerate(scores.tolist()) if s > 0 and b * self.block + e != without]
-            best = sorted(best + [(round(s, 12), e) for s, e in own], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            scores = np.round(weights @ self.postings[b][self.row[b, terms]], 12)
+            good = np.flatnonzero(scores >= best[-1] if len(best) == k else scores > 0)
+            if len(good):
+                best = np.concatenate((best, scores[good]))
+                entries = np.concatenate((entries, good + b * self.block))
+                order = np.lexsort((entries, -best))[:k]
+                best, entries = best[order], entries[order]
+        return list(zip(best.tolist(), entries.tolist()))
 
 
 def _sigmoid(x: float) -> float:
@@ -230,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     if n1 and n0:
         counts = map_arrow(texts, listed, "term string, n10 bigint, n11 bigint")
         counts = counts.groupBy("term").agg(F.sum("n10").alias("n10"), F.sum("n11").alias("n11")).where(F.col("n10") + F.col("n11") >= LEAST_EXAMPLES)
-        rated = counts.withColumn("g", F.round(_ratio(F.col("n11"), F.col("n10"), n1, n0), 6)).where(F.col("g") >= LEAST_RATIO)
+        rated = counts.where(F.col("n11") * n0 > F.col("n10") * n1).withColumn("g", F.round(_ratio(F.col("n11"), F.col("n10"), n1, n0), 6)).where(F.col("g") >= LEAST_RATIO)
         best = rated.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()
         terms = {r["term"]: i for i, r in enumerate(sorted(best))}
 
