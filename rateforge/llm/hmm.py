@@ -11,8 +11,8 @@ text's probability is the symbols' times the shares.
 
 *Training.*  Baum-Welch: each task runs the scaled forward-backward recursion over its
 texts, many side by side, and returns expected counts, which Spark sums over all tasks;
-the driver only divides them.  ``STEPS`` steps cover the whole training part.  They start
-from a model that ``FIRST_STEPS`` steps made of a sample of at most ``FIRST_TOKENS`` tokens.
+the driver only divides them.  Every step covers the whole training part; they end when a
+step gains less than ``TOLERANCE`` of log-likelihood (natural) a token.
 For training a text of more than ``SEGMENT`` tokens is cut into segments.
 
 *Scoring.*  The scaled forward recursion over whole texts, so the likelihood is exact.
@@ -33,11 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded, cut, map_arrow
+from .common import cut, map_arrow
 from .neighbours import fold
 
 FOLDS, SMOOTH = 10, 0.1
-STATES, STEPS, FIRST_STEPS, FIRST_TOKENS = 8, 3, 20, 400_000
+STATES, TOLERANCE = 8, 5e-4
 OWN, SUFFIXES, SUFFIX_BYTES = 3_000, 509, 3
 HOT_WORDS, HOT_BYTES = 300_000, 64
 SEGMENT, PACK = 1024, 400_000
@@ -230,6 +230,10 @@ class HMM:
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions over symbol sequences."""
+        return self.expected_and_log(texts)[:3]
+
+    def expected_and_log(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """``expected`` and the sequences' log-likelihood."""
         k, size = self.emit.shape
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
         texts = sorted(texts, key=len, reverse=True)
@@ -246,6 +250,7 @@ class HMM:
             scale = alpha.sum(1, keepdims=True)
             alphas.append(alpha / scale)
             scales.append(scale)
+        log = float(sum(np.log(s).sum() for s in scales))
         held, n_held = [], 0
 
         def flush() -> None:
@@ -275,7 +280,7 @@ class HMM:
             alphas[t] = None
         if held:
             flush()
-        return start, move * self.move, emit
+        return start, move * self.move, emit, log
 
 
 def segments(texts: list[bytes]) -> list[np.ndarray]:
@@ -298,8 +303,9 @@ def _packs(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
         yield pack
 
 
-def baum_welch_step(sequences: DataFrame, model: HMM, overall: np.ndarray) -> HMM:
-    """The next model: expected counts of all tasks, summed by Spark."""
+def baum_welch_step(sequences: DataFrame, model: HMM, overall: np.ndarray) -> tuple[HMM, float]:
+    """The next model, of expected counts of all tasks, summed by Spark, and the
+    log-likelihood under ``model``."""
     sent = sequences.sparkSession.sparkContext.broadcast(model)
     states, size = model.emit.shape
 
@@ -307,7 +313,7 @@ def baum_welch_step(sequences: DataFrame, model: HMM, overall: np.ndarray) -> HM
         total = None
         texts = (t for b in batches for s in range(0, b.num_rows, 512) for t in b.column(0).slice(s, 512).to_pylist())
         for pack in _packs(texts):
-            found = np.concatenate([x.ravel() for x in sent.value.expected(segments(pack))])
+            found = np.concatenate([np.ravel(x) for x in sent.value.expected_and_log(segments(pack))])
             total = found if total is None else total + found
         if total is not None:
             # One vector of a fixed length a task, in rows of 64 numbers.
@@ -319,23 +325,25 @@ def baum_welch_step(sequences: DataFrame, model: HMM, overall: np.ndarray) -> HM
     sums = rows.groupBy("i").agg(*[F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(64)]).toPandas().sort_values("i")
     flat = sums.drop(columns="i").to_numpy().ravel()
     if not len(flat):
-        return model
+        return model, 0.0
     a, b = states, states + states * states
-    return HMM.of_counts(flat[:a], flat[a:b].reshape(states, states), flat[b:b + states * size].reshape(states, size), overall)
+    c = b + states * size
+    return HMM.of_counts(flat[:a], flat[a:b].reshape(states, states), flat[b:c].reshape(states, size), overall), float(flat[c])
 
 
-def trained(sequences: DataFrame, vocabulary: Vocabulary, states: int = STATES, steps: int = STEPS) -> HMM:
-    """Model of the (row, n_tokens, symbols) rows."""
+def trained(sequences: DataFrame, vocabulary: Vocabulary, states: int = STATES, steps: int | None = None) -> HMM:
+    """Model of the (row, n_tokens, symbols) rows; ``steps`` ends training earlier."""
     overall = vocabulary.overall()
     model = HMM.guess(overall, states)
-    sample = bounded(sequences, "row", F.col("n_tokens"), FIRST_TOKENS, "first").select("row", "symbols").collect()
-    if not sample:
-        return model
-    pieces = segments([bytes(r["symbols"]) for r in sorted(sample, key=lambda r: r["row"])])
-    for _ in range(FIRST_STEPS):
-        model = HMM.of_counts(*model.expected(pieces), overall)
-    for _ in range(steps):
-        model = baum_welch_step(sequences, model, overall)
+    sequences = cut(sequences.select("symbols"))
+    before, done = None, 0
+    while steps is None or done < steps:
+        after, log = baum_welch_step(sequences, model, overall)
+        if before is not None and log - before < TOLERANCE * vocabulary.n_tokens:
+            return model
+        model, before, done = after, log, done + 1
+        if not vocabulary.n_tokens:
+            break
     return model
 
 
@@ -365,7 +373,7 @@ def scored(rows: DataFrame, model: HMM) -> DataFrame:
     return rows.select("row", "symbols").mapInArrow(run, "row bigint, path double")
 
 
-def language_scores(docs: DataFrame, states: int = STATES, steps: int = STEPS, own: int = OWN, hot_words: int = HOT_WORDS) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = STATES, steps: int | None = None, own: int = OWN, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     training = docs.where(fold(F.col("doc_id"), FOLDS) != 0)
     counts = cut(word_counts(training))

@@ -252,6 +252,19 @@ def test_language_scores(spark, odd, empty):
     assert hmm.language_scores(empty, states=2, steps=1).count() == 0
 
 
+def test_training_covers_all_rows_until_it_gains_little(spark):
+    """Equal models from any partitioning, and no step over all rows gains more than stated."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 5, 30) if i % 2 else rng.integers(4, 9, 30) for i in range(80)]
+    rows = [(i, len(t), bytearray(t.astype("<u2").tobytes())) for i, t in enumerate(texts)]
+    sequences = spark.createDataFrame(rows, "row bigint, n_tokens bigint, symbols binary")
+    v = hmm.Vocabulary([(bytes([97 + i]), 300) for i in range(8)], 2400, 9, 80, 8, {}, 4)
+    a, b = (hmm.trained(sequences.repartition(n), v, 2) for n in (1, 5))
+    assert np.allclose(a.emit, b.emit) and np.allclose(a.move, b.move)
+    after = hmm.HMM.of_counts(*a.expected(texts), v.overall())
+    assert (after.log10(texts).sum() - a.log10(texts).sum()) * np.log(10) / 2400 < hmm.TOLERANCE
+
+
 def test_symbols_and_shares_sum_to_one(spark):
     docs = spark.createDataFrame([(i, f"aa bb c{i} d{i % 5} xa ya") for i in range(30)], "doc_id bigint, text string")
     counts = hmm.cut(hmm.word_counts(docs))
