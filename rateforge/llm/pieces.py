@@ -140,6 +140,12 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.side_by_side = SideBySide(self.ids, self.scores)
         self.line_end = self._word("\n") if self.plain else b""
+        # Source bytes of every piece; the first byte piece of a character has all of its.
+        self.lengths = np.array([len(s or b"") for s in self.surface], np.int64)
+        self.inner = np.zeros(len(self.surface), bool)
+        for b, i in self.bytes.items():
+            self.lengths[i] = 1 if b < 0x80 else 0 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+            self.inner[i] = 0x80 <= b < 0xC0
 
     # normalising
 
@@ -296,6 +302,22 @@ class Pieces:
                 at += len(p)
         return out
 
+    def located(self, text: str | None) -> tuple[bytes, np.ndarray]:
+        """``encode_packed(text)`` and ``spans(text)`` as an array of two columns.  Where
+        every character stands for itself the spans follow from the ids, as pieces lie end
+        to end and a mark is a space, but for the added one."""
+        packed = self.encode_packed(text)
+        if not text or self.map or self.squeeze or not self.bytes or MARK in text:
+            return packed, np.array(self.spans(text), np.int64).reshape(-1, 2)
+        ids = np.frombuffer(packed, "<u4")[1:-1]
+        lengths, inner = self.lengths[ids], self.inner[ids]
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        if inner.any():
+            starts = starts[np.maximum.accumulate(np.where(inner, 0, np.arange(len(ids))))]
+        both = np.stack((starts, ends), 1)
+        return packed, np.maximum(both - 1, 0) if self.dummy else both
+
     # decoding
 
     def decode(self, ids) -> str:
@@ -382,24 +404,27 @@ class SideBySide:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256) of every row; the last
+    is of the pieces' original byte spans, start and end as little-endian unsigned 32-bit
+    integers, begin and end left out."""
 
     def work(batch: pa.RecordBatch, pieces: Pieces) -> Iterator[pa.RecordBatch]:
-        n, ids, decoded = [], [], []
+        n, ids, decoded, spans = [], [], [], []
         for start in range(0, batch.num_rows, 1024):
             texts = batch.column(1).slice(start, 1024).to_pylist()
             pieces.learn(texts)
             for text in texts:
-                packed = pieces.encode_packed(text)
+                packed, found = pieces.located(text)
+                spans.append(hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(pieces.decode(np.frombuffer(packed, "<u4")).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(spans)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work,
-                     "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda: Pieces(path))
+                     "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string", lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

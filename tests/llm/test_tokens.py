@@ -89,6 +89,15 @@ def test_digests_of_odd_rows(odd, empty, library):
     assert pieces.digests(empty, PIECES).count() == 0
 
 
+def test_digests_hold_the_spans(odd):
+    own = pieces.Pieces(PIECES)
+    for text in [*strings(["a", " ", "  ", "thé", "日", "\n", "\U0001f600", "▁", "\x00", "xyz"], 1000, 9), *(r.text for r in odd.collect())]:
+        packed, spans = own.located(text)
+        assert packed == own.encode_packed(text) and spans.tolist() == [list(x) for x in own.spans(text)], ascii(text)[:200]
+    want = sorted((r.doc_id or 0, hashlib.sha256(b"".join(struct.pack("<II", *x) for x in own.spans(r.text))).hexdigest()) for r in odd.collect())
+    assert sorted((r.doc_id or 0, r.spans_sha256) for r in pieces.digests(odd, PIECES).collect()) == want
+
+
 def test_encode_decode_tables(odd):
     encoded = pieces.encode(odd.where("doc_id in (1, 7)"), PIECES)
     assert {r.doc_id: len(r.ids) - 2 - len(r.starts) for r in encoded.collect()} == {1: 0, 7: 0}
