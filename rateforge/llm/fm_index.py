@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lower_ascii
+from .common import cut, lower_ascii
 
 WINDOW, RATE = 10, 16
 SHARD_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
@@ -317,8 +317,11 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_b
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with all occurrences of benchmark windows cut out of ``text``, and
     ``n_chars``, where there is one, set anew in changed rows.  Texts that change are
-    searched again until nothing occurs, as a cut brings other words together."""
+    searched again until nothing occurs, as a cut brings other words together.  Hits of all
+    blocks are joined before a cut, so the blocks' number does not matter."""
     blocks = phrase_blocks(benchmark, window, block_bytes)
+    if len(blocks) > 1:
+        return _removed_in_rounds(docs, blocks, shard_bytes)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -346,6 +349,52 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_b
                 yield pa.RecordBatch.from_arrays(arrays, schema=shard.schema)
         return run
 
-    for phrases in blocks if len(blocks) == 1 else [*blocks, *blocks]:
-        docs = docs.mapInArrow(one(phrases), docs.schema)
-    return docs
+    return docs.mapInArrow(one(blocks[0]), docs.schema)
+
+
+def _removed_in_rounds(docs: DataFrame, blocks: list, shard_bytes: int) -> DataFrame:
+    """``removed`` for several blocks.  A round marks the hit words of every block on the
+    unchanged texts and then cuts once; texts that changed go into the next round."""
+    at = docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    seen = "_seen"
+    while seen in docs.columns:
+        seen += "_"
+
+    def mark(phrases):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in shards(batches, shard_bytes=shard_bytes):
+                hit, _ = phrases.value.find([words_of(t.as_py()) for t in shard.column(at)])
+                bits = shard.column(len(shard.schema) - 1).to_pylist()
+                for i, h in enumerate(hit):
+                    if h.any():
+                        own = np.packbits(h)
+                        bits[i] = (own if bits[i] is None else own | np.frombuffer(bits[i], np.uint8)).tobytes()
+                yield pa.RecordBatch.from_arrays([*shard.columns[:-1], pa.array(bits, pa.binary())], schema=shard.schema)
+        return run
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            hit = {i: b for i, b in enumerate(arrays[-1].to_pylist()) if b is not None}
+            if hit:
+                texts = arrays[at].to_pylist()
+                for i, b in hit.items():
+                    texts[i] = without(texts[i], np.unpackbits(np.frombuffer(b, np.uint8)))
+                arrays[at] = pa.array(texts, arrays[at].type)
+                if count is not None:
+                    old = arrays[count]
+                    arrays[count] = pa.array([len(texts[i]) if i in hit else v for i, v in enumerate(old.to_pylist())], old.type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    done, now = docs.limit(0), docs
+    while True:
+        now = now.withColumn(seen, F.lit(None).cast("binary"))
+        schema = now.schema
+        for phrases in blocks:
+            now = now.mapInArrow(mark(phrases), schema)
+        now = cut(now.mapInArrow(cut_out, schema))
+        done = done.unionByName(now.where(F.col(seen).isNull()).drop(seen))
+        now = now.where(F.col(seen).isNotNull()).drop(seen)
+        if now.isEmpty():
+            return done

@@ -86,6 +86,20 @@ def test_hits_in_blocks_equal_one_block(spark, odd, empty):
     assert fm_index.contamination(odd, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_removal_in_blocks_equals_one_block(spark):
+    rng = random.Random(4)
+    w = [f"w{i}" for i in range(1, 26)]
+    words = ["aa", "bb", "cc", "dd"]
+    items = [(1, " ".join(w[:20])), (2, " ".join(w[10:]))] + [(i, random_words(rng, words, 9)) for i in range(3, 9)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(0, "x " + " ".join(w) + " y", 1), (1, None, None), (2, "", 0)] + [(i, random_words(rng, [*words, "zz"], 60), 3) for i in range(3, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    assert len(fm_index.phrase_blocks(bench, 5, 100)) > 1
+    one = sorted(map(tuple, fm_index.removed(docs, bench, 5).collect()))
+    many = sorted(map(tuple, fm_index.removed(docs, bench, 5, block_bytes=100).collect()))
+    assert one == many and one[0][1].split() == ["x", "y"]
+
+
 def test_removal_leaves_no_window(spark, odd):
     bench = spark.createDataFrame([(1, "a b c d"), (2, "one")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "x A, b; c d y", 14), (2, "a b a b c d c d z", 17), (3, "clean", 5), (4, None, None)],
