@@ -21,9 +21,8 @@ fingerprint; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,7 @@ from .common import cut, map_arrow, texts_of
 from .components import components
 
 SEED, MAX_DIFF, SEGMENTS = 42, 3, 4
-#: Shingle words and least Jaccard similarity of the pipeline's near copies.
-SHINGLE, SIMILARITY = 5, 0.8
 _BLOCK = 1 << 16
-_BUCKETS, _ASKED = 1 << 20, 1 << 24
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -117,19 +113,15 @@ def linked(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS) -
         "fp", F.coalesce("root", "label").alias("root"))
 
 
-def _classified(stored: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    groups = cut(stored.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    classes = cut(classes_of(groups)).join(groups, "fp")
-    heads = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    sized = classes.join(heads, "root").select("fp", "root", "component_id", "n")
-    return attach(stored, sized, ["fp"], ["doc_id"], count_col="n").select("doc_id", "text_hash", "fp", "root", "component_id")
-
-
 def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, shingle: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) of every row: root names the class,
     component_id is its smallest doc_id (null only if all of them are null)."""
     stored = cut(fingerprints(docs, shingle))
-    return _classified(stored, lambda groups: linked(groups.select("fp"), max_diff, segments))
+    groups = cut(stored.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    classes = cut(linked(groups.select("fp"), max_diff, segments)).join(groups, "fp")
+    heads = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    sized = classes.join(heads, "root").select("fp", "root", "component_id", "n")
+    return attach(stored, sized, ["fp"], ["doc_id"], count_col="n").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -137,152 +129,11 @@ def simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of ``text``."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = map(b" ".join, zip(*[words[k:] for k in range(shingle)])) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64))
-
-
-def _set_id(hashes: np.ndarray) -> int:
-    """The number of a set of shingles as a signed bigint."""
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
-
-
-def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Steps of the logarithm of how often the shingles of a bucket (their last bits) occur:
-    a table of a fixed size, in which only frequent shingles stand out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(_BUCKETS, np.int64), [], 0
-
-        def add() -> None:
-            np.add(total, np.bincount((np.concatenate(held) & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS), out=total)
-
-        for batch in batches:
-            for text in texts_of(batch):
-                held.append(shingles(text, shingle))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    add()
-                    held, size = [], 0
-        if held:
-            add()
-            # One vector of a fixed length a task, in rows of 64 numbers.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(_BUCKETS // 64), pa.int32()), pa.array(list(total.reshape(-1, 64)), pa.list_(pa.int64()))], ["i", "x"])
-
-    rows = docs.select("text").mapInArrow(run, "i int, x array<bigint>")
-    sums = rows.groupBy("i").agg(*[F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(64)]).toPandas().sort_values("i")
-    counts = sums.drop(columns="i").to_numpy(float).ravel() if len(sums) else np.zeros(_BUCKETS)
-    return np.floor(4 * np.log2(1 + counts)).astype(np.uint8)
-
-
-def rarest(hashes: np.ndarray, steps: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity x n) + 1 of a set's hashes in the order of all: sets at
-    ``similarity`` or more have one of them in common."""
-    own = steps[(hashes & np.uint64(_BUCKETS - 1)).astype(np.int64)]
-    return hashes[np.lexsort((hashes, own))[:len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]]
-
-
-def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Columns as of ``near_duplicates``; classes are linked by pairs of texts whose sets of
-    word shingles have an exact Jaccard similarity of ``similarity`` or more.
-
-    Fingerprints of such pairs differ in some ten bits, for which ring segments hardly
-    prune; so sets meet by their rarest shingles, which loses no pair.  Where many sets
-    share a shingle they first link to two of them, and only pairs of sets that are still
-    in different classes are made.  Shingles are hashed again for sets that are compared
-    rather than kept for all.  Wordless texts are one class."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, shingle))
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps, sizes, heads = [], [], []
-        for text in texts_of(batch):
-            hashes = shingles(text, shingle)
-            fps.append(_set_id(hashes))
-            sizes.append(len(hashes))
-            heads.append(rarest(hashes, sent.value, similarity).view(np.int64) if len(hashes) else [])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "fp", "size", "head"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    stored = cut(map_arrow(rows, work, "doc_id bigint, text_hash bigint, fp bigint, size int, head array<bigint>"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The (a, b) of set ids that reach the similarity."""
-        pairs = cut(pairs)
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        # Bits of the asked ids, of a fixed size: they only spare rows the shuffle.
-        low = asked.select(F.col("fp").bitwiseAND(_ASKED - 1).cast("int").alias("i"))
-        words = low.groupBy(F.floor(F.col("i") / 64).cast("int").alias("w")).agg(
-            F.expr("bit_or(shiftleft(1L, i % 64)) as x")).toPandas()
-        bits = np.zeros(_ASKED // 64, np.int64)
-        bits[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-        marks = docs.sparkSession.sparkContext.broadcast(bits)
-
-        def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            found: dict[int, np.ndarray] = {}
-            for text in texts_of(batch):
-                hashes = shingles(text, shingle)
-                i = (fp := _set_id(hashes)) & _ASKED - 1
-                if int(marks.value[i >> 6]) >> (i & 63) & 1:
-                    found[fp] = hashes
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array([h.tobytes() for h in found.values()], pa.binary())], ["fp", "hs"])
-
-        known = map_arrow(docs.select("text"), sets, "fp bigint, hs binary").join(asked, "fp", "left_semi")
-        known = cut(known.groupBy("fp").agg(F.first("hs").alias("hs")))
-
-        def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = []
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            return batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
-
-        sides = pairs.join(known.select(F.col("fp").alias("a"), F.col("hs").alias("x")), "a").join(
-            known.select(F.col("fp").alias("b"), F.col("hs").alias("y")), "b").select("a", "b", "x", "y")
-        return map_arrow(sides, compare, "a bigint, b bigint")
-
-    def classes(groups: DataFrame) -> DataFrame:
-        sets = stored.groupBy("fp").agg(F.first("size").alias("size"), F.first("head").alias("head"))
-        met = cut(sets.select("fp", "size", F.explode("head").alias("h")))
-        ends = met.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-        shared = cut(met.join(ends, "h"))
-        fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-        stars = shared.select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-        stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        first = components(verified(stars))
-        labelled = cut(groups.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", F.coalesce("root", "fp").alias("label")))
-        # Shingles whose sets are all in one class are done.
-        rows = shared.select("fp", "size", "h").join(labelled, "fp")
-        mixed = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        rows = cut(rows.join(mixed, "h", "left_semi"))
-        left = rows.select("h", F.col("fp").alias("a"), F.col("size").alias("m"), F.col("label").alias("la"))
-        right = rows.select("h", F.col("fp").alias("b"), F.col("size").alias("n"), F.col("label").alias("lb"))
-        pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("m"), F.col("n")))
-        label = lambda c: labelled.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"))
-        links = verified(pairs.select("a", "b").distinct()).join(label("a"), "a").join(label("b"), "b")
-        second = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        return labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select(
-            "fp", F.coalesce("root", "label").alias("root"))
-
-    return _classified(stored.select("doc_id", "text_hash", "fp"), classes)
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One whole row of each class of ``similar`` texts: the one of the smallest doc_id (nulls
+def keep_one(docs: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, shingle: int = 3) -> DataFrame:
+    """One whole row of each class of ``near_duplicates``: the one of the smallest doc_id (nulls
     last), among rows of equal doc_id the one of the smallest text hash, and any one of
     rows that are equal in both."""
-    classes = cut(similar(docs, shingle, similarity))
+    classes = cut(near_duplicates(docs, max_diff, segments, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     best = classes.groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.hash")
     sizes = classes.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
