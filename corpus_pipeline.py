@@ -6,8 +6,8 @@ last return the columns of ``documents``:
 
 quality          rows whose shrunk perplexity is over their language's threshold go
 toxicity         rows scored 0.5 or more by their nearest labelled examples go
-near_duplicates  of texts linked by a Jaccard similarity of 0.8 or more over shingles of five
-                 words, the one of the smallest doc_id stays
+near_duplicates  of texts linked by SimHash fingerprints of three-word shingles at most three
+                 bits apart, the one of the smallest doc_id stays
 decontamination  occurrences of benchmark windows are cut out of the texts
 sentencepiece    documents become token ids and byte spans, with their count and digests
 
