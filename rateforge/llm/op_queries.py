@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fm_index, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
+from . import fm_index, hard_negatives, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -60,3 +60,8 @@ def op7(spark, sf_dir):
 @query("op8_hidden_markov")
 def op8(spark, sf_dir):
     return hmm.language_scores(read(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", hard_negatives.SQL)
+def op13(spark, sf_dir):
+    return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
