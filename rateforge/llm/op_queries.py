@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fm_index, hard_negatives, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
+from . import collocations, fm_index, hard_negatives, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -65,3 +65,8 @@ def op8(spark, sf_dir):
 @query("op13_hard_negatives", hard_negatives.SQL)
 def op13(spark, sf_dir):
     return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_collocations", collocations.SQL)
+def op11(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
