@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import collocations, fm_index, hard_negatives, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, token_counts, url_trust
+from . import collocations, fm_index, hard_negatives, hilbert, hmm, host_rules, kneser_ney, neighbours, pieces, simhash, suffix_dedup, token_counts, url_trust
 from .common import read
 from .registry import query
 
@@ -70,3 +70,8 @@ def op13(spark, sf_dir):
 @query("op11_collocations", collocations.SQL)
 def op11(spark, sf_dir):
     return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op12_suffix_dedup")
+def op12(spark, sf_dir):
+    return suffix_dedup.removals(read(spark, sf_dir, "documents"))
