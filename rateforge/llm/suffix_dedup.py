@@ -38,7 +38,7 @@ from .common import map_arrow, stored
 LENGTH, HOT = 200, 1_000
 BUCKET_BYTES, MOST_STRINGS = 1 << 20, 1_000
 MOST_BITS = 1 << 27
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,8 +55,9 @@ def difference_cover_order(s: np.ndarray) -> np.ndarray:
     triples = [text[sample + k] for k in range(3)]
     if 3 * most.bit_length() <= 63:
         key = (triples[0] * most + triples[1]) * most + triples[2]
-        order = np.argsort(key, kind="stable")
-        new = key[order][1:] != key[order][:-1]
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
     else:
         order = np.lexsort(triples[::-1])
         new = np.any([t[order][1:] != t[order][:-1] for t in triples], axis=0)
@@ -70,7 +71,7 @@ def difference_cover_order(s: np.ndarray) -> np.ndarray:
     # The others: ordered by their first symbol and the rank behind it.
     wide = len(twelve) + 1
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(text[rest] * wide + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(text[rest] * wide + rank[rest + 1])]
     first, second = twelve[twelve % 3 == 1], twelve[twelve % 3 == 2]
     before = np.searchsorted(text[first] * wide + rank[first + 1], text[rest] * wide + rank[rest + 1])
     pair = text[:-1] * most + text[1:]
@@ -195,8 +196,11 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield own + start, place, place - begins[own], np.diff(np.append(firsts, len(at))), least[place], data
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.schema.get_field_index("data")).to_pylist()]
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A few rows at a time with their texts, so that not all exist twice."""
+    for start in range(0, batch.num_rows, 256):
+        part = batch.slice(start, 256)
+        yield part, [t or b"" for t in part.column(0).to_pylist()]
 
 
 def _bits(hashes: DataFrame) -> tuple[np.ndarray, int]:
@@ -217,8 +221,9 @@ def _flagged(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataF
     most = length - 1
 
     def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for h, c in chosen_grams(_texts(batch), length):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+        for _, part in _parts(batch):
+            for h, c in chosen_grams(part, length):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
     repeated = stored(map_arrow(texts, counted, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"))
     table, size = _bits(repeated)
@@ -232,14 +237,13 @@ def _flagged(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataF
             yield t, i, k, h, data[p:p + k + most]
 
     def variants(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for found in pieces(_texts(batch), length):
+        for found in (x for _, part in _parts(batch) for x in pieces(part, length)):
             seen = Counter((h, piece) for *_, h, piece in chosen(found))
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([p for _, p in seen], pa.binary()),
                                               pa.array(seen.values(), pa.int64())], ["h", "piece", "c"])
 
     def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sha = batch.column(1)
-        for found in pieces(_texts(batch), length):
+        for sha, found in ((p.column(1), x) for p, part in _parts(batch) for x in pieces(part, length)):
             rows = [(t, i, xxhash.xxh3_128_digest(piece)) for t, i, _, _, piece in chosen(found)]
             own = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([sha.take(own), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
