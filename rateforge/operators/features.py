@@ -5,15 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler,
-)
-from pyspark.ml.linalg import Vectors, VectorUDT
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
-from ..plans.materialize import cut
+from ..plans.materialize import cut, stored
 from .terms import long_words
 
 
@@ -122,14 +119,22 @@ def term_statistics(df: DataFrame, config: TfidfConfig) -> DataFrame:
     )
 
 
+def counted_statistics(counts: DataFrame, min_df: int) -> DataFrame:
+    """(term, df, cf) from stored (row_id, term, tf) rows."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
+
+
 def vocabulary(df: DataFrame, config: TfidfConfig) -> DataFrame:
-    """The ``max_features`` most frequent terms; ties go to the smaller term.
+    return most_frequent(cut(term_statistics(df, config)), config)
+
+
+def most_frequent(terms: DataFrame, config: TfidfConfig) -> DataFrame:
+    """The ``max_features`` most frequent of ``terms``; ties go to the smaller term.
 
     A histogram of the frequencies (few distinct values) gives the frequency at which
     the vocabulary fills up.  Terms above it are taken as they are; only those equal to
     it are ordered, for the places left.
     """
-    terms = cut(term_statistics(df, config))
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("cf"))
     filled = terms.groupBy("cf").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "before", F.sum("n").over(order) - F.col("n")
@@ -145,24 +150,6 @@ def vocabulary(df: DataFrame, config: TfidfConfig) -> DataFrame:
     return above.unionByName(level)
 
 
-# A vector column rebuilt from its parts: JSON is the one built-in route back into the
-# vector type that stays inside the JVM.
-_VECTOR_ROW = StructType([StructField("v", VectorUDT())])
-
-
-def sublinear(vector: Column) -> Column:
-    """Replace every stored count of a sparse vector by 1 + ln(count)."""
-    parts = F.unwrap_udt(vector)
-    damped = F.transform(parts["values"], lambda x: F.lit(1.0) + F.ln(x))
-    row = F.struct(
-        F.struct(
-            F.lit(0).cast("tinyint").alias("type"), parts["size"].alias("size"),
-            parts["indices"].alias("indices"), damped.alias("values"),
-        ).alias("v")
-    )
-    return F.from_json(F.to_json(row), _VECTOR_ROW)["v"]
-
-
 @dataclass
 class TfidfModel:
     """Fitted vocabulary and inverse document frequencies of one feature block."""
@@ -171,17 +158,57 @@ class TfidfModel:
     counts: CountVectorizerModel
     weights: np.ndarray
 
-    def transform(self, df: DataFrame, out: str) -> DataFrame:
-        """Row-local: the vocabulary travels to the tasks, the rows are not shuffled."""
-        terms, raw, tf, scaled = f"_{out}_t", f"_{out}_c", f"_{out}_s", f"_{out}_w"
+    def raw(self, df: DataFrame, out: str) -> DataFrame:
+        """Add the struct (indices, values) of a text's counts; the vocabulary travels to the
+        tasks, the rows are not shuffled."""
+        terms, vector = f"_{out}_t", f"_{out}_c"
         step = with_ngrams(df, self.config, terms)
-        step = self.counts.copy({self.counts.inputCol: terms, self.counts.outputCol: raw}).transform(step)
-        step = step.withColumn(tf, sublinear(F.col(raw)))
-        product = ElementwiseProduct(
-            scalingVec=Vectors.dense(self.weights), inputCol=tf, outputCol=scaled
-        )
-        step = Normalizer(p=2.0, inputCol=scaled, outputCol=out).transform(product.transform(step))
-        return step.drop(terms, raw, tf, scaled)
+        step = self.counts.copy({self.counts.inputCol: terms, self.counts.outputCol: vector}).transform(step)
+        parts = F.unwrap_udt(vector)
+        return step.withColumn(out, F.struct(parts["indices"].alias("indices"), parts["values"].alias("values"))).drop(terms, vector)
+
+
+def weighted(lists: list[tuple[pa.Array, pa.Array]], idf: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, indices, values) of rows whose blocks stand side by side: damped counts times
+    idf, every block of a row scaled to length one."""
+    rows, places, values, before = [], [], [], 0
+    n = len(lists[0][0])
+    for (index, count), w in zip(lists, idf):
+        row = np.repeat(np.arange(n), index.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = index.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        value = (1.0 + np.log(count.flatten().to_numpy(zero_copy_only=False))) * w[at]
+        norm = np.sqrt(np.bincount(row, value * value, minlength=n))
+        rows.append(row)
+        places.append(at + before)
+        values.append(value / norm[row])
+        before += len(w)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int64)
+    return starts, np.concatenate(places)[order], np.concatenate(values)[order]
+
+
+def raw_columns(df: DataFrame, blocks: list[TfidfModel]) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with the counts of every block, the columns an Arrow function takes of them, and
+    the names to drop afterwards."""
+    names = [f"_block{i}" for i in range(len(blocks))]
+    for block, name in zip(blocks, names):
+        df = block.raw(df, name)
+    return df, [F.col(n)[part] for n in names for part in ("indices", "values")], names
+
+
+def add_features(df: DataFrame, blocks: list[TfidfModel], out: str = "features") -> DataFrame:
+    """TF-IDF blocks side by side as a struct (indices, values); row-local."""
+    sent = df.sparkSession.sparkContext.broadcast([b.weights for b in blocks])
+    df, columns, names = raw_columns(df, blocks)
+
+    def combine(*parts: pa.Array) -> pa.Array:
+        starts, indices, values = weighted(list(zip(parts[::2], parts[1::2])), sent.value)
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, t)) for x, t in ((indices, pa.int32()), (values, pa.float64()))]
+        return pa.StructArray.from_arrays(lists, ["indices", "values"])
+
+    udf = F.arrow_udf(combine, "struct<indices: array<int>, values: array<double>>")
+    return df.withColumn(out, udf(*columns)).drop(*names)
 
 
 def fit_tfidf(df: DataFrame, config: TfidfConfig) -> TfidfModel:
@@ -202,25 +229,18 @@ def fit_blocks(df: DataFrame, configs: tuple[TfidfConfig, ...]) -> list[TfidfMod
     return [fit_tfidf(df, c) for c in configs]
 
 
-def add_features(df: DataFrame, blocks: list[TfidfModel], out: str = "features") -> DataFrame:
-    """TF-IDF blocks side by side in one vector."""
-    names = [f"_block{i}" for i in range(len(blocks))]
-    for block, name in zip(blocks, names):
-        df = block.transform(df, name)
-    return VectorAssembler(inputCols=names, outputCol=out).transform(df).drop(*names)
-
-
 def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """Long form of the same weights: (row_id, term, weight).
 
     Used to inspect or export features; the vocabulary keeps at most ``max_features``
-    terms.
+    terms.  Texts are taken apart once: the counts are stored and aggregated.
     """
-    tf = _term_counts(df, config)
+    tf = stored(_term_counts(df, config))
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")
     idf = F.ln((n + 1.0) / (F.col("df") + 1).cast("double")) + 1.0
     # The vocabulary holds at most max_features terms, which bounds the broadcast.
-    known = F.broadcast(vocabulary(df, config).select("term", idf.alias("idf")))
+    terms = most_frequent(cut(counted_statistics(tf, config.min_df)), config)
+    known = F.broadcast(terms.select("term", idf.alias("idf")))
     raw = tf.join(known, "term").select(
         "row_id", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
     )
@@ -228,6 +248,20 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     return raw.select("row_id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def union_profile(df: DataFrame, configs: tuple[TfidfConfig, ...]) -> DataFrame:
+    """(row_id, block, terms, total, squares) of the union of several blocks: how many
+    features of a block a text has, their summed weights and summed squares."""
+    blocks = fit_blocks(df, configs)
+    sizes = np.cumsum([0, *(len(b.weights) for b in blocks)]).tolist()
+    rows = add_features(df.select("row_id", "text"), blocks)
+    pairs = F.arrays_zip(F.col("features")["indices"].alias("i"), F.col("features")["values"].alias("v"))
+    part = lambda k: F.transform(F.filter(pairs, lambda p: (p["i"] >= sizes[k]) & (p["i"] < sizes[k + 1])), lambda p: p["v"])
+    each = F.explode(F.array(*[F.struct(F.lit(c.analyzer).alias("block"), part(k).alias("v")) for k, c in enumerate(configs)]))
+    add = lambda f: F.aggregate("v", F.lit(0.0), f)
+    return rows.select("row_id", each.alias("x")).select("row_id", "x.*").select(
+        "row_id", "block", F.size("v").alias("terms"), add(lambda s, x: s + x).alias("total"), add(lambda s, x: s + x * x).alias("squares"))
+
+
 def document_frequencies(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """(term, df, cf, idf) of the terms above the document floor."""
     n = df.agg(F.count(F.lit(1))).scalar().cast("double")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rateforge.functions.probs import PROB_COLS
 from rateforge.operators import features, models, scoring, terms
@@ -34,15 +35,24 @@ def test_ngrams(spark):
         " я", "я ", " я ", " б", "бы", "ы ", " бы", "бы ", " бы "]
 
 
-def test_vectors_equal_the_long_form(spark, reviews):
+def test_features_equal_the_long_form(spark, reviews):
     model = features.fit_tfidf(reviews, WORDS)
     vocabulary = model.counts.vocabulary
-    vectors = {r.row_id: r.v for r in model.transform(reviews, "v").select("row_id", "v").collect()}
+    rows = {r.row_id: dict(zip(r.features.indices, r.features.values)) for r in features.add_features(reviews, [model]).collect()}
     long = features.tfidf_weights(reviews, WORDS).collect()
-    assert sum(v.numNonzeros() for v in vectors.values()) == len(long)
+    assert sum(len(v) for v in rows.values()) == len(long)
     for r in long:
-        assert math.isclose(vectors[r.row_id][vocabulary.index(r.term)], r.weight, rel_tol=1e-12)
-    assert all(math.isclose(np.linalg.norm(v.toArray()), 1.0) for v in vectors.values())
+        assert math.isclose(rows[r.row_id][vocabulary.index(r.term)], r.weight, rel_tol=1e-12)
+    assert all(math.isclose(sum(x * x for x in v.values()), 1.0) for v in rows.values())
+
+
+def test_blocks_side_by_side(spark, reviews):
+    got = {(r.row_id, r.block): r for r in features.union_profile(reviews, (WORDS, CHARS)).collect()}
+    assert len(got) == 60 and all(math.isclose(r.squares, 1.0) for r in got.values())
+    for config in (WORDS, CHARS):
+        for r in features.tfidf_weights(reviews, config).groupBy("row_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect():
+            own = got[r.row_id, config.analyzer]
+            assert own.terms == r.n and math.isclose(own.total, r.w)
 
 
 def test_sublinear_counts(spark):
@@ -113,6 +123,31 @@ def test_scoring_batch_stream_and_hook(spark, reviews, tmp_path):
     assert len(hooked) == 33 and hooked[100] is None and hooked[102].truncated and hooked[0].rating == 5 and hooked[0].truncated and not hooked[2].truncated
 
 
+def test_saved_model_scores_alike(spark, reviews, tmp_path):
+    model = models.fit_rating_model(reviews.where("rating > 1"), (WORDS, CHARS), "balanced", max_iter=20)
+    assert np.isneginf(model.bias[0])
+    model.save(spark, str(tmp_path / "m"))
+    again = models.RatingModel.load(spark, str(tmp_path / "m"))
+    a, b = (m.transform(reviews).orderBy("row_id").select(*PROB_COLS, "y_pred").collect() for m in (model, again))
+    assert a == b and all(r.p1 == 0.0 and r.y_pred > 1 for r in a)
+
+
+def test_fits_together_equal_single_fits(spark, reviews):
+    noisy = reviews.withColumn("rating", F.when(F.col("row_id") % 7 == 0, 3).otherwise(F.col("rating")))
+    together = models.fit_variants(noisy, ("word", "word+char"), (None, "balanced"), configs=CONFIGS)
+    for (variant, weight), got in together.items():
+        alone = models.fit_rating_model(noisy, CONFIGS[variant], weight)
+        assert got.gradient_norm <= 1e-5 >= alone.gradient_norm and math.isclose(got.loss, alone.loss, rel_tol=1e-6)
+        a, b = (np.array(m.transform(noisy).orderBy("row_id").select(*PROB_COLS).collect()) for m in (got, alone))
+        assert np.abs(a - b).max() < 5e-3
+    samples = {"a": noisy.where("row_id < 12"), "b": noisy.where("row_id >= 6")}
+    both = models.fit_samples(samples, CONFIGS["word"])
+    for name, df in samples.items():
+        alone = models.fit_rating_model(df, CONFIGS["word"])
+        assert both[name].blocks[0].counts.vocabulary == alone.blocks[0].counts.vocabulary
+        assert math.isclose(both[name].loss, alone.loss, rel_tol=1e-6, abs_tol=1e-4)
+
+
 def test_learning_curve_and_comparison(spark, reviews):
     options = {"configs": CONFIGS, "max_iter": 5}
     runs_, summary, chosen = models.learning_curve(reviews, reviews, [10, 20], 2, "word", None, **options)
