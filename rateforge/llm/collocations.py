@@ -1,8 +1,8 @@
 """Phrase collocations counted in counting quotient filters.
 
 Documents are cut into shards of about ``SHARD_BYTES`` of one language.  A shard's words are
-numbered, and words frequent enough over all shards get an id that holds everywhere.  From
-then on phrases grow by one word a level: an n-gram whose two (n-1)-grams are both frequent
+numbered; one task merges the shards' words of one hash range, and words frequent enough
+get an id that holds everywhere.  From then on phrases grow by one word a level: an n-gram whose two (n-1)-grams are both frequent
 is packed as the id of its first n-1 words and the id of its last word.  Each shard counts
 its packed n-grams in quotient filters.  An invertible permutation scatters the packed
 numbers; the high bits name the range a filter covers, the next ones are the quotient, kept
@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import map_arrow, stored, texts_of
 
 LEAST, TOP, LONGEST = 100, 2_000, 5
-SHARD_BYTES, RANGE_KEYS, BUCKETS = 8 << 20, 2 << 20, 256
+SHARD_BYTES, RANGE_KEYS = 8 << 20, 2 << 20
 _END = b"\xff"  # in no UTF-8 text: stands for a piece's end
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
 
@@ -154,18 +155,68 @@ def shard_words(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return rows.mapInArrow(run, "shard string, lang string, words binary, counts binary, stream binary")
 
 
-def _words(shards: DataFrame) -> DataFrame:
-    """(shard, lang, word, number, c) of every shard's words."""
+def _word_parts(shards: DataFrame, ranges: int) -> DataFrame:
+    """(shard, lang, range, words, numbers, counts): a shard's words, parted by a hash."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
-            words = row["words"].split(b" ") if row["words"] else []
+            words = row["words"].split(b" ")
+            where = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(ranges)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(ranges + 1).astype(np.uint64))
+            counts = np.frombuffer(row["counts"], "<i8")
+            parts = [(r, order[cuts[r]:cuts[r + 1]]) for r in np.flatnonzero(np.diff(cuts)).tolist()]
+            n, binary = len(parts), pa.binary()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["shard"]] * len(words)), pa.array([row["lang"]] * len(words)),
-                 pa.array(words, pa.binary()), pa.array(np.arange(1, len(words) + 1), pa.int64()), pa.array(np.frombuffer(row["counts"], "<i8"))],
-                ["shard", "lang", "word", "number", "c"])
+                [pa.array([row["shard"]] * n), pa.array([row["lang"]] * n), pa.array([r for r, _ in parts], pa.int32()),
+                 pa.array([b" ".join([words[i] for i in own.tolist()]) for _, own in parts], binary),
+                 pa.array([(own + 1).astype("<u4").tobytes() for _, own in parts], binary), pa.array([counts[own].tobytes() for _, own in parts], binary)],
+                ["shard", "lang", "range", "words", "numbers", "counts"])
 
-    return map_arrow(shards.select("shard", "lang", "words", "counts"), rows, "shard string, lang string, word binary, number bigint, c bigint")
+    return map_arrow(shards.where(F.length("words") > 0).select("shard", "lang", "words", "counts"), rows,
+                     "shard string, lang string, range int, words binary, numbers binary, counts binary")
+
+
+_WORDS = "shard string, kind string, a binary, b binary, lang string, word binary, id bigint, f bigint"
+
+
+def _merged_words(parts: DataFrame, range_bits: int, least: int) -> DataFrame:
+    """Frequent words of each range with their ids, the replies to the shards and every
+    language's occurrences in the range."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        rng = table["range"][0].as_py()
+        known: dict[str, dict[bytes, int]] = {}
+        sums, places = np.zeros(1024, np.int64), []
+        size = 0
+        for lang, words, counts in zip(*(table[c].to_pylist() for c in ("lang", "words", "counts"))):
+            own, found = known.setdefault(lang, {}), words.split(b" ")
+            place = np.empty(len(found), np.int64)
+            for i, w in enumerate(found):
+                at = own.get(w)
+                if at is None:
+                    at = own[w] = size
+                    size += 1
+                place[i] = at
+            if size > len(sums):
+                sums = np.concatenate((sums, np.zeros(size + len(sums), np.int64)))
+            sums[place] += np.frombuffer(counts, "<i8")
+            places.append(place)
+        good = sums[:size] >= least
+        ids = np.where(good, np.cumsum(good) << range_bits | rng, 0)
+        out = []
+        for shard, numbers, place in zip(table["shard"].to_pylist(), table["numbers"].to_pylist(), places):
+            own = good[place]
+            if own.any():
+                out.append((shard, "reply", np.frombuffer(numbers, "<u4")[own].astype("<u8").tobytes(), ids[place[own]].astype("<u8").tobytes(), None, None, None, None))
+        for lang, words in known.items():
+            out.append((None, "total", None, None, lang, None, None, int(sums[list(words.values())].sum())))
+            out += [(None, "word", None, None, lang, w, int(ids[i]), int(sums[i])) for w, i in words.items() if good[i]]
+        types = [pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(
+            zip(("shard", "kind", "a", "b", "lang", "word", "id", "f"), types))})
+
+    return parts.groupBy("range").applyInArrow(merge, _WORDS)
 
 
 _STATE = "shard string, kind string, a binary, b binary, bits int, range int, positions bigint"
@@ -286,30 +337,18 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_b
     occurrences: (lang, id, phrase, f, ls, rs), ls and rs being the frequencies of the
     first and the other part of each cut, by the length of the first."""
     shards = stored(shard_words(docs, shard_bytes))
-    words = stored(_words(shards))
-    sums = stored(words.groupBy("lang", "word").agg(F.sum("c").alias("f")))
-    totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
-    # Dense numbers without one task for all words: a rank in a bucket, and the bucket.
-    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS))
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy("lang", "word"))
-    known = stored(sums.where(F.col("f") >= least).withColumn("bucket", bucket).select(
-        "lang", "word", "f", (rank.cast("bigint") * BUCKETS + F.col("bucket")).alias("id")))
+    # Ranges by bytes of words, some eight a word.
+    most = shards.agg(F.sum(F.length("words"))).first()[0] or 0
+    range_bits = max(3, (-(-most // (8 * range_keys))).bit_length())
+    level = stored(_merged_words(_word_parts(shards, 1 << range_bits), range_bits, least))
+    totals = level.where("kind = 'total'").groupBy("lang").agg(F.sum("f").alias("n"))
+    known = level.where("kind = 'word'").select("lang", F.col("word").cast("string").alias("phrase"), "f", "id")
     word_bits = int(known.agg(F.max("id")).first()[0] or 1).bit_length()
-    replies = words.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(
-        F.sort_array(F.collect_list(F.struct("number", "id"))).alias("r"))
-
-    def numbers(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for shard, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
-            pair = pairs.values.flatten()
-            a, b = (x.to_numpy(zero_copy_only=False).astype("<u8").tobytes() for x in pair)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array(["reply"]), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["shard", "kind", "a", "b"])
-
-    replies = map_arrow(replies, numbers, "shard string, kind string, a binary, b binary")
+    replies = level.where("kind = 'reply'").select("shard", "kind", "a", "b")
     states = shards.select("shard", F.lit("state").alias("kind"), F.col("stream").alias("a"), F.lit(None).cast("binary").alias("b"),
                            (F.octet_length("stream") / 4).cast("bigint").alias("positions"))
-    info = [known.select("lang", "id", F.col("word").cast("string").alias("phrase"), "f",
-                         *[F.array().cast("array<bigint>").alias(c) for c in ("ls", "rs")])]
-    last_words = known.select(F.col("id").alias("last"), F.col("word").cast("string").alias("word"))
+    info = [known.select("lang", "id", "phrase", "f", *[F.array().cast("array<bigint>").alias(c) for c in ("ls", "rs")])]
+    last_words = known.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
     prefix_bits = word_bits
     for level in range(2, longest + 1):
         most = states.agg(F.sum("positions")).first()[0] or 0
