@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, mentions, text as tx
 from ..operators import cleaning, groups, profile, terms
-from ..plans.materialize import cut
-from ..plans.ranking import top_n
-from ..sources import tskv
+from ..plans.materialize import cut, stored
+from ..sources import tables, tskv
 from .inputs import (
     CLEANED, NORMALISED, NW, REVIEWS, W, WS, fold, norm_key, norm_text, reviews, sq,
-    table, words,
+    table, texts, words,
 )
 from .registry import query
 
@@ -68,7 +67,7 @@ def _(spark, sf):
 
 @query("S4_pruned_scan", "SELECT doc_id, lang FROM documents WHERE lang = 'en'")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang").where(F.col("lang") == "en")
+    return tables.read_table(spark, f"{sf}/documents.parquet", ["doc_id", "lang"]).where(F.col("lang") == "en")
 
 
 # -------------------------------------------------------------- projections
@@ -437,6 +436,26 @@ def _(spark, sf):
     return groups.distinct_counts(named(spark, sf), ["gk_name", "addr_key", "rubrics"])
 
 
+@query("A13_A3_merged_sketches", f"""WITH {NORMALISED}, p AS (SELECT gk_name, addr_key, length(text) AS chars, CASE WHEN row_id % 2 = 0 THEN 0 ELSE 1 END AS half FROM named)
+ SELECT half, count(*) AS rows, count(DISTINCT gk_name) AS exact_names, true AS names_within, true AS addresses_within, true AS median_within, true AS p95_within FROM p GROUP BY half""")
+def _(spark, sf):
+    """Sketches stored for eight parts and merged into two halves, against exact figures:
+    four standard errors of the distinct numbers, 1.5 % of the ranks of the quantiles."""
+    rows = named(spark, sf).select("row_id", "gk_name", "addr_key", F.length("text").alias("chars")).withColumn(
+        "part", F.pmod("row_id", F.lit(8))).withColumn("half", F.pmod("row_id", F.lit(2)).cast("int"))
+    sketches = stored(groups.part_sketches(rows, ["part", "half"], {"names": F.col("gk_name"), "addresses": F.col("addr_key")}, {"chars": F.col("chars")}))
+    merged = groups.merged_sketches(sketches, ["half"], ["names", "addresses"], ["chars"], {"p50": 0.5, "p95": 0.95})
+    exact = rows.groupBy("half").agg(F.countDistinct("gk_name").alias("exact_names"), F.countDistinct("addr_key").alias("exact_addresses"))
+    ranks = rows.join(merged.select("half", "chars_p50", "chars_p95"), "half").groupBy("half").agg(
+        *[(F.count_if(F.col("chars") < F.col(f"chars_{q}")) / F.count(F.lit(1))).alias(f"under_{q}") for q in ("p50", "p95")],
+        *[(F.count_if(F.col("chars") <= F.col(f"chars_{q}")) / F.count(F.lit(1))).alias(f"upto_{q}") for q in ("p50", "p95")])
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 0.035 * F.col(b))
+    within = lambda q, p: F.lit(p).between(F.col(f"under_{q}") - 0.015, F.col(f"upto_{q}") + 0.015)
+    return merged.join(exact, "half").join(ranks, "half").select(
+        "half", "rows", "exact_names", near("names", "exact_names").alias("names_within"), near("addresses", "exact_addresses").alias("addresses_within"),
+        within("p50", 0.5).alias("median_within"), within("p95", 0.95).alias("p95_within"))
+
+
 @query("A15_between_group_variance", """WITH r AS (SELECT l_suppkey AS g, l_quantity AS v FROM lineitem),
  b AS (SELECT g, v, avg(v) OVER (PARTITION BY g) AS m, count(*) OVER (PARTITION BY g) AS n FROM r)
  SELECT count(*) AS rows, count(DISTINCT g) AS groups, round(var_samp(m) / var_samp(v), 6) AS between_share FROM b WHERE n >= 30""")
@@ -578,17 +597,24 @@ def _(spark, sf):
  SELECT term, df, round(log_odds, 6) AS log_odds, typical_of FROM (SELECT *, 1 AS typical_of FROM r ORDER BY k DESC, term LIMIT 25)
  UNION ALL SELECT term, df, round(log_odds, 6), typical_of FROM (SELECT *, 0 AS typical_of FROM r ORDER BY k, term LIMIT 25)""")
 def _(spark, sf):
-    scored = terms.term_log_odds(_labelled(spark, sf), "quality", 1, 0, min_df=20)
-    # Ties between equal counts must not depend on the last bits of a logarithm.
-    scored = scored.withColumn("k", F.round("log_odds", 9))
-    first = top_n(scored, 25, F.desc("k"), F.col("term")).withColumn("typical_of", F.lit(1))
-    last = top_n(scored, 25, F.asc("k"), F.col("term")).withColumn("typical_of", F.lit(0))
-    return first.unionByName(last).select(
-        "term", "df", F.round("log_odds", 6).alias("log_odds"), "typical_of"
-    )
+    out = terms.distinctive_terms(_labelled(spark, sf), "quality", 1, 0, min_df=20, k=25)
+    return out.select("term", "df", F.round("log_odds", 6).alias("log_odds"), "typical_of")
 
 
 @query("N7_token_profile", f"""WITH raw AS ({REVIEWS}), n AS (SELECT {norm_text('text')} AS t FROM raw)
  SELECT {_quantiles_sql(_TOKENS)}, count(*) AS n FROM n WHERE t <> ''""")
 def _(spark, sf):
     return _rounded(terms.token_profile(normalised(spark, sf), None, 42), *profile.QUANTILES)
+
+
+@query("N7_tokenizer_lengths", r"""SELECT doc_id AS row_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z\s]')) AS INTEGER) AS tokens FROM documents""")
+def _(spark, sf):
+    """The hook for a supplied tokenizer, with a small one that the twin can state."""
+    def load():
+        import re
+
+        pattern = re.compile(r"[A-Za-z]+|[^A-Za-z\s]", re.ASCII)
+        return lambda batch: [len(pattern.findall(t)) for t in batch]
+
+    rows = texts(spark, sf).select(F.col("doc_id").alias("row_id"), "text")
+    return terms.tokenizer_lengths(rows, load)

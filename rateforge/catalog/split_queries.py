@@ -102,6 +102,26 @@ def _(spark, sf):
     return splitting.fingerprint(rated_orders(spark, sf))
 
 
+_LEVEL = "SELECT node >> 16 AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM {} GROUP BY 1"
+_LEAVES = """SELECT id >> 16 AS node, CAST(sum(c) AS BIGINT) AS n, sha256(string_agg(CASE WHEN c = 1 THEN CAST(id AS VARCHAR) ELSE id || '*' || c END, ',' ORDER BY id)) AS digest
+ FROM (SELECT row_id AS id, count(*) AS c FROM {} GROUP BY 1) GROUP BY 1"""
+
+
+@query("A19_id_hash_tree", f"""WITH l0 AS ({_LEAVES.format(f'({ORDERS})')}), l1 AS ({_LEVEL.format('l0')}), l2 AS ({_LEVEL.format('l1')}), l3 AS ({_LEVEL.format('l2')})
+ SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM l3""")
+def _(spark, sf):
+    return splitting.id_digest(rated_orders(spark, sf))
+
+
+@query("A19_changed_ranges", f"""WITH o AS ({ORDERS}), a AS ({_LEAVES.format('o')}), b AS ({_LEAVES.format('(SELECT row_id FROM o WHERE row_id <> 7 UNION ALL SELECT -5)')})
+ SELECT coalesce(a.node, b.node) << 16 AS first_id, (coalesce(a.node, b.node) << 16) + 65535 AS last_id, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after
+ FROM a FULL JOIN b ON a.node = b.node WHERE a.digest IS DISTINCT FROM b.digest""".replace("coalesce(a.node, b.node) << 16", "coalesce(a.node, b.node) * 65536"))
+def _(spark, sf):
+    ids = rated_orders(spark, sf).select("row_id")
+    other = ids.where("row_id <> 7").unionByName(ids.sparkSession.range(1).selectExpr("-5L AS row_id"))
+    return splitting.changed_ranges(splitting.id_leaves(ids), splitting.id_leaves(other))
+
+
 @query("K4_split_metadata", f"""WITH {SPLIT} SELECT split, count(*) AS rows, {_digest('a')}, {_digest('b')}, count(DISTINCT grp) AS groups,
  count(*) / CAST((SELECT count(*) FROM ds) AS DOUBLE) AS share FROM ds GROUP BY split""")
 def _(spark, sf):

@@ -7,6 +7,9 @@ both Java and RE2 accept.
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 # The characters Python treats as whitespace, and word characters.
@@ -39,9 +42,42 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{WS}+", " "))
 
 
+@cache
+def fold_table() -> tuple[str, str, dict[str, str]]:
+    """What full case folding changes: characters that become one other (from, to), and
+    those that become several.  Built from the Unicode data that Python carries."""
+    single, several = {}, {}
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        folded = char.casefold()
+        if folded != char:
+            (single if len(folded) == 1 else several)[char] = folded
+    return "".join(single), "".join(single.values()), several
+
+
+@cache
+def _several_class() -> str:
+    """A character class of the characters with several, as ranges; characters of ASCII and
+    the basic Cyrillic block are passed over by one test."""
+    codes, ranges = sorted(map(ord, fold_table()[2])), []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    inside = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    return rf"[^\x{{0}}-\x{{7F}}\x{{400}}-\x{{4FF}}](?<=[{inside}])"
+
+
 def casefold(text: Column) -> Column:
-    """Caseless form: ``lower`` plus the folds that ``lower`` leaves alone."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ςſµ", "σsμ")
+    """Full case folding: one translation of single characters; the few characters that
+    become several are replaced one by one, in texts that hold any."""
+    before, after, several = fold_table()
+    plain = F.translate(text, before, after)
+    longer = plain
+    for char, folded in several.items():
+        longer = F.replace(longer, F.lit(char), F.lit(folded))
+    return F.when(F.regexp_like(text, F.lit(_several_class())), longer).otherwise(plain)
 
 
 def normalize_text(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .bootstrap import cluster_bootstrap
-from .calibration import calibration_table, fit_temperature
+from .calibration import calibration_table, fit_temperatures
 from .metrics import slice_table
 from .splitting import select_eval
 
@@ -23,9 +23,7 @@ def analyse(
     rows = select_eval(errors, split, allow_test)
     scored = select_eval(predictions, split, allow_test)
     columns = {"base": "pred_base", "tr": "pred_tr"}
-    fitting = predictions.where(F.col("split") == fit_split)
-    names = sorted(r["model"] for r in scored.select("model").distinct().collect())
-    fitted = {m: fit_temperature(fitting.where(F.col("model") == m)) for m in names}
+    fitted = fit_temperatures(predictions.where(F.col("split") == fit_split))
     return {
         "errors": rows,
         "slices": slice_table(rows, slices, columns),

@@ -32,18 +32,18 @@ def brier(df: DataFrame, y: str = "y_true") -> DataFrame:
     return df.agg(F.avg(row_brier(_probs(), F.col(y))).alias("brier"))
 
 
-def _log_columns(df: DataFrame, y: str) -> DataFrame:
+def _log_columns(df: DataFrame, y: str, *kept: str) -> DataFrame:
     """Log-probabilities d1..d5 and dy of the true class, shifted so that the largest is 0.
 
     The shift scales with 1/T like the logarithms themselves, so it cancels in the loss
     and keeps every exponential at most 1.
     """
-    z = df.selectExpr(f"`{y}` AS y", *[f"{log_prob_sql(f'p{c}')} AS z{c}" for c in CLASSES])
+    z = df.selectExpr(*kept, f"`{y}` AS y", *[f"{log_prob_sql(f'p{c}')} AS z{c}" for c in CLASSES])
     top = z.selectExpr(
         "*", "greatest(z1, z2, z3, z4, z5) AS top",
         f"CASE {' '.join(f'WHEN y = {c} THEN z{c}' for c in CLASSES)} END AS zy",
     )
-    return top.selectExpr(*[f"z{c} - top AS d{c}" for c in CLASSES], "zy - top AS dy")
+    return top.selectExpr(*kept, *[f"z{c} - top AS d{c}" for c in CLASSES], "zy - top AS dy")
 
 
 def temperature_grid(df: DataFrame, grid: list[float], y: str = "y_true") -> DataFrame:
@@ -62,51 +62,62 @@ def best_of_grid(df: DataFrame, grid: list[float], y: str = "y_true") -> DataFra
     return temperature_grid(df, grid, y).orderBy("log_loss", "temperature").limit(1)
 
 
-def fit_temperature(
-    df: DataFrame, y: str = "y_true", tolerance: float = 1e-9, passes: int = 60
-) -> float:
-    """Temperature in [0.05, 20] of least log-loss; an empty split or a search that has not
-    settled after ``passes`` steps is an error.
+def fit_temperatures(
+    df: DataFrame, by: str = "model", y: str = "y_true", tolerance: float = 1e-9, passes: int = 60
+) -> dict:
+    """Temperature in [0.05, 20] of least log-loss for every value of ``by``; a search that
+    has not settled after ``passes`` steps is an error.
 
     The loss is convex in 1/T, so Newton steps kept inside a bracket converge in a
-    handful of passes.  Each pass is one aggregate over a cached six-column projection.
+    handful of passes.  A pass is one aggregate over a cached projection for all values
+    at once: each has its own bracket and 1/T, sent to the rows as a table of one small
+    row a value, and values that have settled take no further part.
     """
-    logs = _log_columns(df, y).persist()
-
-    def slopes(inverse: float) -> tuple[float, float]:
-        e = logs.selectExpr(
-            "*", *[f"exp(d{c} * {inverse!r}D) AS e{c}" for c in CLASSES]
-        )
+    spark = df.sparkSession
+    logs = df.select(F.col(by).alias("_by"), *[c for c in df.columns if c != by])
+    kept = _log_columns(logs, y, "_by").persist()
+
+    def slopes(at: dict) -> dict:
+        kind = kept.schema["_by"].dataType.simpleString()
+        states = F.broadcast(spark.createDataFrame(list(at.items()), f"_at {kind}, _b double"))
+        e = kept.join(states, F.col("_by").eqNullSafe(F.col("_at"))).selectExpr("*", *[f"exp(d{c} * _b) AS e{c}" for c in CLASSES])
         total = " + ".join(f"e{c}" for c in CLASSES)
         first = " + ".join(f"e{c} * d{c}" for c in CLASSES)
         second = " + ".join(f"e{c} * d{c} * d{c}" for c in CLASSES)
-        moments = e.selectExpr(
-            "dy", f"({first}) / ({total}) AS mean", f"({second}) / ({total}) AS square"
-        )
-        row = moments.selectExpr("avg(mean - dy) AS first", "avg(square - mean * mean) AS second").first()
-        if row["first"] is None:
-            raise ValueError("no rows to fit a temperature on")
-        return row["first"], row["second"]
-
-    low, high, at = 1.0 / HIGH_T, 1.0 / LOW_T, 1.0
+        moments = e.selectExpr("_by", "dy", f"({first}) / ({total}) AS mean", f"({second}) / ({total}) AS square")
+        sums = moments.groupBy("_by").agg(F.expr("avg(mean - dy)").alias("first"), F.expr("avg(square - mean * mean)").alias("second"))
+        return {r["_by"]: (r["first"], r["second"]) for r in sums.collect()}
+
     try:
+        names = [r["_by"] for r in kept.select("_by").distinct().collect()]
+        low, high = ({n: edge for n in names} for edge in (1.0 / HIGH_T, 1.0 / LOW_T))
+        at, settled = dict.fromkeys(names, 1.0), {}
         for _ in range(passes):
-            first, second = slopes(at)
-            if first > 0:
-                high = at
-            else:
-                low = at
-            step = at - first / second if second > 0 else math.nan
-            following = step if low < step < high else math.sqrt(low * high)
-            if abs(following - at) <= tolerance * at:
-                at = following
+            if not at:
                 break
-            at = following
-        else:
-            raise RuntimeError(f"the temperature did not settle in {passes} steps")
+            for name, (first, second) in slopes(at).items():
+                here = at[name]
+                (high if first > 0 else low)[name] = here
+                step = here - first / second if second > 0 else math.nan
+                following = step if low[name] < step < high[name] else math.sqrt(low[name] * high[name])
+                at[name] = following
+                if abs(following - here) <= tolerance * here:
+                    settled[name] = 1.0 / at.pop(name)
+        if at:
+            raise RuntimeError(f"the temperatures of {sorted(map(str, at))} did not settle in {passes} steps")
     finally:
-        logs.unpersist()
-    return 1.0 / at
+        kept.unpersist()
+    return settled
+
+
+def fit_temperature(
+    df: DataFrame, y: str = "y_true", tolerance: float = 1e-9, passes: int = 60
+) -> float:
+    """The temperature of one table; an empty table is an error."""
+    found = fit_temperatures(df.withColumn("_all", F.lit(0)), "_all", y, tolerance, passes)
+    if not found:
+        raise ValueError("no rows to fit a temperature on")
+    return found[0]
 
 
 def evaluate(df: DataFrame, by: list[str], y: str = "y_true") -> DataFrame:
@@ -165,8 +176,10 @@ def calibration_table(df: DataFrame, temperatures: dict[str, float]) -> DataFram
 def calibrate(df: DataFrame, fit_split: str = "val") -> tuple[dict[str, float], DataFrame]:
     """Fit every model on ``fit_split`` and compare before/after on all splits present."""
     models = sorted(r["model"] for r in df.select("model").distinct().collect())
-    fitting = df.where(F.col("split") == fit_split)
-    temperatures = {m: fit_temperature(fitting.where(F.col("model") == m)) for m in models}
+    fitted = fit_temperatures(df.where(F.col("split") == fit_split))
+    if missing := [m for m in models if m not in fitted]:
+        raise ValueError(f"no rows of {missing} to fit a temperature on")
+    temperatures = {m: fitted[m] for m in models}
     table = calibration_table(df, temperatures)
     moved = table.where((F.col("stage") == "after") & (F.col("argmax_changed") > 0))
     if not moved.isEmpty():

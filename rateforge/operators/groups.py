@@ -130,6 +130,28 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
     return df.agg(*[count(c).alias(c) for c in columns])
 
 
+def part_sketches(df: DataFrame, by: list[str], keys: dict[str, Column], measures: dict[str, Column], lg_k: int = 14, k: int = 800) -> DataFrame:
+    """Mergeable sketches of every part: HyperLogLog of ``keys`` and KLL of the integer
+    ``measures``, as binary columns with the number of rows.
+
+    Stored once a part, they answer later for any union of parts without its rows."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.hll_sketch_agg(c, lg_k).alias(f"hll_{n}") for n, c in keys.items()],
+        *[F.kll_sketch_agg_bigint(c.cast("bigint"), k).alias(f"kll_{n}") for n, c in measures.items()],
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], keys: list[str], measures: list[str], probs: dict[str, float]) -> DataFrame:
+    """Distinct numbers of ``keys`` and quantiles of ``measures`` from stored sketches merged by ``by``."""
+    merged = sketches.groupBy(*by).agg(
+        F.sum("rows").alias("rows"), *[F.hll_union_agg(f"hll_{n}").alias(f"hll_{n}") for n in keys],
+        *[F.kll_merge_agg_bigint(f"kll_{n}").alias(f"kll_{n}") for n in measures],
+    )
+    quantiles = [F.kll_sketch_get_quantile_bigint(f"kll_{n}", F.lit(p)).alias(f"{n}_{q}") for n in measures for q, p in probs.items()]
+    return merged.select(*by, "rows", *[F.hll_sketch_estimate(f"hll_{n}").alias(n) for n in keys], *quantiles)
+
+
 def category_stats(df: DataFrame, category: str, rating: str, min_n: int = 2000) -> DataFrame:
     """Per category: rows, mean rating, share of ones; only categories with min_n rows."""
     return (

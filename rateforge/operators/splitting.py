@@ -153,6 +153,55 @@ def fingerprint(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     return df.agg(*[c.alias(k) for k, c in fingerprint_columns(F.col(row_id)).items()])
 
 
+_TREE_BITS = 16
+
+
+def id_leaves(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """(node, n, digest) of every range of 65,536 ids that holds any: SHA-256 over its ids in
+    order, a repeated id with its number.
+
+    Ranges are of the id itself, so a leaf does not depend on how rows are laid out, and no
+    task holds more ids than a range has."""
+    ids = df.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    text = F.when(F.col("c") == 1, F.col("id").cast("string")).otherwise(F.concat_ws("*", "id", "c"))
+    return _nodes(ids.select(F.shiftright("id", _TREE_BITS).alias("node"), F.col("id").alias("at"), text.alias("text"), F.col("c").alias("n")))
+
+
+def _nodes(parts: DataFrame) -> DataFrame:
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), ",")
+    return parts.groupBy("node").agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))
+
+
+def id_digest(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """One row (n, digest): the root of a hash tree over the ids of a part.
+
+    Every level takes the digests of up to 65,536 neighbouring ranges, so four levels cover
+    all ids.  Equal digests mean equal ids, and only equal ones."""
+    return tree_root(id_leaves(df, row_id))
+
+
+def tree_root(leaves: DataFrame) -> DataFrame:
+    """The root over the leaves; no ids give no digest."""
+    level = leaves
+    for _ in range(3):
+        level = _nodes(level.select(F.shiftright("node", _TREE_BITS).alias("node"), F.col("node").alias("at"), F.concat_ws(":", "node", "digest").alias("text"), "n"))
+    # Two nodes at most are left: of negative and of other ids.
+    top = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat_ws(":", x["node"], x["digest"])), ","), 256)
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.when(F.count(F.lit(1)) > 0, top).alias("digest"))
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(first_id, last_id, n_before, n_after) of the ranges whose leaves differ: where to look
+    when two digests do."""
+    a = before.select("node", F.col("n").alias("n_before"), F.col("digest").alias("a"))
+    b = after.select("node", F.col("n").alias("n_after"), F.col("digest").alias("b"))
+    both = a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    first = F.shiftleft("node", _TREE_BITS)
+    none = F.lit(0).cast("bigint")
+    return both.select(first.alias("first_id"), (first + ((1 << _TREE_BITS) - 1)).alias("last_id"),
+                       F.coalesce("n_before", none).alias("n_before"), F.coalesce("n_after", none).alias("n_after"))
+
+
 def _parts(df: DataFrame, group: str, cells: dict[str, Column]) -> DataFrame:
     """Rows, share, groups and summed ``cells`` of every part, from one pass over the rows:
     sums per (part, group) are added up per part."""

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..plans.materialize import stored
 from ..plans.quantiles import interpolated
 from ..plans.ranking import top_n
 from .profile import QUANTILES
@@ -54,10 +55,12 @@ def distinctive_terms(
     n_sample: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """The k terms most typical of class a and the k most typical of class b."""
-    scored = term_log_odds(df, label, a, b, min_df, n_sample, seed)
-    first = top_n(scored, k, F.desc("log_odds"), F.col("term")).withColumn("typical_of", F.lit(a))
-    last = top_n(scored, k, F.asc("log_odds"), F.col("term")).withColumn("typical_of", F.lit(b))
-    return first.unionByName(last)
+    scored = stored(term_log_odds(df, label, a, b, min_df, n_sample, seed))
+    # Ties between equal counts must not depend on the last bits of a logarithm.
+    scored = scored.withColumn("_k", F.round("log_odds", 9))
+    first = top_n(scored, k, F.desc("_k"), F.col("term")).withColumn("typical_of", F.lit(a))
+    last = top_n(scored, k, F.asc("_k"), F.col("term")).withColumn("typical_of", F.lit(b))
+    return first.unionByName(last).drop("_k")
 
 
 def token_count(text: Column) -> Column:

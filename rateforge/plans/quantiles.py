@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
+import struct
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def interpolated(
@@ -28,67 +29,78 @@ def interpolated(
     return out.select(*by, "n", *quantiles, *([mean] if mean else []))
 
 
-def interpolated_wide(
-    df: DataFrame, value: str, probs: dict[str, float], small: int = 1_000_000,
-    accuracy: int = 10_000,
-) -> DataFrame:
+_DIGIT = 16
+_INFINITY = 2047 << 52
+
+
+def ordered_image(value: Column) -> Column:
+    """A double as a bigint in the same order: sign and magnitude of its bit pattern.
+
+    Exponent and fraction come out of exact operations (comparisons, products and
+    quotients of powers of two).  Both zeros are 0; a NaN is above infinity, as Spark
+    sorts it."""
+    a, least = F.abs(value), 2.0 ** -1022
+    normal = F.when((a >= least) & (a < F.lit(math.inf)), a).otherwise(1.0)
+    # log2 may be one off beside a power of two; the comparisons put it right.
+    guess = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(normal)).cast("int")))
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    e = F.when(power(guess) > normal, guess - 1).when((guess < 1023) & (power(guess + 1) <= normal), guess + 1).otherwise(guess)
+    fraction = ((normal / power(e) - 1.0) * float(1 << 52)).cast("bigint")
+    tiny = (F.when(a < least, a).otherwise(0.0) * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
+    bits = (
+        F.when(F.isnan(value), F.lit(_INFINITY + 1)).when(a == F.lit(math.inf), F.lit(_INFINITY))
+        .when(a < least, tiny).otherwise(F.shiftleft((e + 1023).cast("bigint"), 52) + fraction)
+    )
+    return F.when((value < 0.0) & ~F.isnan(value), -bits).otherwise(bits)
+
+
+def double_of(image: int) -> float:
+    """The double that has this ordered image."""
+    if abs(image) > _INFINITY:
+        return math.nan
+    value = struct.unpack("<d", struct.pack("<q", abs(image)))[0]
+    return -value if image < 0 else value
+
+
+def interpolated_wide(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
     """Quantiles of a continuous measure with unboundedly many distinct values.
 
-    Each wanted position gets a bracket of values known to hold it.  Approximate
-    quantiles inside the brackets shrink them, exact counts confirm every step, and the
-    exact aggregate runs once no bracket holds more than ``small`` rows or all its rows
-    are equal.
+    Radix selection over the ordered image of the values, 16 bits a pass: four counting
+    passes whatever the number of rows or their values, each a grouped count of at most
+    65,536 digits for every prefix still wanted (two a quantile).
     """
-    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    edges = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    first = edges.first()
-    n = first["n"]
-    spots = {k: p * (n - 1) for k, p in probs.items()}
-    brackets = {k: _Bracket(first["lo"], first["hi"], 0, n) for k in probs}
-    while open_ := {k: b for k, b in brackets.items() if b.rows > small and b.low < b.high}:
-        shrunk = _shrink(values, open_, spots, accuracy)
-        if all(shrunk[k] == open_[k] for k in open_):
-            break
-        brackets |= shrunk
-    cells = []
-    for k, b in brackets.items():
-        inside = F.when(F.col("v").between(F.lit(b.low), F.lit(b.high)), F.col("v"))
-        if n == 0 or b.low == b.high:
-            cells.append(F.lit(b.low).cast("double").alias(k))
-        else:
-            share = min(max((spots[k] - b.below) / (b.rows - 1), 0.0), 1.0)
-            cells.append(F.percentile(inside, F.lit(share)).alias(k))
-    return values.agg(F.lit(n).cast("bigint").alias("n"), *cells)
-
-
-class _Bracket(NamedTuple):
-    """Values low..high hold ``rows`` rows and ``below`` rows are smaller than low."""
-
-    low: float
-    high: float
-    below: int
-    rows: int
-
-
-def _shrink(values: DataFrame, brackets: dict, spots: dict[str, float], accuracy: int) -> dict:
-    """Narrower brackets around the same positions, or the old ones where that failed."""
-    def inside(b: _Bracket):
-        return F.when(F.col("v").between(F.lit(b.low), F.lit(b.high)), F.col("v"))
-
-    guesses = []
-    for k, b in brackets.items():
-        at = (spots[k] - b.below) / b.rows
-        ends = [min(max(at + d, 0.0), 1.0) for d in (-3.0 / accuracy, 3.0 / accuracy)]
-        guesses.append(F.percentile_approx(inside(b), ends, accuracy).alias(k))
-    ends = values.agg(*guesses).first().asDict()
-    counts = []
-    for k, (low, high) in ends.items():
-        counts.append(F.count_if(F.col("v") < F.lit(low)).alias(f"{k}_below"))
-        counts.append(F.count_if(F.col("v") <= F.lit(high)).alias(f"{k}_upto"))
-    seen = values.agg(*counts).first().asDict()
-    out = {}
-    for k, b in brackets.items():
-        below, upto = seen[f"{k}_below"], seen[f"{k}_upto"]
-        holds = below <= math.floor(spots[k]) and math.ceil(spots[k]) < upto
-        out[k] = _Bracket(*ends[k], below, upto - below) if holds else b
-    return out
+    images = df.where(F.col(value).isNotNull()).select(ordered_image(F.col(value).cast("double")).alias("u"))
+    wanted: dict[int, tuple[int, int]] = {}  # rank from 0: (prefix of the image, rank inside it)
+    n = None
+    for level in range(4):
+        low = 48 - _DIGIT * level
+        digit = F.shiftright("u", 48) if level == 0 else F.shiftright("u", low).bitwiseAND(0xFFFF)
+        prefix = F.lit(0).cast("bigint") if level == 0 else F.shiftright("u", low + _DIGIT)
+        rows = images.select(prefix.alias("prefix"), digit.alias("digit"))
+        if level:
+            rows = rows.where(F.col("prefix").isin(sorted({p for p, _ in wanted.values()})))
+        counts = rows.groupBy("prefix", "digit").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by(
+            [("prefix", "ascending"), ("digit", "ascending")])
+        at, digits, sizes = (counts[c].to_numpy() for c in ("prefix", "digit", "n"))
+        if level == 0:
+            n = int(sizes.sum())
+            if n == 0:
+                break
+            ends = {edge(p * (n - 1)) for p in probs.values() for edge in (math.floor, math.ceil)}
+            wanted = {k: (0, k) for k in ends}
+        for rank, (p, inside) in wanted.items():
+            first, last = np.searchsorted(at, [p, p + 1]) if level else (0, len(at))
+            upto = np.cumsum(sizes[first:last])
+            k = int(np.searchsorted(upto, inside, side="right"))
+            own = int(digits[first + k])
+            wanted[rank] = ((p << _DIGIT) + own if level else own, inside - int(upto[k] - sizes[first + k]))
+
+    def quantile(p: float) -> float | None:
+        if n == 0:
+            return None
+        spot = p * (n - 1)
+        a, b = (double_of(wanted[edge(spot)][0]) for edge in (math.floor, math.ceil))
+        return a if a == b else a + (b - a) * (spot - math.floor(spot))
+
+    cells = [F.lit(quantile(p)).cast("double").alias(k) for k, p in probs.items()]
+    return df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n"), *cells)

@@ -1,13 +1,14 @@
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rateforge.functions import probs
 from rateforge.operators import bootstrap, calibration, errors, joins, metrics, parity, runs
-from rateforge.plans.quantiles import interpolated, interpolated_wide
+from rateforge.plans.quantiles import double_of, interpolated, interpolated_wide, ordered_image
 
 
 def frame(spark, y, p, **extra):
@@ -208,9 +209,40 @@ def test_quantiles_match_numpy(spark):
     v = np.concatenate([rng.normal(size=4000), np.full(2000, 0.25)])  # a third share one value
     df = spark.createDataFrame(pd.DataFrame({"v": v, "k": np.round(v * 10).astype(int)}))
     probs_ = {"a": 0.0, "b": 0.123, "c": 0.5, "d": 0.999, "e": 1.0}
-    for small in (1, 50, 10**6):
-        got = interpolated_wide(df, "v", probs_, small=small, accuracy=50).first()
-        assert got.n == 6000 and np.allclose([got[k] for k in probs_], np.quantile(v, list(probs_.values())))
+    got = interpolated_wide(df, "v", probs_).first()
+    assert got.n == 6000 and np.allclose([got[k] for k in probs_], np.quantile(v, list(probs_.values())), rtol=1e-15)
     got = interpolated(df, "k", probs_).first()
     assert np.allclose([got[k] for k in probs_], np.quantile(np.round(v * 10), list(probs_.values())))
     assert interpolated_wide(df.where("v > 99"), "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_images_order_doubles_and_turn_back(spark):
+    rng = np.random.default_rng(6)
+    powers = [2.0 ** k for k in (-1074, -1073, -1023, -1022, -1021, -1, 0, 1, 52, 53, 511, 1022, 1023)]
+    v = [0.0, -0.0, 5e-324, float(np.finfo(float).max), float("inf"), *powers, *(np.nextafter(p, 0) for p in powers), *(np.nextafter(p, 9e307) for p in powers[:-1]),
+         *rng.normal(size=200), *np.exp(rng.normal(0, 200, 500))]
+    v = [float(x) for x in v] + [-float(x) for x in v]
+    rows = spark.createDataFrame([(x,) for x in v] + [(float("nan"),)], "v double").select("v", ordered_image(F.col("v")).alias("u")).collect()
+    assert all(math.isnan(double_of(r.u)) if math.isnan(r.v) else double_of(r.u) == r.v for r in rows)
+    known = sorted((r for r in rows if not math.isnan(r.v)), key=lambda r: r.v)
+    assert all((a.u < b.u) == (a.v < b.v) for a, b in zip(known, known[1:])) and max(r.u for r in known) < max(r.u for r in rows)
+
+
+def test_quantiles_of_millions_of_distinct_values(spark):
+    df = spark.range(3_000_000, numPartitions=8).select(((F.col("id") * 7_368_787 % 3_000_000) / 7.0 - 1e5).alias("v"))
+    probs_ = {"a": 0.0, "b": 0.1234567, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = interpolated_wide(df, "v", probs_).first()
+    want = np.quantile(np.arange(3_000_000) / 7.0 - 1e5, list(probs_.values()))
+    assert got.n == 3_000_000 and np.allclose([got[k] for k in probs_], want, rtol=1e-13)
+
+
+def test_temperatures_of_all_models_in_the_same_passes(spark):
+    tables = {m: _softmax_rows(3_000, t) for m, t in (("a", 2.5), ("b", 0.6), ("c", 1.0), (None, 4.0))}
+    df = reduce(DataFrame.unionByName, [spark.createDataFrame(x).withColumn("model", F.lit(m)) for m, x in tables.items()])
+    got = calibration.fit_temperatures(df)
+    assert set(got) == set(tables)
+    for m, x in tables.items():
+        assert math.isclose(got[m], calibration.fit_temperature(spark.createDataFrame(x)), rel_tol=1e-8)
+    assert calibration.fit_temperatures(df.where("false")) == {}
+    with pytest.raises(RuntimeError):
+        calibration.fit_temperatures(df, passes=2)

@@ -188,3 +188,18 @@ def test_template_of_a_third_of_the_rows_makes_few_candidates(spark):
         assert pairs.count() == 1 and pairs.first().t == 3
         found = neardup.near_duplicates(df, n_query=None).where("has_dup").collect()
         assert [r.row_id for r in found] == [9999]
+
+
+def test_hash_tree_sees_every_change_and_no_layout(spark):
+    def rows(ids, parts=1):
+        return spark.createDataFrame([(i,) for i in ids], "row_id long").repartition(parts)
+
+    ids = [5, -3, 70_000, 70_001, 1 << 40, -(1 << 50), 9]
+    root = splitting.id_digest(rows(ids)).first()
+    assert root == splitting.id_digest(rows(ids[::-1] + [None], 5)).first() and root.n == 7
+    others = [ids[1:], ids + [10], ids + [5], [6, *ids[1:]]]
+    digests = {splitting.id_digest(rows(o)).first().digest for o in others}
+    assert len(digests) == 4 and root.digest not in digests
+    moved = splitting.changed_ranges(splitting.id_leaves(rows(ids)), splitting.id_leaves(rows([5, -3, 70_000, 1 << 40, -(1 << 50), 9, 1 << 41]))).collect()
+    assert {(r.first_id, r.last_id, r.n_before, r.n_after) for r in moved} == {(65536, 131071, 2, 1), (1 << 41, (1 << 41) + 65535, 0, 1)}
+    assert splitting.id_digest(rows([None])).first().asDict() == {"n": 0, "digest": None}

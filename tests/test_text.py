@@ -72,3 +72,13 @@ def test_bins(spark):
     assert labels == ["<0.4", "0.4-0.5", "0.95+", "0.95+", None, None]
     df = spark.createDataFrame([(49,), (50,), (800,)], "c int")
     assert [r[0] for r in df.select(bins.length_bin(F.col("c"))).collect()] == ["<50", "50-99", "800+"]
+
+
+def test_casefold_equals_python_on_every_code_point(spark):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    step = 500
+    rows = [(i, "".join(map(chr, codes[i:i + step]))) for i in range(0, len(codes), step)]
+    rows += [(-1, "Straße ΌΣΟΣ İstanbul ﬃ ŉ Ёлка"), (-2, "plain"), (-3, None)]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(4)
+    got = {r.i: r.f for r in df.select("i", tx.casefold(F.col("t")).alias("f")).collect()}
+    assert all(got[i] == (t.casefold() if t is not None else None) for i, t in rows)
