@@ -281,6 +281,23 @@ def stream_scores(spark, sf, model) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("V1_F12_double_sink", r"""WITH r AS (SELECT CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 20000 THEN 'too_long'
+ WHEN regexp_matches(text, '^\s*$') THEN 'blank' END AS reason FROM documents)
+ SELECT coalesce(reason, 'scored') AS kind, count(*) AS n, true AS shaped FROM r GROUP BY 1""")
+def _(spark, sf):
+    """Requests streamed from the documents' files: scored ones and rejected ones, each in
+    its place, the first batch written twice as a restarted query would."""
+    folder = _folder(spark)
+    model = _scorer(spark, sf)
+    requests = stream.read_requests(spark, sf, table(spark, sf, "documents").schema, pattern="documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
+    sink = stream.DoubleSink(folder, lambda df: scoring.score(df, model, 1.3).select("row_id", "prediction"))
+    stream.start_double_sink(requests, sink, f"{folder}/offsets").awaitTermination()
+    sink.write(documents(spark, sf), 0)
+    scored, rejected = sink.read(spark, "scored"), sink.read(spark, "rejected")
+    return scored.agg(F.lit("scored").alias("kind"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction.confidence").between(0.2, 1.0)).alias("shaped")).unionByName(
+        rejected.groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("shaped"))).where("n > 0")
+
+
 @query("V1_streaming_scoring")
 def _(spark, sf):
     scored = stream_scores(spark, sf, _scorer(spark, sf))
@@ -312,7 +329,7 @@ def _(spark, sf):
     # One ordered file, so file order is id order.
     lines = table(spark, sf, "documents").selectExpr("doc_id", f"{_LINE} AS value")
     lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(f"{folder}/raw")
-    read = lambda path: tskv.read_tskv(spark, path)
+    read = lambda path: tskv.read_tskv(spark, path, tskv.block_index(spark, path, f"{folder}/index"))
     first = tables.derived_table(spark, f"{folder}/raw", f"{folder}/parsed", read)
     again = tables.derived_table(spark, f"{folder}/raw", f"{folder}/parsed", read)
     assert first.inputFiles() == again.inputFiles()
@@ -327,6 +344,22 @@ def _(spark, sf):
     return spark.read.parquet(f"{folder}/split_v1").select("row_id", "split")
 
 
+@query("K3_K4_published_manifest", f"""WITH {SPLIT} SELECT split, count(*) AS rows, count(DISTINCT grp) AS groups, 'v1' AS version, CAST(42 AS BIGINT) AS seed, true AS second_refused FROM ds GROUP BY split""")
+def _(spark, sf):
+    """A version is published once: a second writer is refused and changes nothing."""
+    folder = _folder(spark)
+    rows = split_orders(spark, sf)
+    publish = lambda df, seed: tables.save_split(df.drop("split"), df.select("row_id", "split"), folder, version="v1", seed=seed, group_col="grp")
+    publish(rows, 42)
+    try:
+        publish(rows.limit(10), 43)
+        refused = False
+    except FileExistsError:
+        refused = True
+    manifest = tables.split_manifest(spark, folder, "v1")
+    return manifest.select("split", "rows", "groups", "version", "seed", F.lit(refused).alias("second_refused"))
+
+
 @query("K2_csv_result", f"SELECT CAST(y_true AS VARCHAR) AS y_true, CAST(count(*) AS VARCHAR) AS n FROM ({ORDERS}) GROUP BY y_true")
 def _(spark, sf):
     folder = _folder(spark)
@@ -344,13 +377,13 @@ def _(spark, sf):
     return tables.read_json_if_exists(spark, folder).select(F.col("y_true").cast("int").alias("y_true"), "n")
 
 
-@query("K5_experiment_log", "SELECT event_type AS model, count(*) AS dataset_size, round(avg(value), 6) AS mae FROM events GROUP BY event_type")
+@query("K5_experiment_log", """SELECT event_type AS model, count(*) AS dataset_size, round(avg(value), 6) AS mae, '{"a":2,"b":1}' AS model_params FROM events GROUP BY event_type""")
 def _(spark, sf):
     folder = _folder(spark)
     stats = table(spark, sf, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("v")
     )
-    for r in stats.collect():
-        runlog.log_run(spark, {"model": r["event_type"], "dataset_size": r["n"], "mae": r["v"],
-                               "model_params": {"b": 1, "a": 2}}, folder)
-    return runlog.read_runs(spark, folder).select("model", "dataset_size", F.round("mae", 6).alias("mae"))
+    params = F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))
+    runlog.log_runs(stats.select(F.col("event_type").alias("model"), F.col("n").alias("dataset_size"), F.col("v").alias("mae"), params.alias("model_params")), folder)
+    runs = runlog.read_runs(spark, folder).where(F.col("experiment_id").rlike(r"^\d{8}-\d{6}-[0-9a-f]{6}$"))
+    return runs.select("model", "dataset_size", F.round("mae", 6).alias("mae"), "model_params")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
 from ..operators import leakage, neardup, profile, sampling, splitting
-from ..plans.materialize import cut
+from ..plans.materialize import cut, shared_folder
+from ..sources import tables
 from .inputs import (
     CLASSES, ORDERS, W, fold, md5_hash, rated_orders, table, texts,
 )
@@ -192,9 +195,12 @@ def _(spark, sf):
  UNION ALL SELECT 'text_overlap', ({_crossing(fold('text'), 'docs')}) UNION ALL SELECT 'test_ids_changed', 0)
  SELECT "check", value, CASE WHEN value = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM v""")
 def _(spark, sf):
+    """The test ids are held against the manifest that was published with the split."""
     docs = split_documents(spark, sf)
-    stored = splitting.fingerprint(docs.where(F.col("split") == "test"))
-    return leakage.leakage_verdict(docs, "source", stored)
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    tables.save_split(docs.drop("split"), docs.select("row_id", "split"), folder, version="v1", seed=42, group_col="source")
+    manifest = tables.split_manifest(spark, folder, "v1").where(F.col("split") == "test")
+    return leakage.leakage_verdict(docs, "source", manifest.withColumnRenamed("rows", "n"))
 
 
 # ----------------------------------------------------------- near-duplicates

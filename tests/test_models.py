@@ -123,6 +123,31 @@ def test_scoring_batch_stream_and_hook(spark, reviews, tmp_path):
     assert len(hooked) == 33 and hooked[100] is None and hooked[102].truncated and hooked[0].rating == 5 and hooked[0].truncated and not hooked[2].truncated
 
 
+def test_double_sink_survives_a_repeated_batch(spark, reviews, tmp_path):
+    model = models.fit_rating_model(reviews, (WORDS,), None, c=100.0, max_iter=20)
+    requests = reviews.select("row_id", "text").unionByName(spark.createDataFrame(
+        [(100, " "), (101, None), (102, ""), (103, "плохо " * 4000)], "row_id long, text string"))
+    requests.repartition(3).write.parquet(str(tmp_path / "in"))
+    sink = stream.DoubleSink(str(tmp_path / "out"), lambda df: scoring.score(df, model, 1.3).select("row_id", "prediction"))
+    source = stream.read_requests(spark, str(tmp_path / "in"), requests.schema, files_per_trigger=1)
+    stream.start_double_sink(source, sink, str(tmp_path / "offsets")).awaitTermination()
+
+    def ids(side):
+        return sorted(r.row_id for r in sink.read(spark, side).select("row_id").collect())
+
+    assert ids("scored") == list(range(30)) and ids("rejected") == [100, 101, 102, 103]
+    reasons = {r.row_id: r.reason for r in sink.read(spark, "rejected").collect()}
+    assert reasons == {100: "blank", 101: "missing", 102: "empty", 103: "too_long"}
+    # The last batch again, as after a crash between its writes and the stream's own mark.
+    last = sink.read(spark, "scored").agg(F.max("batch")).first()[0]
+    keys = [r.row_id for side in ("scored", "rejected") for r in sink.read(spark, side).where(f"batch = {last}").select("row_id").collect()]
+    sink.write(requests.where(F.col("row_id").isin(keys)), last)
+    assert ids("scored") == list(range(30)) and ids("rejected") == [100, 101, 102, 103]
+    # A batch without its mark is not seen.
+    next((tmp_path / "out" / "marks").glob(str(last))).unlink()
+    assert len(ids("scored")) + len(ids("rejected")) == 34 - len(keys)
+
+
 def test_saved_model_scores_alike(spark, reviews, tmp_path):
     model = models.fit_rating_model(reviews.where("rating > 1"), (WORDS, CHARS), "balanced", max_iter=20)
     assert np.isneginf(model.bias[0])

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,17 +87,62 @@ def test_predictions_are_pruned_and_missing_ones_fail(spark, tmp_path):
     assert stored == {("m", "val", 1), ("m", "test", 6), ("other", "val", 5)}
 
 
-def test_split_is_written_once(spark, tmp_path):
+def test_split_is_published_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "train"), (2, "b", "test")], "row_id long, g string, split string")
     save = lambda **k: tables.save_split(
         df.drop("split"), df.select("row_id", "split"), str(tmp_path), version="v1", seed=1, group_col="g", **k
     )
     save()
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+    with pytest.raises(FileExistsError):
         save()
     save(force=True)
-    meta = {r["split"]: r for r in spark.read.json(str(tmp_path / "split_v1_meta")).collect()}
+    meta = {r["split"]: r for r in tables.split_manifest(spark, str(tmp_path), "v1").collect()}
     assert meta["train"]["rows"] == 1 and meta["test"]["groups"] == 1 and meta["test"]["version"] == "v1"
+    assert {(r.row_id, r.split) for r in spark.read.parquet(str(tmp_path / "split_v1")).collect()} == {(1, "train"), (2, "test")}
+    assert not list((tmp_path / "_staging").iterdir())
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    def writer(seed):
+        rows = spark.range(400).selectExpr("id AS row_id", "id % 7 AS g", f"IF(id % {seed} = 0, 'test', 'train') AS split")
+        try:
+            tables.save_split(rows.drop("split"), rows.select("row_id", "split"), str(tmp_path), version="v2", seed=seed, group_col="g")
+            return seed
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:
+        won = [x for x in pool.map(writer, (2, 3, 5)) if x]
+    assert len(won) == 1
+    manifest = {r["split"]: r for r in tables.split_manifest(spark, str(tmp_path), "v2").collect()}
+    assert {r.seed for r in manifest.values()} == set(won) and manifest["test"]["rows"] == -(-400 // won[0])
+    stored = spark.read.parquet(str(tmp_path / "split_v2"))
+    assert stored.count() == 400 and stored.where(f"(row_id % {won[0]} = 0) <> (split = 'test')").count() == 0
+
+
+def test_stored_block_index(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for f in range(3):
+        (folder / f"{f}.tskv").write_text("".join(f"tskv\ttext={f * 5000 + i}\n\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        index = tskv.block_index(spark, str(folder), str(tmp_path / "index"))
+        assert index.count() > 6 and index.inputFiles() == tskv.block_index(spark, str(folder), str(tmp_path / "index")).inputFiles()
+        df = tskv.read_tskv(spark, str(folder), index)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan text") == 1 and "BroadcastHashJoin" in plan
+        rows = df.select("row_id", "text").collect()
+        assert len(rows) == 15_000 and all(r.row_id == int(r.text) for r in rows)
+        # Files that the index does not describe fail, and get an index of their own.
+        (folder / "9.tskv").write_text("tskv\ttext=15000\n")
+        with pytest.raises(Exception, match="does not describe"):
+            tskv.read_tskv(spark, str(folder), index).collect()
+        fresh = tskv.read_tskv(spark, str(folder), tskv.block_index(spark, str(folder), str(tmp_path / "index")))
+        assert fresh.where("row_id <> cast(text as bigint)").count() == 0 and fresh.count() == 15_001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_run_log(spark, tmp_path):
@@ -107,3 +154,15 @@ def test_run_log(spark, tmp_path):
     assert rows[first].model_params == '{"a": 2, "b": 1}'
     with pytest.raises(ValueError, match="typo"):
         runlog.log_run(spark, {"typo": 1}, path)
+
+
+def test_log_of_many_runs_in_one_write(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.range(5, numPartitions=1).selectExpr("concat('m', id) AS model", "map('z', id, 'a', 1L) AS model_params", "named_struct('y', 2, 'b', array(id)) AS tfidf_params")
+    runlog.log_runs(df, path)
+    rows = runlog.read_runs(spark, path).orderBy("model").collect()
+    assert len(rows) == 5 and rows[3].model_params == '{"a":1,"z":3}' and rows[3].tfidf_params == '{"b":[3],"y":2}'
+    assert len({r.experiment_id for r in rows}) == 5 and all(r.phase is None for r in rows)
+    assert len(spark.read.parquet(path).inputFiles()) == 1
+    with pytest.raises(ValueError, match="typo"):
+        runlog.log_runs(df.withColumn("typo", F.lit(1)), path)
