@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.probs import PROB_COLS
 from ..operators import features, models, scoring, softmax, splitting
@@ -142,7 +142,8 @@ def _compared(spark, sf) -> DataFrame:
     return _once(spark, sf, "comparison", make)
 
 
-_STATIONARY = F.col("gradient_norm") <= softmax.TOLERANCE
+def _stationary() -> Column:
+    return (F.col("gradient_norm") <= softmax.TOLERANCE).alias("stationary")
 
 
 @query("M5_configuration_comparison")
@@ -153,7 +154,7 @@ def _(spark, sf):
 @query("M5_optimality", """SELECT variant, class_weight, true AS stationary, true AS scored FROM (VALUES ('word'), ('char'), ('word+char')) v(variant)
  CROSS JOIN (VALUES ('none'), ('balanced')) w(class_weight)""")
 def _(spark, sf):
-    return _compared(spark, sf).select("variant", "class_weight", _STATIONARY.alias("stationary"), F.col("macro_f1").between(0.1, 1.0).alias("scored"))
+    return _compared(spark, sf).select("variant", "class_weight", _stationary(), F.col("macro_f1").between(0.1, 1.0).alias("scored"))
 
 
 def _curve(spark, sf):
@@ -177,7 +178,7 @@ def _(spark, sf):
 def _(spark, sf):
     n, runs, _, chosen = _curve(spark, sf)
     size = chosen.scalar()
-    return runs.select(F.when(F.col("size") == n // 4, 1).when(F.col("size") == n // 2, 2).alias("quarters"), "repeat", _STATIONARY.alias("stationary"),
+    return runs.select(F.when(F.col("size") == n // 4, 1).when(F.col("size") == n // 2, 2).alias("quarters"), "repeat", _stationary(),
                        F.col("macro_f1").between(0.1, 1.0).alias("scored"), size.isin(n // 4, n // 2).alias("chosen_is_a_size"))
 
 
@@ -197,7 +198,7 @@ def _(spark, sf):
 
 @query("M7_optimality", """SELECT split_kind, true AS stationary, true AS scored FROM (VALUES ('grouped'), ('random')) v(split_kind)""")
 def _(spark, sf):
-    return _inflation(spark, sf).select("split_kind", _STATIONARY.alias("stationary"), F.col("macro_f1").between(0.0, 1.0).alias("scored"))
+    return _inflation(spark, sf).select("split_kind", _stationary(), F.col("macro_f1").between(0.0, 1.0).alias("scored"))
 
 
 @query("M3_invariants", """SELECT CAST(floor(count(*) * 0.15) AS BIGINT) AS n, true AS sums_to_one, true AS predicts_largest, true AS beats_constant FROM documents""")
