@@ -91,13 +91,19 @@ def earliest_mention(text: Column) -> Column:
     """Value of the leftmost mention; on a tie the earlier pattern wins."""
 
     def hit(low: Column, i: int) -> Column:
+        """Only the search reads the whole text; the groups come from the text behind its
+        result, where the same pattern matches at once."""
         pattern = EARLY_PATTERNS[i]
-        start = F.regexp_instr(low, F.lit(pattern))
-        shift = F.length(F.regexp_extract(low, pattern, 1))
-        raw = F.regexp_extract(low, pattern, 2)
-        value = raw.cast("int") if i < 3 else _stem_value(raw)
-        found = F.struct((start + shift).alias("at"), F.lit(i).alias("no"), value.alias("value"))
-        return F.when(_has(low, EARLY_NEEDS[i]), F.when(start > 0, found))
+        start = F.when(_has(low, EARLY_NEEDS[i]), F.regexp_instr(low, F.lit(pattern)))
+
+        def groups(at: Column, tail: Column) -> Column:
+            raw, left = (F.regexp_extract(tail, rf"\A(?:{pattern})", k) for k in (2, 1))
+            shift = F.length(left)
+            value = raw.cast("int") if i < 3 else _stem_value(raw)
+            return F.struct((at + shift).alias("at"), F.lit(i).alias("no"), value.alias("value"))
+
+        behind = F.transform(F.array(start), lambda at: F.when(at > 0, F.struct(at.alias("at"), F.substr(low, at).alias("tail"))))
+        return F.transform(behind, lambda x: F.when(x.isNotNull(), groups(x["at"], x["tail"])))[0]
 
     return _lowered(
         text, lambda low: F.least(*[hit(low, i) for i in range(len(EARLY_PATTERNS))])["value"]
