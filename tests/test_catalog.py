@@ -19,6 +19,8 @@ CHECKED = [
     "E10_E13_bootstrap_hashed_draws", "C4_fit_temperature", "C6_before_after_table", "M9_parity_check",
     "T8_nested_subsamples", "X1_group_split", "X3_random_split", "N3_J6_near_duplicates",
     "M1_word_tfidf_weights", "M2_char_document_frequencies", "S1_S6_cached_tskv_scan",
+    "A19_id_hash_tree", "A19_changed_ranges", "A13_A3_merged_sketches", "A22_latency_profile", "K3_K4_published_manifest",
+    "K5_experiment_log", "N7_tokenizer_lengths", "N10_leakage_verdict", "M2_union_weights", "M3_optimality", "V1_F12_double_sink",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
