@@ -40,7 +40,7 @@ FOLDS, SMOOTH = 10, 0.1
 STATES, TOLERANCE = 8, 5e-4
 OWN, SUFFIXES, SUFFIX_BYTES = 3_000, 509, 3
 HOT_WORDS, HOT_BYTES = 300_000, 64
-SEGMENT, PACK = 1024, 400_000
+SEGMENT, PACK = 1024, 250_000
 #: Pseudo-tokens by which a state's symbols lean on the overall ones, and per transition.
 LEAN, FEW = 20.0, 0.5
 _FLUSH = 200_000
@@ -233,54 +233,47 @@ class HMM:
         return self.expected_and_log(texts)[:3]
 
     def expected_and_log(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """``expected`` and the sequences' log-likelihood."""
+        """``expected`` and the sequences' log-likelihood.
+
+        Tokens lie by their place in the texts, longest text first, so that every step works
+        on one stretch of the arrays and in place."""
         k, size = self.emit.shape
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
         texts = sorted(texts, key=len, reverse=True)
         lengths = np.array([len(t) for t in texts])
-        flat = np.concatenate(texts).astype(np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-        by_symbol = np.ascontiguousarray(self.emit.T)
-        alphas, scales = [], []
-        for t in range(lengths[0]):
-            n = active[t]
-            seen = by_symbol[flat[starts[:n] + t]]
-            alpha = self.start * seen if t == 0 else (alphas[-1][:n] @ self.move) * seen
-            scale = alpha.sum(1, keepdims=True)
-            alphas.append(alpha / scale)
-            scales.append(scale)
-        log = float(sum(np.log(s).sum() for s in scales))
-        held, n_held = [], 0
-
-        def flush() -> None:
-            symbols = np.concatenate([s for s, _ in held])
-            gamma = np.concatenate([g for _, g in held])
-            for i in range(k):
-                emit[i] += np.bincount(symbols, gamma[:, i], size)
-            held.clear()
-
-        beta = np.ones((0, k))
-        for t in range(lengths[0] - 1, -1, -1):
-            n = active[t]
-            beta = np.concatenate((beta, np.ones((n - len(beta), k))))
-            symbols = flat[starts[:n] + t]
-            gamma = alphas[t] * beta
-            held.append((symbols, gamma))
-            n_held += n
-            if n_held > 100_000:
-                flush()
-                n_held = 0
+        steps = int(lengths[0])
+        active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+        ends = np.concatenate(([0], np.cumsum(active)))
+        begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        place = np.arange(begins[-1] + lengths[-1]) - np.repeat(begins, lengths)
+        flat = np.empty(len(place), np.int64)
+        flat[ends[place] + np.repeat(np.arange(len(texts)), lengths)] = np.concatenate(texts)
+        seen = np.ascontiguousarray(self.emit.T)[flat]
+        alpha, scale, ones = np.empty((len(flat), k)), np.empty((len(flat), 1)), np.ones((k, 1))
+        for t in range(steps):
+            own = slice(ends[t], ends[t + 1])
             if t == 0:
-                start += gamma.sum(0)
-                break
-            ahead = by_symbol[symbols] * beta / scales[t]
-            move += alphas[t - 1][:n].T @ ahead
-            beta = ahead @ self.move.T
-            alphas[t] = None
-        if held:
-            flush()
-        return start, move * self.move, emit, log
+                np.multiply(self.start, seen[own], out=alpha[own])
+            else:
+                np.dot(alpha[ends[t - 1]:ends[t - 1] + active[t]], self.move, out=alpha[own])
+                alpha[own] *= seen[own]
+            np.dot(alpha[own], ones, out=scale[own])
+            alpha[own] /= scale[own]
+        log = float(np.log(scale).sum())
+        seen /= scale
+        back = np.ascontiguousarray(self.move.T)
+        beta, move = np.ones((len(texts), k)), np.zeros((k, k))
+        for t in range(steps - 1, 0, -1):
+            n, own = int(active[t]), slice(ends[t], ends[t + 1])
+            ahead = seen[own]
+            ahead *= beta[:n]
+            move += alpha[ends[t - 1]:ends[t - 1] + n].T @ ahead
+            alpha[own] *= beta[:n]
+            np.dot(ahead, back, out=beta[:n])
+        alpha[:ends[1]] *= beta[:ends[1]]
+        # One count over (symbol, state) pairs.
+        pairs = (flat[:, None] * k + np.arange(k)).ravel()
+        emit = np.bincount(pairs, alpha.ravel(), size * k).reshape(size, k).T
+        return alpha[:ends[1]].sum(0), move * self.move, emit, log
 
 
 def segments(texts: list[bytes]) -> list[np.ndarray]:
@@ -328,6 +321,8 @@ def baum_welch_step(sequences: DataFrame, model: HMM, overall: np.ndarray) -> tu
         return model, 0.0
     a, b = states, states + states * states
     c = b + states * size
+    if not np.isfinite(flat).all():
+        raise FloatingPointError("expected counts or the likelihood are not finite")
     return HMM.of_counts(flat[:a], flat[a:b].reshape(states, states), flat[b:c].reshape(states, size), overall), float(flat[c])
 
 
@@ -364,7 +359,7 @@ def scored(rows: DataFrame, model: HMM) -> DataFrame:
                 for r, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     held.append((r, s))
                     size += len(s) // 2
-                    if size >= 4 * PACK:
+                    if size >= 6 * PACK:
                         yield out()
                         held, size = [], 0
         if held:

@@ -266,6 +266,40 @@ def test_language_scores(spark, odd, empty):
     assert hmm.language_scores(empty, states=2, steps=1).count() == 0
 
 
+def test_score_equals_a_plain_forward_pass(spark, odd):
+    """Whole texts under the trained model: one path sum a word, times the word's share."""
+    rng = random.Random(12)
+    rows = [(i, random_words(rng, ["Aa", "bb", "cc", f"r{i}", f"q{i % 7}", "tail"], 40) if i % 9 else "") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(
+        odd.where("doc_id > 6 or doc_id is null").select((hmm.F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    options = {"own": 3, "hot_words": 7}
+    got = {r.doc_id: r.score for r in hmm.language_scores(docs, states=3, steps=3, **options).collect()}
+    training = docs.where(hmm.fold(hmm.F.col("doc_id"), hmm.FOLDS) != 0)
+    counts = hmm.cut(hmm.word_counts(training))
+    v = hmm.vocabulary(counts, training.count(), **options)
+    model = hmm.trained(hmm.encoded(docs, v).where("not held_out").select("row", "n_tokens", "symbols"), v, 3, 3)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    for r in docs.collect():
+        total, alpha = 0.0, None
+        for w in [*hmm.tokens_of(r.text), None]:
+            own = v.words[:3].index(w) if w in v.words[:3] else None
+            s = v.end if w is None else own if own is not None else v.end + 1 + hmm.suffix(w)
+            if w is not None and own is None:
+                k = hmm.suffix(w)
+                total += math.log10((c.get(w, 0) + hmm.SMOOTH) / (v.sum[k] + hmm.SMOOTH * (v.types[k] + 1)))
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[:, s]
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-9)
+
+
+def test_training_refuses_numbers_that_are_not_finite(spark):
+    sequences = spark.createDataFrame([(0, 2, bytearray(np.array([1, 2], "<u2").tobytes()))], "row bigint, n_tokens bigint, symbols binary")
+    broken = hmm.HMM(np.ones(2) / 2, np.full((2, 2), 0.5), np.full((2, 9), np.nan))
+    with pytest.raises(FloatingPointError):
+        hmm.baum_welch_step(sequences, broken, np.ones(9) / 9)
+
+
 def test_training_covers_all_rows_until_it_gains_little(spark):
     """Equal models from any partitioning, and no step over all rows gains more than stated."""
     rng = np.random.default_rng(2)
