@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -52,13 +55,24 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``stored`` for tables that nothing reads after the block: they are removed at its end."""
+    folder = f"{checkpoint_folder(spark)}/work-{uuid.uuid4().hex}"
+    try:
+        yield lambda df: stored(df, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None],
               schema: T.StructType | str, setup: Callable[[], object] | None = None) -> DataFrame:
     """``f`` on every Arrow batch of ``df``; ``setup()`` runs once a task and its
@@ -73,10 +87,22 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                     yield out
                 elif out is not None:
                     yield from out
+        batch = out = state = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: Python workers outlive their tasks, and what
+    one stage has kept would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
     """The strings of a column, a slice at a time, so that not all exist at once."""
     array = batch.column(batch.schema.get_field_index(column))

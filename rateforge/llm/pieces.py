@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow
 
 MARK = "▁"
-REMEMBERED, SHORT = 1_000_000, 48
+REMEMBERED, SHORT = 250_000, 48
 
 
 class CharMap:
