@@ -31,10 +31,25 @@ def size_col(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
 
 
-def ordered_image(c: str) -> Column:
-    """Number that orders as the first seven bytes of a string do; null stays null."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(c).cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("bigint")
+def string_cuts(df: DataFrame, column: str, steps: int) -> list[str]:
+    """At most ``steps`` - 1 values that part the rows into near-equal shares in the order of
+    the whole values.
+
+    Rows collapse to values with counts; ranges of values are sorted side by side and
+    running totals over the ranges join them, so no task sorts all values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy("part").agg(F.sum("n").alias("rows"))
+    # One row a range: their number is that of the shuffle's partitions.
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("part", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = parts.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(before), "part").select("v", "n", (F.col("upto") + F.col("before")).alias("upto"))
+    total = sums.agg(F.sum("rows")).first()[0] or 0
+    step = lambda c: F.floor(c * steps / F.lit(max(1, total)))
+    # A value is a cut where the running total enters a new share: at most one a share.
+    found = upto.where((step(F.col("upto")) > step(F.col("upto") - F.col("n"))) & (F.col("upto") < total))
+    return sorted((r["v"] for r in found.select("v").collect()), key=lambda v: v.encode("utf-8", "surrogatepass"))
 
 
 def hilbert_index(coords: Column, dims: int, bits: int) -> Column:
@@ -69,13 +84,16 @@ def hilbert_index(coords: Column, dims: int, bits: int) -> Column:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """``df`` with ``_cell``, the array of its numeric dimensions in equal-depth steps of
-    ``bits`` bits.  The cut points are quantiles of all rows; null is the lowest step."""
+    """``df`` with ``_cell``, the array of its numeric or string dimensions in equal-depth
+    steps of ``bits`` bits.  The cut points are quantiles of all rows, strings in the order
+    of their whole values; null is the lowest step."""
     steps = 1 << bits
-    at = [F.percentile_approx(d, [k / steps for k in range(1, steps)], 10_000).alias(d) for d in dims]
-    points = df.agg(*at).first()
+    texts = [d for d in dims if df.schema[d].dataType.typeName() in ("string", "varchar", "char")]
+    at = [F.percentile_approx(d, [k / steps for k in range(1, steps)], 10_000).alias(d) for d in dims if d not in texts]
+    points = df.agg(*at).first().asDict() if at else {}
+    points = {d: string_cuts(df, d, steps) if d in texts else sorted(set(points[d] or [])) for d in dims}
     coords = [
-        F.coalesce(sum((F.lit(0), *[(F.col(d) > F.lit(p)).cast("int") for p in sorted(set(points[d] or []))]), F.lit(0)), F.lit(0))
+        F.coalesce(sum((F.lit(0), *[(F.col(d) > F.lit(p)).cast("int") for p in points[d]]), F.lit(0)), F.lit(0))
         for d in dims
     ]
     return df.withColumn("_cell", F.array(*coords))
@@ -85,7 +103,7 @@ def hilbert_shards(rows: DataFrame, dims: list[str], size: str, shards: int = 8,
                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in a shard).
 
-    ``dims`` are numeric columns, ``size`` a positive one whose totals the shards share
+    ``dims`` are numeric or string columns, ``size`` a positive one whose totals the shards share
     evenly: a row goes where its middle byte falls, so a shard misses the even share by
     less than the largest row at each end."""
     if shards < 1 or bits < 1 or bits * len(dims) > 30:
@@ -131,7 +149,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", size_col().alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        ordered_image("lang").alias("_lang"), ordered_image("source").alias("_source"),
+        F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"),
     )
 
 

@@ -224,6 +224,20 @@ def check_shards(rows, docs):
 
 
 @given
+def test_long_common_prefixes_do_not_hide_a_dimension(spark):
+    """Sources that share their first bytes still part the rows, and shards cover few of them."""
+    rows = [(i, f"https://common.example/crawl-{i % 16:02d}", None if i % 50 == 0 else 10 + i % 3) for i in range(1600)]
+    df = spark.createDataFrame(rows, "id bigint, source string, size bigint")
+    cuts = hilbert.string_cuts(df, "source", 16)
+    assert len(cuts) == 15 and cuts == sorted(cuts)
+    df = df.fillna({"size": 10})
+    ranges = hilbert.shard_ranges(hilbert.hilbert_shards(df, ["source"], "size", 8), ["source"]).collect()
+    assert len(ranges) == 8 and all(int(r.max_source[-2:]) - int(r.min_source[-2:]) <= 2 for r in ranges)
+    hot = spark.createDataFrame([("same",)] * 90 + [(None,)] * 5 + [("z",)] * 5, "source string")
+    assert hilbert.string_cuts(hot, "source", 4) in (["same"], [])
+    assert hilbert.string_cuts(hot.where("source is null"), "source", 4) == []
+
+
 def test_shards_of_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     sizes = check_shards(op_queries.op10(spark, SF).collect(), docs)
