@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow, stored
 
 LENGTH, HOT = 200, 1_000
-BUCKET_BYTES, MOST_STRINGS = 1 << 20, 1_000
+BUCKET_BYTES, MOST_STRINGS = 1 << 18, 1_000
 MOST_BITS = 1 << 27
-_SLICE = 1 << 19
+_SLICE = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,39 +50,44 @@ def difference_cover_order(s: np.ndarray) -> np.ndarray:
     text = np.concatenate((s.astype(np.int64), np.zeros(4, np.int64)))
     most = int(text.max()) + 1
     # Sampled places: remainder 1, then 2; an empty suffix keeps the two halves apart.
-    ones = np.arange(1, n + (n % 3 == 1), 3)
-    sample = np.concatenate((ones, np.arange(2, n, 3)))
-    triples = [text[sample + k] for k in range(3)]
+    n1, n2, n0 = (n + (n % 3 == 1) + 1) // 3, n // 3, (n + 2) // 3
+    every = lambda x, first, count: x[first:first + 3 * count:3]
+    pair = text[:-1] * most + text[1:]
     if 3 * most.bit_length() <= 63:
-        key = (triples[0] * most + triples[1]) * most + triples[2]
+        key = pair[:-1] * most
+        key += text[2:]
+        key = np.concatenate((every(key, 1, n1), every(key, 2, n2)))
         order = np.argsort(key)
         key = key[order]
         new = key[1:] != key[:-1]
     else:
+        triples = [np.concatenate((every(text, 1 + k, n1), every(text, 2 + k, n2))) for k in range(3)]
         order = np.lexsort(triples[::-1])
         new = np.any([t[order][1:] != t[order][:-1] for t in triples], axis=0)
-    names = np.empty(len(sample), np.int64)
+    names = np.empty(n1 + n2, np.int64)
     names[order] = np.concatenate(([1], 1 + np.cumsum(new)))
-    if names.max() < len(sample):
+    if names.max() < n1 + n2:
         order = difference_cover_order(names)
-    twelve = sample[order]
-    rank = np.zeros(n + 4, np.int64)
-    rank[twelve] = np.arange(1, len(twelve) + 1)
+    ranks = np.empty(n1 + n2, np.int64)
+    ranks[order] = np.arange(1, n1 + n2 + 1)
+    rank = np.zeros(n + 5, np.int64)
+    rank[1:1 + 3 * n1:3], rank[2:2 + 3 * n2:3] = ranks[:n1], ranks[n1:]
     # The others: ordered by their first symbol and the rank behind it.
-    wide = len(twelve) + 1
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(text[rest] * wide + rank[rest + 1])]
-    first, second = twelve[twelve % 3 == 1], twelve[twelve % 3 == 2]
-    before = np.searchsorted(text[first] * wide + rank[first + 1], text[rest] * wide + rank[rest + 1])
-    pair = text[:-1] * most + text[1:]
-    if (2 * most.bit_length() + wide.bit_length()) > 62:
+    wide = n1 + n2 + 1
+    rest = every(text, 0, n0) * wide + every(rank, 1, n0)
+    by = np.argsort(rest)
+    ones = order < n1
+    first = (every(text, 1, n1) * wide + every(rank, 2, n1))[order[ones]]
+    before = np.searchsorted(first, rest[by])
+    if 2 * most.bit_length() + wide.bit_length() > 62:
         pair = np.unique(pair, return_inverse=True)[1]
-    before = before + np.searchsorted(pair[second] * wide + rank[second + 2], pair[rest] * wide + rank[rest + 2])
-    out = np.empty(len(twelve) + len(rest), np.int64)
-    places = np.arange(len(rest)) + before
+    second = (every(pair, 2, n2) * wide + every(rank, 4, n2))[order[~ones] - n1]
+    before += np.searchsorted(second, (every(pair, 0, n0) * wide + every(rank, 2, n0))[by])
+    out = np.empty(n0 + n1 + n2, np.int64)
+    places = np.arange(n0) + before
     others = np.ones(len(out), bool)
     others[places] = False
-    out[places], out[others] = rest, twelve
+    out[places], out[others] = 3 * by, np.where(ones, 3 * order + 1, 3 * (order - n1) + 2)
     return out[out < n]
 
 
@@ -103,8 +108,9 @@ def repeated_starts(texts: list[bytes], counts: np.ndarray, length: int = LENGTH
     padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     a, b, same = order[:-1], order[1:], np.arange(max(0, len(order) - 1))
-    for k in range(0, length, 8):
-        k = min(k, max(0, length - 8))
+    # From the end, where strings of one passage differ first.
+    for k in range(length - 8, -8, -8):
+        k = max(0, k)
         x, y = (np.ascontiguousarray(words[z[same] + k]).view("<u8").ravel() for z in (a, b))
         equal = x == y if length >= 8 else (words[a[same]][:, :length] == words[b[same]][:, :length]).all(axis=1)
         same = same[equal]
@@ -146,7 +152,10 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_size(length: int) -> int:
-    return max(1, length // 4)
+    """A quarter of ``length``, cut to its two highest bits: such sizes take few products."""
+    n = max(1, length // 4)
+    low = max(0, n.bit_length() - 2)
+    return n >> low << low
 
 
 def slices(texts: list[bytes], length: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -268,9 +277,11 @@ def _flagged(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataF
         group = group.sort_by("h")
         h, counts, texts_ = group["h"].to_numpy(), group["c"].to_numpy(), group["piece"].to_pylist()
         digests = [xxhash.xxh3_128_digest(t) for t in texts_]
-        alone = np.concatenate(([True], h[1:] != h[:-1])) & np.concatenate((h[1:] != h[:-1], [True]))
+        # Where every piece of a gram is found twice, its strings are all known to repeat.
+        firsts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        open_ = np.repeat(np.logical_or.reduceat(counts == 1, firsts), np.diff(np.append(firsts, len(h))))
         marks = [np.full(len(t) - most, c > 1) for t, c in zip(texts_, counts.tolist())]
-        several = np.flatnonzero(~alone | (counts == 1)).tolist()
+        several = np.flatnonzero(open_).tolist()
         for i, m in zip(several, repeated_starts([texts_[i] for i in several], counts[several], length) if several else ()):
             marks[i] = m
         return runs(digests, marks)
@@ -292,8 +303,12 @@ def _flagged(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataF
     many = found.join(crowded, "h", "left_semi").select("piece", "c")
     single = map_arrow(many, strings, "s binary, d binary, i int, c bigint")
     double = single.groupBy("s").agg(F.sum("c").alias("c")).where("c > 1").select("s")
-    apart = single.select("s", "d", "i").join(double, "s", "left_semi").groupBy("d").agg(F.collect_set("i").alias("i")).select(
-        "d", F.col("i").alias("first"), F.transform("i", lambda x: x + 1).alias("last"))
+    apart = single.select("s", "d", "i").join(double, "s", "left_semi").groupBy("d").agg(F.collect_set("i").alias("i"))
+    # Runs of neighbouring strings, as from the buckets; the sorted array is bound once.
+    edges = F.transform(F.array(F.sort_array("i")), lambda i: F.struct(
+        F.filter(i, lambda x, k: (k == 0) | (F.get(i, k - 1) != x - 1)).alias("first"),
+        F.transform(F.filter(i, lambda x, k: F.coalesce(F.get(i, k + 1) != x + 1, F.lit(True))), lambda x: x + 1).alias("last")))[0]
+    apart = apart.select("d", edges.alias("e")).select("d", "e.first", "e.last")
     where = stored(map_arrow(texts.withColumn("sha", F.unhex(F.sha2("data", 256))), places, "sha binary, at int, d binary").distinct())
     shifted = F.transform(F.arrays_zip("first", "last"), lambda x: F.struct((x["first"] + F.col("at")).alias("start"), (x["last"] + F.col("at") + most).alias("end")))
     return where.join(marked.unionByName(apart), "d").select("sha", F.explode(shifted).alias("span")).groupBy("sha").agg(F.collect_list("span").alias("spans"))
