@@ -71,6 +71,9 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        # Spark removes the shuffle files of plans that nothing refers to when the driver collects garbage.
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None],
