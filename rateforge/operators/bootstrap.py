@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.hashing import seeded_hash
 from ..plans.materialize import cut
 from ..plans.ranking import bucket_offsets, with_hash
 from .metrics import count_cells, macro_f1
 
 # Groups per block.
 BLOCK_GROUPS = 2_000
+# Hashed draws that fall on a block of positions, and that a task makes at once.
+BLOCK_DRAWS, TASK_DRAWS = 1 << 23, 1_000_000
 
 
 def block_shares(
@@ -95,25 +100,54 @@ def hashed_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame
     """Summed cells per replicate with MD5-derived draws, reproducible on any engine.
 
     Draw number d of replicate r takes the group at position hash(seed, r, d) mod G in
-    hash order.  Draws collapse to (replicate, position, weight) before they meet the
-    counts.
+    hash order.  Draws travel to the block of positions they fall on as packed arrays of
+    (replicate, place in the block), four bytes each; there they are counted and multiplied
+    with the block's cells.  A block holds some eight million draws, whatever the groups.
     """
     n_groups = groups.count()
     names = [f"{m}_{i}" for m in models for i in range(25)]
+    width = max(1, BLOCK_DRAWS // n_boot)
+    code = np.uint32 if n_boot * width <= 1 << 32 else np.uint64
     keyed = with_hash(groups, ["group"], seed)
     inside = W.partitionBy("_b").orderBy("_h", "group")
-    placed = keyed.join(bucket_offsets(keyed, []), "_b").withColumn(
+    placed = cut(keyed.join(bucket_offsets(keyed, []), "_b").withColumn(
         "pos", F.col("_before") + F.row_number().over(inside) - 1
-    )
-    draws = placed.select(
-        "pos", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    ).select("rep", F.pmod(seeded_hash(seed, F.col("rep"), F.col("pos")), F.lit(n_groups)).alias("pos"))
-    weights = draws.groupBy("pos", "rep").agg(F.count(F.lit(1)).alias("w"))
-    return (
-        weights.join(placed.select("pos", *names), "pos")
-        .groupBy("rep")
-        .agg(*[F.expr(f"sum(`{c}` * w) AS `{c}`") for c in names])
-    )
+    ).select(F.floor(F.col("pos") / width).cast("int").alias("block"), "pos", *names))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(0).to_pylist()
+            step = max(1, TASK_DRAWS // n_boot)
+            for start in range(0, len(places), step):
+                own = [b"%d" % p for p in places[start:start + step]]
+                digests = b"".join(
+                    hashlib.md5(lead + p).digest() for lead in (b"%d|%d|" % (seed, r) for r in range(n_boot)) for p in own
+                )
+                # The first fifteen hex digits, as in functions.hashing.seeded_hash.
+                picks = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)) % np.uint64(n_groups)
+                block, place = np.divmod(picks.astype(np.int64), width)
+                packed = (np.repeat(np.arange(n_boot), len(own)) * width + place).astype(code)
+                order = np.argsort(block, kind="stable")
+                block, packed = block[order], packed[order]
+                firsts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                parts = [x.tobytes() for x in np.split(packed, firsts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(block[firsts], pa.int32()), pa.array(parts, pa.binary())], ["block", "draws"])
+
+    def summed(draws: pa.Table, cells: pa.Table) -> pa.Table:
+        at = cells["pos"].to_numpy() % width
+        counts = np.zeros(n_boot * width, dtype=np.int64)
+        for part in draws["draws"]:
+            counts += np.bincount(np.frombuffer(part.as_buffer(), code), minlength=n_boot * width)
+        weights = counts.reshape(n_boot, width)[:, at].astype(np.float64)
+        out = weights @ np.stack([cells[c].to_numpy().astype(np.float64) for c in names], axis=1)
+        return pa.table([pa.array(np.arange(n_boot), pa.int32()), *(pa.array(c) for c in out.T)], ["rep", *names])
+
+    # Dealt by the number of draws: few groups are still many of them.
+    tasks = max(1, -(-n_groups * n_boot // TASK_DRAWS))
+    draws = placed.select("pos").repartition(tasks).mapInArrow(draw, "block int, draws binary")
+    schema = "rep int, " + ", ".join(f"`{c}` double" for c in names)
+    parts = draws.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(summed, schema)
+    return parts.groupBy("rep").agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in names])
 
 
 def cluster_bootstrap(

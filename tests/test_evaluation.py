@@ -1,3 +1,4 @@
+import hashlib
 import math
 from functools import reduce
 
@@ -122,6 +123,24 @@ def test_bootstrap(spark, draws, monkeypatch):
     assert 0.6 < (one["a"].high - one["a"].low) / width < 1.6
 
 
+def test_hashed_draws_travel_packed(spark, monkeypatch):
+    """Every replicate's cells equal those of draws taken one by one, over several blocks."""
+    monkeypatch.setattr(bootstrap, "BLOCK_DRAWS", 140)  # seven positions a block
+    monkeypatch.setattr(bootstrap, "TASK_DRAWS", 90)
+    rng = np.random.default_rng(3)
+    cells = rng.integers(0, 9, (30, 25))
+    names = [f"m_{i}" for i in range(25)]
+    groups = spark.createDataFrame(pd.DataFrame(cells, columns=names).assign(group=np.arange(30)))
+    got = bootstrap.hashed_draws(groups, {"m": "p"}, 20, 5)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row a draw
+    md5 = lambda *ids: int(hashlib.md5("|".join(map(str, ids)).encode()).hexdigest()[:15], 16)
+    order = sorted(range(30), key=lambda g: (md5(5, g), g))
+    for r in got.collect():
+        picks = [order[md5(5, r.rep, d) % 30] for d in range(30)]
+        assert [r[c] for c in names] == cells[picks].sum(axis=0).tolist()
+    assert got.count() == 20
+
+
 def _softmax_rows(n, scale, seed=0):
     rng = np.random.default_rng(seed)
     z = rng.normal(size=(n, 5)) * 1.5
