@@ -14,8 +14,10 @@ rank behind them.  Then prefixes of neighbours in suffix order are compared over
 A gram that is found once names no repeat; a table of bits of a fixed size, whatever the
 input, spares such pieces the way (bits hit by chance cost a little work and change
 nothing).  A gram that stands in more than ``HOT`` different pieces would gather them in
-one task; their strings are counted one by one, by digests of 128 bits, as rows of their
-own.
+one task.  Such pieces are cut into at most a few runs of strings, by the gram's distance
+from their start; equal strings agree in it, so the bytes that all strings of a run share
+are a longer gram to meet by.  Equal runs collapse, and what is still crowded is cut
+finer, down to single strings.
 
 Defined results: null texts are empty; shorter texts have no such string; matches never
 cross documents; a string that overlaps its own repeat counts; rows with equal texts get
@@ -26,7 +28,8 @@ gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +208,29 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield own + start, place, place - begins[own], np.diff(np.append(firsts, len(at))), least[place], data
 
 
+def narrower(h: int, g: int | None, piece: bytes, width: int, length: int) -> Iterator[tuple[int, int, bytes, int]]:
+    """(key, place of the gram, bytes, place in ``piece``) of the runs of strings of ``piece``
+    whose gram stands at one of ``width`` distances from their start.
+
+    ``h`` is the hash of the gram that the strings share and ``g`` its place, unless it is
+    still to be found; then the first one inside a string counts.  Equal strings agree in
+    the distance, and so in the bytes that all strings of such a run share: the key is
+    their hash."""
+    k = len(piece) - length + 1
+    if g is None:
+        grams = gram_hashes(np.frombuffer(piece, np.uint8), gram_size(length)).view(np.int64)
+        places = np.flatnonzero(grams == h)
+        place = places[np.searchsorted(places, np.arange(k))]
+    else:
+        place = np.full(k, g)
+    slot = (place - np.arange(k)) // width
+    cuts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (slot[1:] != slot[:-1])))).tolist()
+    for a, b in zip(cuts, [*cuts[1:], k]):
+        at, low = int(place[a]), int(slot[a]) * width
+        core = piece[at - low:at - low - width + 1 + length]
+        yield xxhash.xxh3_64_intdigest(core, seed=low) - (1 << 63), at - a, piece[a:b + length - 1], a
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """A few rows at a time with their texts, so that not all exist twice."""
     for start in range(0, batch.num_rows, 256):
@@ -286,32 +312,49 @@ def _flagged(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataF
             marks[i] = m
         return runs(digests, marks)
 
-    # Crowded grams go string by string.
-    few = found.join(crowded, "h", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    # Crowded grams are taken apart by ever longer common parts, until none is crowded.
+    def taken_apart(width: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for start in range(0, batch.num_rows, 256):
+                rows = []
+                for h, g, piece, c in zip(*(x.to_pylist() for x in batch.slice(start, 256).columns)):
+                    own = xxhash.xxh3_128_digest(piece)
+                    rows += [(*part, c, xxhash.xxh3_128_digest(part[2]), own, first) for *part, first in narrower(h, g, piece, width, length)]
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["h", "g", "piece", "c", "d", "whole", "at"])
+        return work
+
+    level, width, few, links = found.select("h", F.lit(None).cast("int").alias("g"), "piece", "c"), length - gram_size(length) + 1, [], []
+    while True:
+        few.append(level.join(crowded, "h", "left_anti").select("h", "piece", "c"))
+        if crowded.isEmpty():
+            break
+        if width == 1:  # equal strings have collapsed, so only chance can bring others together
+            few.append(level.join(crowded, "h", "left_semi").select("h", "piece", "c"))
+            break
+        width = -(-width // 4)
+        parts = stored(map_arrow(level.join(crowded, "h", "left_semi"), taken_apart(width), "h bigint, g int, piece binary, c bigint, d binary, whole binary, at int"))
+        level = stored(parts.groupBy("h", "g", "piece").agg(F.sum("c").alias("c")))
+        # A part that is found once has no copy.
+        sizes = level.groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+        level = level.join(stored(sizes.where("c > 1").select("h")), "h", "left_semi")
+        crowded = stored(sizes.where(F.col("n") > hot).select("h"))
+        links.append(parts.select("d", "whole", "at").distinct())
+    few = reduce(DataFrame.unionByName, few).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
     marked = few.groupBy("bucket").applyInArrow(compared, spans)
-
-    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start in range(0, batch.num_rows, 64):
-            part = batch.slice(start, 64)
-            for piece, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                k = len(piece) - most
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(piece[i:i + length]) for i in range(k)], pa.binary()),
-                     pa.array([xxhash.xxh3_128_digest(piece)] * k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([c] * k, pa.int64())],
-                    ["s", "d", "i", "c"])
-
-    many = found.join(crowded, "h", "left_semi").select("piece", "c")
-    single = map_arrow(many, strings, "s binary, d binary, i int, c bigint")
-    double = single.groupBy("s").agg(F.sum("c").alias("c")).where("c > 1").select("s")
-    apart = single.select("s", "d", "i").join(double, "s", "left_semi").groupBy("d").agg(F.collect_set("i").alias("i"))
-    # Runs of neighbouring strings, as from the buckets; the sorted array is bound once.
-    edges = F.transform(F.array(F.sort_array("i")), lambda i: F.struct(
-        F.filter(i, lambda x, k: (k == 0) | (F.get(i, k - 1) != x - 1)).alias("first"),
-        F.transform(F.filter(i, lambda x, k: F.coalesce(F.get(i, k + 1) != x + 1, F.lit(True))), lambda x: x + 1).alias("last")))[0]
-    apart = apart.select("d", edges.alias("e")).select("d", "e.first", "e.last")
+    if links:
+        # Back up: what was found in a part is found in every piece that holds it.
+        marked = stored(marked)
+        every = marked
+        for link in reversed(links):
+            shift = lambda c: F.transform(c, lambda x: x + F.col("at"))
+            up = link.join(every, "d").select(F.col("whole").alias("d"), shift("first").alias("first"), shift("last").alias("last"))
+            joined = up.groupBy("d").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last")])
+            every = marked.unionByName(joined)
+        marked = every
     where = stored(map_arrow(texts.withColumn("sha", F.unhex(F.sha2("data", 256))), places, "sha binary, at int, d binary").distinct())
     shifted = F.transform(F.arrays_zip("first", "last"), lambda x: F.struct((x["first"] + F.col("at")).alias("start"), (x["last"] + F.col("at") + most).alias("end")))
-    return where.join(marked.unionByName(apart), "d").select("sha", F.explode(shifted).alias("span")).groupBy("sha").agg(F.collect_list("span").alias("spans"))
+    return where.join(marked, "d").select("sha", F.explode(shifted).alias("span")).groupBy("sha").agg(F.collect_list("span").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

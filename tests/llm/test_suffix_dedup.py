@@ -73,6 +73,34 @@ def test_passages_periods_and_hot_grams(spark, length, hot, size):
     assert collected(sd.removals(df, length=length, hot=hot, bucket_bytes=size)) == brute(rows, length)
 
 
+def test_crowded_pieces_come_apart_in_few_runs():
+    """Every string is in one run, equal strings have one key, and a piece gives a few runs
+    where it gave a row a string."""
+    rng, length = np.random.default_rng(1), 200
+    gram = sd.gram_size(length)
+    middle = rng.bytes(170)
+    texts = [rng.bytes(int(rng.integers(0, 60))) + middle + middle[:int(rng.integers(80, 170))] + rng.bytes(40) for _ in range(30)]
+    found = [(h, data[p:p + k + length - 1]) for _, place, _, strings, least, data in sd.pieces(texts, length)
+             for p, k, h in zip(place.tolist(), strings.tolist(), least.view(np.int64).tolist())]
+    span = length - gram + 1
+    for width in (-(-span // 4), 3, 1):
+        keys, n = {}, 0
+        for h, piece in found:
+            runs = list(sd.narrower(h, None, piece, width, length))
+            again = [(key, part) for key, _, part, _ in runs]
+            for key, g, part, at in runs:
+                assert piece[at:at + len(part)] == part
+                finer = [(k, q) for k, _, q, _ in sd.narrower(key, g, part, width, length)]
+                assert finer == [(key, part)]  # the place carries over
+                for i in range(len(part) - length + 1):
+                    keys.setdefault((h, part[i:i + length]), set()).add(key)
+                    n += 1
+            if width > 3:
+                assert len(again) <= 10 < len(piece) - length + 1 or len(piece) - length < 12
+        assert n == sum(len(p) - length + 1 for _, p in found)
+        assert all(len(k) == 1 for k in keys.values())
+
+
 def test_odd_rows_and_spans(odd, empty):
     want = brute([(r.doc_id, r.text) for r in odd.collect()], 200)
     assert collected(sd.removals(odd)) == want
