@@ -188,3 +188,19 @@ def test_tokenizer_hook(spark, reviews):
 
     got = {r.row_id: r.tokens for r in terms.tokenizer_lengths(reviews, load).collect()}
     assert got[0] == 2 and got[2] == 1
+
+
+def test_char_terms_are_counted_before_they_are_rows(spark, monkeypatch):
+    """Both counts equal those of the exploded n-grams, for odd texts too, over several slices."""
+    monkeypatch.setattr(features, "TEXTS_AT_ONCE", 3)
+    texts = ["a bb bb", None, "", "  ", "\u00c9t\u00e9 \u65e5\u672c\u8a9e \U0001f600", "x", "Abc abc ABCDEFG", "bb " * 50, "aaaaaaa", "a bb"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for low, high in ((2, 5), (4, 6)):
+        config = features.TfidfConfig("char", low, high, 1, 1000)
+        got = features.term_statistics(df, config)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = {}
+        for i, r in enumerate(features.with_ngrams(df, config, "g").select("g").collect()):
+            for g in r.g:
+                want.setdefault(g, []).append(i)
+        assert {(r.term, r.df, r.cf) for r in got.collect()} == {(g, len(set(x)), len(x)) for g, x in want.items()}
