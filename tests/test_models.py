@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from rateforge.functions.probs import PROB_COLS
@@ -46,6 +47,26 @@ def test_features_equal_the_long_form(spark, reviews):
     assert all(math.isclose(sum(x * x for x in v.values()), 1.0) for v in rows.values())
 
 
+def test_vocabulary_goes_to_the_jvm_at_once(spark, reviews, monkeypatch, tmp_path):
+    """Not a term a call, which took longer than the passes of a fit; same model."""
+    def refused(*_):
+        raise AssertionError("a term a call")
+
+    for config in (WORDS, CHARS):
+        want = CountVectorizerModel.from_vocabulary(features.fit_tfidf(reviews, config).counts.vocabulary, "terms", "tf")
+        with monkeypatch.context() as patched:
+            patched.setattr(CountVectorizerModel, "_new_java_array", staticmethod(refused))
+            got = features.fit_tfidf(reviews, config)
+            one = models.RatingModel([got], np.zeros((len(got.weights), 5)), np.zeros(5))
+            one.save(spark, str(tmp_path / config.analyzer))
+            again = models.RatingModel.load(spark, str(tmp_path / config.analyzer)).blocks[0]
+        rows = features.with_ngrams(reviews, config, "terms").select("row_id", "terms")
+        counts = [[(r.row_id, r.tf) for r in m.transform(rows).orderBy("row_id").collect()] for m in (want, got.counts, again.counts)]
+        assert counts[0] == counts[1] == counts[2] and got.counts.vocabulary == want.vocabulary == again.counts.vocabulary
+        terms = features.vocabulary(reviews, config).collect()
+        assert want.vocabulary == [r.term for r in sorted(terms, key=lambda r: (-r.cf, r.term))]
+
+
 def test_blocks_side_by_side(spark, reviews):
     got = {(r.row_id, r.block): r for r in features.union_profile(reviews, (WORDS, CHARS)).collect()}
     assert len(got) == 60 and all(math.isclose(r.squares, 1.0) for r in got.values())
