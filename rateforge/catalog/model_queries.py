@@ -17,6 +17,8 @@ from .review_queries import _FIELDS_SQL, _LINE
 from .split_queries import SPLIT, split_orders
 
 WORDS, CHARS = features.WORD_TFIDF, features.CHAR_TFIDF
+# Raw lines written by one task.
+RAW_FILE_BYTES = 64 << 20
 
 
 def documents(spark, sf) -> DataFrame:
@@ -327,9 +329,10 @@ def _(spark, sf):
 @query("S1_S6_cached_tskv_scan", _FIELDS_SQL.replace("doc_id AS row_id", "row_number() OVER (ORDER BY doc_id) - 1 AS row_id"))
 def _(spark, sf):
     folder = _folder(spark)
-    # One ordered file, so file order is id order.
+    # Files in the order of the ids, more of them for more text, so that no task writes or reads a fixed share.
     lines = table(spark, sf, "documents").selectExpr("doc_id", f"{_LINE} AS value")
-    lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(f"{folder}/raw")
+    parts = max(4, -(-(lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0) // RAW_FILE_BYTES))
+    lines.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(f"{folder}/raw")
     read = lambda path: tskv.read_tskv(spark, path, tskv.block_index(spark, path, f"{folder}/index"))
     first = tables.derived_table(spark, f"{folder}/raw", f"{folder}/parsed", read)
     again = tables.derived_table(spark, f"{folder}/raw", f"{folder}/parsed", read)

@@ -3,6 +3,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from rateforge.catalog import all_queries, model_queries
 from rateforge.sources import runlog, tables, tskv
 
 
@@ -166,3 +167,16 @@ def test_log_of_many_runs_in_one_write(spark, tmp_path):
     assert len(spark.read.parquet(path).inputFiles()) == 1
     with pytest.raises(ValueError, match="typo"):
         runlog.log_runs(df.withColumn("typo", F.lit(1)), path)
+
+
+def test_raw_files_grow_with_their_text(spark, monkeypatch, tmp_path):
+    """The cached scan's raw lines lie in files of bounded size, whose order is that of the ids."""
+    folder, sf = tmp_path / "table", "/root/testdata/sf0.001"
+    monkeypatch.setattr(model_queries, "_folder", lambda _: str(folder))
+    want = sorted(map(tuple, all_queries()["S1_S6_cached_tskv_scan"](spark, sf).collect()), key=str)
+    assert len(list((folder / "raw").glob("part-*"))) == 4
+    size = sum(f.stat().st_size for f in (folder / "raw").glob("part-*"))
+    folder = tmp_path / "more"
+    monkeypatch.setattr(model_queries, "RAW_FILE_BYTES", size // 11)
+    got = sorted(map(tuple, all_queries()["S1_S6_cached_tskv_scan"](spark, sf).collect()), key=str)
+    assert len(list((folder / "raw").glob("part-*"))) >= 10 and got == want
