@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -30,7 +31,7 @@ class TfidfConfig:
 # The two feature blocks of the baseline.
 WORD_TFIDF = TfidfConfig("word", 1, 2, 3, 300_000)
 CHAR_TFIDF = TfidfConfig("char", 2, 5, 5, 500_000)
-# Texts whose character n-grams are counted together.
+# Texts whose n-grams are counted together.
 TEXTS_AT_ONCE = 512
 VARIANTS = {"word": (WORD_TFIDF,), "char": (CHAR_TFIDF,), "word+char": (WORD_TFIDF, CHAR_TFIDF)}
 
@@ -139,28 +140,47 @@ def _char_counts(df: DataFrame, config: TfidfConfig) -> DataFrame:
     return words.mapInArrow(counted, "term string, df bigint, cf bigint")
 
 
+def _word_counts(df: DataFrame, config: TfidfConfig) -> DataFrame:
+    """(term, df, cf) of every ``TEXTS_AT_ONCE`` texts: n-grams are counted as numbers of
+    words, and a term is a row once for all of its texts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                lists = batch.column(0).slice(start, TEXTS_AT_ONCE)
+                words = lists.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                word, terms = words.indices.to_numpy().astype(np.int64), words.dictionary
+                kinds, prefix, names = len(terms), word, terms
+                for n in range(1, config.high + 1):
+                    if n > 1:  # an n-gram is the number of the one a word shorter and its last word
+                        whole = row[n - 1:] == row[:len(row) - n + 1]
+                        pairs, prefix_of = np.unique(prefix[:len(whole)] * kinds + word[n - 1:], return_inverse=True)
+                        first, last = np.divmod(pairs, max(kinds, 1))
+                        names = pc.binary_join_element_wise(names.take(pa.array(first)), terms.take(pa.array(last)), " ")
+                        prefix = prefix_of
+                    else:
+                        whole = np.ones(len(row), bool)
+                    if n < config.low or not whole.any():
+                        continue
+                    code = prefix[whole]
+                    cf = np.bincount(code, minlength=len(names))
+                    held = np.bincount(np.unique(row[:len(whole)][whole] * len(names) + code) % len(names), minlength=len(names))
+                    own = np.flatnonzero(cf)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(held[own]), pa.array(cf[own])], ["term", "df", "cf"])
+
+    words = df.select(long_words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    return words.mapInArrow(counted, "term string, df bigint, cf bigint")
+
+
 def term_statistics(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """(term, df, cf): texts holding the term and occurrences, above the document floor.
 
-    Inside each text the sorted n-grams show where a term occurs first, so one
-    aggregation with map-side combining yields both counts.  Character n-grams are counted
-    over some texts at a time before they become rows.
+    N-grams are counted over some texts at a time before they become rows, and those are
+    combined map-side.
     """
-    if config.analyzer == "char":
-        return _char_counts(df, config).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= config.min_df)
-    grams = with_ngrams(df.select("text"), config, "terms").select(F.sort_array("terms").alias("t"))
-
-    def mark(term: Column, i: Column) -> Column:
-        first = (i == 0) | (term != F.get("t", i - 1))
-        return F.struct(term.alias("term"), first.cast("long").alias("first"))
-
-    rows = grams.select(F.explode_outer(F.transform("t", mark)).alias("m")).select("m.*")
-    return (
-        rows.where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
-        .where(F.col("df") >= config.min_df)
-    )
+    counts = _char_counts(df, config) if config.analyzer == "char" else _word_counts(df, config)
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= config.min_df)
 
 
 def counted_statistics(counts: DataFrame, min_df: int) -> DataFrame:

@@ -225,3 +225,19 @@ def test_char_terms_are_counted_before_they_are_rows(spark, monkeypatch):
             for g in r.g:
                 want.setdefault(g, []).append(i)
         assert {(r.term, r.df, r.cf) for r in got.collect()} == {(g, len(set(x)), len(x)) for g, x in want.items()}
+
+
+def test_word_terms_are_counted_before_they_are_rows(spark, monkeypatch):
+    """As for characters; texts of one word or none, and pairs over the end of a text."""
+    monkeypatch.setattr(features, "TEXTS_AT_ONCE", 3)
+    texts = ["aa bb bb", None, "", "  ", "\u00c9t\u00e9 \u65e5\u672c\u8a9e \U0001f600", "xx", "Abc abc ABCDEFG", "bb " * 50, "aa", "aa bb", "x y z", "aa bb cc aa bb cc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for low, high in ((1, 2), (2, 4), (1, 1), (3, 3)):
+        config = features.TfidfConfig("word", low, high, 1, 1000)
+        got = features.term_statistics(df, config)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = {}
+        for i, r in enumerate(features.with_ngrams(df, config, "g").select("g").collect()):
+            for g in r.g:
+                want.setdefault(g, []).append(i)
+        assert {(r.term, r.df, r.cf) for r in got.collect()} == {(g, len(set(x)), len(x)) for g, x in want.items()}
