@@ -40,7 +40,7 @@ FOLDS, SMOOTH = 10, 0.1
 STATES, TOLERANCE = 8, 5e-4
 OWN, SUFFIXES, SUFFIX_BYTES = 3_000, 509, 3
 HOT_WORDS, HOT_BYTES = 300_000, 64
-SEGMENT, PACK = 1024, 250_000
+SEGMENT, PACK, SCALED = 1024, 500_000, 4
 #: Pseudo-tokens by which a state's symbols lean on the overall ones, and per transition.
 LEAN, FEW = 20.0, 0.5
 _FLUSH = 200_000
@@ -236,39 +236,49 @@ class HMM:
         """``expected`` and the sequences' log-likelihood.
 
         Tokens lie by their place in the texts, longest text first, so that every step works
-        on one stretch of the arrays and in place."""
+        on one stretch of the arrays and in place.  Sums are brought to one at every
+        ``SCALED``-th place and at a text's end; in between they stay far above underflow."""
         k, size = self.emit.shape
         texts = sorted(texts, key=len, reverse=True)
         lengths = np.array([len(t) for t in texts])
         steps = int(lengths[0])
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-        ends = np.concatenate(([0], np.cumsum(active)))
-        begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        place = np.arange(begins[-1] + lengths[-1]) - np.repeat(begins, lengths)
-        flat = np.empty(len(place), np.int64)
-        flat[ends[place] + np.repeat(np.arange(len(texts)), lengths)] = np.concatenate(texts)
-        seen = np.ascontiguousarray(self.emit.T)[flat]
-        alpha, scale, ones = np.empty((len(flat), k)), np.empty((len(flat), 1)), np.ones((k, 1))
+        ends = np.concatenate(([0], np.cumsum(active))).tolist()
+        active = [*active.tolist(), 0]
+        symbols, at = np.concatenate(texts), np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        emit, ones = np.ascontiguousarray(self.emit.T), np.ones((k, 1))
+        flat = np.empty(ends[-1], np.int64)
+        seen, alpha = np.empty((len(flat), k)), np.empty((len(flat), k))
+        beta, scales, log = np.ones((len(texts), k)), {}, 0.0
         for t in range(steps):
-            own = slice(ends[t], ends[t + 1])
+            n, own = active[t], slice(ends[t], ends[t + 1])
+            flat[own] = symbols[at[:n]]
+            at += 1
+            now = alpha[own]
+            np.take(emit, flat[own], axis=0, out=seen[own], mode="clip")
             if t == 0:
-                np.multiply(self.start, seen[own], out=alpha[own])
+                np.multiply(self.start, seen[own], out=now)
             else:
-                np.dot(alpha[ends[t - 1]:ends[t - 1] + active[t]], self.move, out=alpha[own])
-                alpha[own] *= seen[own]
-            np.dot(alpha[own], ones, out=scale[own])
-            alpha[own] /= scale[own]
-        log = float(np.log(scale).sum())
-        seen /= scale
-        back = np.ascontiguousarray(self.move.T)
-        beta, move = np.ones((len(texts), k)), np.zeros((k, k))
+                np.dot(alpha[ends[t - 1]:ends[t - 1] + n], self.move, out=now)
+                now *= seen[own]
+            if t % SCALED == SCALED - 1:
+                scales[t] = np.dot(now, ones)
+                now /= scales[t]
+                log += float(np.log(scales[t]).sum())
+            if active[t + 1] < n:  # what is left of the scale where texts end
+                last = np.dot(now[active[t + 1]:], ones)
+                beta[active[t + 1]:n] /= last
+                log += float(np.log(last).sum())
+        back, move = np.ascontiguousarray(self.move.T), np.zeros((k, k))
         for t in range(steps - 1, 0, -1):
-            n, own = int(active[t]), slice(ends[t], ends[t + 1])
-            ahead = seen[own]
-            ahead *= beta[:n]
+            n, own = active[t], slice(ends[t], ends[t + 1])
+            ahead, after = seen[own], beta[:n]
+            alpha[own] *= after
+            ahead *= after
+            if t in scales:
+                ahead /= scales[t]
             move += alpha[ends[t - 1]:ends[t - 1] + n].T @ ahead
-            alpha[own] *= beta[:n]
-            np.dot(ahead, back, out=beta[:n])
+            np.dot(ahead, back, out=after)
         alpha[:ends[1]] *= beta[:ends[1]]
         # One count over (symbol, state) pairs.
         pairs = (flat[:, None] * k + np.arange(k)).ravel()
@@ -359,7 +369,7 @@ def scored(rows: DataFrame, model: HMM) -> DataFrame:
                 for r, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     held.append((r, s))
                     size += len(s) // 2
-                    if size >= 6 * PACK:
+                    if size >= 3 * PACK:
                         yield out()
                         held, size = [], 0
         if held:

@@ -328,3 +328,20 @@ def test_symbols_and_shares_sum_to_one(spark):
     assert v.counts.sum() == v.n_tokens
     sent = {bytes(r.word): r.s for r in counts.select("word", hmm._suffix_col(hmm.F.col("word")).alias("s")).collect()}
     assert sent == {w: hmm.suffix(w) for w in words}
+
+
+def test_counts_do_not_depend_on_where_sums_are_scaled(monkeypatch):
+    """Texts end before, at and behind a scaled place; rare symbols do not underflow."""
+    rng = np.random.default_rng(5)
+    emit = rng.random((3, 7)) * np.array([1, 1, 1, 1, 1e-9, 1e-15, 1e-18])
+    model = hmm.HMM(np.ones(3) / 3, *(x / x.sum(1, keepdims=True) for x in (rng.random((3, 3)), emit)))
+    texts = [rng.integers(0, 7, n) for n in (*range(1, 14), 1024, 7, 1)] + [np.full(40, 6)]
+    found = {}
+    for every in (1, 4, 5):
+        monkeypatch.setattr(hmm, "SCALED", every)
+        found[every] = model.expected_and_log(texts)
+    for every, got in found.items():
+        for x, y in zip(got, found[1]):
+            assert np.allclose(x, y, rtol=1e-9), every
+    assert abs(found[4][3] / math.log(10) - model.log10(texts).sum()) < 1e-6
+    assert abs(found[4][2].sum() - sum(map(len, texts))) < 1e-6
