@@ -234,4 +234,6 @@ _ORDER = f"CASE WHEN part = 'val' THEN 0 ELSE 1 END, {md5_hash('42', 'row_id')},
     for t, n in (("replace(replace(a.text, '|', '/'), chr(10), ' ')", "left_text"), ("replace(replace(b.text, '|', '/'), chr(10), ' ')", "right_text")))))
 def _(spark, sf):
     docs = split_documents(spark, sf)
-    return neardup.near_duplicate_examples(docs, neardup.near_duplicates(docs, n_query=None))
+    train = neardup.train_sets(docs)
+    flags = neardup.near_duplicates(docs, n_query=None, train=train)
+    return neardup.near_duplicate_examples(docs, flags, train=train)

@@ -69,20 +69,62 @@ def _several_class() -> str:
     return rf"[^\x{{0}}-\x{{7F}}\x{{400}}-\x{{4FF}}](?<=[{inside}])"
 
 
+# Blocks without case, or where lower case is stable: Latin to Cyrillic, scripts without case
+# from Hebrew to Myanmar, punctuation and symbols, CJK, Hangul, emoji.
+PLAIN_BLOCKS = ((0x0, 0x52F), (0x590, 0x109F), (0x2000, 0x20CF), (0x2600, 0x27BF), (0x3000, 0x9FFF),
+                (0xAC00, 0xD7A3), (0x1F000, 0x1FAFF))
+# What folding adds to lower case inside those blocks, but for the characters of ``_rare_class``.
+BEYOND_LOWER = {"ß": "ss", "ς": "σ", "ſ": "s", "µ": "μ"}
+
+
+@cache
+def _rare_class() -> str:
+    """A character outside ``PLAIN_BLOCKS``, or one that folding changes beyond lower case and
+    ``BEYOND_LOWER``; ASCII is passed over by one test."""
+    ranges = []
+    for first, last in PLAIN_BLOCKS:
+        for code in range(first, last + 1):
+            char = chr(code)
+            low = char.lower()
+            if BEYOND_LOWER.get(low, low) != char.casefold():
+                continue
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    inside = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    return rf"[\x{{80}}-\x{{10FFFF}}&&[^{inside}]]"
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding: one translation of single characters; the few characters that
-    become several are replaced one by one, in texts that hold any."""
+    """Full case folding.
+
+    Texts of common characters are lower-cased and the few that folding takes further are
+    replaced.  In other texts single characters are translated one by one, which costs many
+    times as much; the few that become several are replaced in texts that hold any.
+    """
+    lower = F.lower(text)
+    common = lower
+    for char, folded in BEYOND_LOWER.items():
+        common = F.replace(common, F.lit(char), F.lit(folded))
     before, after, several = fold_table()
     plain = F.translate(text, before, after)
     longer = plain
     for char, folded in several.items():
         longer = F.replace(longer, F.lit(char), F.lit(folded))
-    return F.when(F.regexp_like(text, F.lit(_several_class())), longer).otherwise(plain)
+    rare = F.when(F.regexp_like(text, F.lit(_several_class())), longer).otherwise(plain)
+    return (
+        F.when(F.octet_length(text) == F.length(text), lower)
+        .when(F.regexp_like(text, F.lit(_rare_class())), rare)
+        .otherwise(common)
+    )
 
 
 def normalize_text(text: Column) -> Column:
     """Null to empty; two-character escapes n/r/t after a backslash to space; squeeze."""
-    return squeeze(F.regexp_replace(F.coalesce(text, F.lit("")), r"\\[nrt]", " "))
+    known = F.coalesce(text, F.lit(""))
+    unescaped = F.regexp_replace(known, r"\\[nrt]", " ")
+    return squeeze(F.when(F.contains(known, F.lit("\\")), unescaped).otherwise(known))
 
 
 def norm_key(text: Column) -> Column:
@@ -180,10 +222,10 @@ def first_escape(text: Column) -> Column:
 
 
 def shingles(words: Column, k: int = 3) -> Column:
-    """Distinct sliding k-word shingles; a text shorter than k is one shingle."""
+    """Sliding k-word shingles, repeats included; a text shorter than k is one shingle."""
     whole = F.array(F.array_join(words, " "))
     sliding = F.transform(
         F.sequence(F.lit(1), F.size(words) - (k - 1)),
         lambda i: F.array_join(F.slice(words, i, k), " "),
     )
-    return F.array_distinct(F.when(F.size(words) < k, whole).otherwise(sliding))
+    return F.when(F.size(words) < k, whole).otherwise(sliding)

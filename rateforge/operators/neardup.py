@@ -113,6 +113,11 @@ def prefix_pairs(asked: DataFrame, members: DataFrame, threshold: float) -> Data
     return left.join(right, "h").select("q", "t").distinct()
 
 
+def train_sets(df: DataFrame) -> DataFrame:
+    """Distinct shingle sets of the training part, stored for all that compare with them."""
+    return cut(distinct_sets(shingle_sets(df.where(F.col("split") == "train"), ["row_id"])))
+
+
 def query_rows(df: DataFrame, n_query: int | None, seed: int) -> DataFrame:
     """Rows of val and test that are looked up: all, or n_query of each part."""
     rows = df.where(F.col("split").isin("val", "test"))
@@ -124,15 +129,17 @@ def query_rows(df: DataFrame, n_query: int | None, seed: int) -> DataFrame:
 def near_duplicates(
     df: DataFrame, n_query: int | None = 10_000, threshold: float = 0.8, seed: int = 42,
     bands: int = 16, rows_per_band: int = 4, hot_rows: int = HOT_ROWS,
+    train: DataFrame | None = None,
 ) -> DataFrame:
-    """(part, row_id, short, has_dup) for every looked-up row.
+    """(part, row_id, short, has_dup) for every looked-up row; ``train`` are the
+    ``train_sets`` where they are already there.
 
     The question is whether a partner exists, so a band key shared by very many
     training texts is first answered by a few probes.  Queries still without a partner
     meet the members of such keys by their rarest shingles, not by the key.
     """
-    train = cut(distinct_sets(shingle_sets(df.where(F.col("split") == "train"), ["row_id"])))
-    rows = shingle_sets(query_rows(df, n_query, seed), ["row_id", "split"])
+    train = train_sets(df) if train is None else train
+    rows = cut(shingle_sets(query_rows(df, n_query, seed), ["row_id", "split"]))
     asked = cut(distinct_sets(rows.drop("split")))
 
     same = asked.join(train.select(*SET), SET, "left_semi").select(F.col("id").alias("q"))
@@ -186,9 +193,10 @@ def near_duplicate_rates(flags: DataFrame) -> DataFrame:
 
 def near_duplicate_examples(
     df: DataFrame, flags: DataFrame, n: int = 10, free: int = 4, threshold: float = 0.8,
-    seed: int = 42,
+    seed: int = 42, train: DataFrame | None = None,
 ) -> DataFrame:
-    """Up to n hits with their first partner; short texts only among the first ``free``."""
+    """Up to n hits with their first partner; short texts only among the first ``free``.
+    ``train`` are the ``train_sets`` where they are already there."""
     order = [
         F.when(F.col("part") == "val", 0).otherwise(1),
         seeded_hash(seed, F.col("row_id")),
@@ -205,7 +213,7 @@ def near_duplicate_examples(
     asked = cut(shingle_sets(texts, ["row_id"])).select(
         F.col("row_id").alias("q"), F.size("hs").alias("q_size"), F.explode("hs").alias("h")
     )
-    sets = cut(distinct_sets(shingle_sets(df.where(F.col("split") == "train"), ["row_id"])))
+    sets = train_sets(df) if train is None else train
     terms = sets.select("id", F.size("hs").alias("size"), F.explode("hs").alias("h"))
     shared = terms.join(F.broadcast(asked), "h").groupBy("q", "q_size", "id", "size").agg(
         F.count(F.lit(1)).alias("both")

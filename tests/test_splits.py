@@ -161,6 +161,17 @@ def test_near_duplicates_match_brute_force_under_a_hot_template(spark):
     assert len(examples) == 10 and examples.row_id.is_unique
 
 
+def test_sets_of_the_training_part_are_made_once(spark, monkeypatch):
+    rows = [(i, _text(f"w{j}" for j in range(i // 2, i // 2 + 20)), ["train", "val"][i % 2]) for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id long, text string, split string")
+    want = neardup.near_duplicate_examples(df, neardup.near_duplicates(df, n_query=None)).toPandas()
+    train = neardup.train_sets(df)
+    monkeypatch.setattr(neardup, "train_sets", None)
+    flags = neardup.near_duplicates(df, n_query=None, train=train)
+    got = neardup.near_duplicate_examples(df, flags, train=train).toPandas()
+    assert len(got) == 6 and got.equals(want)
+
+
 @pytest.mark.parametrize("changed, hit", [(9, False), (1, True)])
 def test_similarity_threshold(spark, changed, hit):
     base = [f"a{i}" for i in range(42)]

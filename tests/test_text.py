@@ -82,3 +82,11 @@ def test_casefold_equals_python_on_every_code_point(spark):
     df = spark.createDataFrame(rows, "i long, t string").repartition(4)
     got = {r.i: r.f for r in df.select("i", tx.casefold(F.col("t")).alias("f")).collect()}
     assert all(got[i] == (t.casefold() if t is not None else None) for i, t in rows)
+
+
+def test_common_texts_are_not_translated_character_by_character(spark):
+    common = ["Straße, Œuvre à l’été – „Ñandú“", "ΌΣΟΣ Ёлка İ 日本語 😀", "ſtoff µ-Zahl"]
+    rare = ["\ufb03", "\u1e9e", "\u10a0", "\u0149", "\u2c00", "\U00010400"]
+    df = spark.createDataFrame([(t,) for t in common + rare], "t string")
+    found = {r.t: (r.rare, r.f) for r in df.select("t", F.regexp_like("t", F.lit(tx._rare_class())).alias("rare"), tx.casefold(F.col("t")).alias("f")).collect()}
+    assert found == {t: (t in rare, t.casefold()) for t in common + rare}
