@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..plans.materialize import stored
 from ..plans.skew import HOT_ROWS, attach
 from .groups import GROUP_KEYS, with_group_keys
 
@@ -44,8 +45,11 @@ def copy_stats(df: DataFrame, key: Column, label: str = "rating") -> DataFrame:
 
 
 def mark_copies(df: DataFrame, label: str = "rating", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add per row: copies of its text, whether it is the first, whether labels conflict."""
-    keyed = df.withColumn("key", text_key(F.col("text")))
+    """Add per row: copies of its text, whether it is the first, whether labels conflict.
+
+    Rows are stored with their key: statistics and rows both need it, and a text is folded once.
+    """
+    keyed = stored(df.withColumn("key", text_key(F.col("text"))))
     stats = copy_stats(keyed, F.col("key"), label)
     joined = attach(keyed, stats, ["key"], ["row_id"], hot_rows=hot_rows)
     return joined.select(
