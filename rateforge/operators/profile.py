@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.bins import histogram_bin
 from ..functions.mentions import prioritised_mention
+from ..plans.materialize import cut
 from ..plans.quantiles import interpolated
 from ..plans.ranking import top_n
 from .cleaning import in_range, text_key
@@ -124,10 +125,17 @@ def length_by_class(df: DataFrame, value: str, label: str) -> DataFrame:
 
 
 def duplicate_profile(df: DataFrame, label: str = "rating", entity: str = "name_ru") -> DataFrame:
-    """Copies of texts: extra rows, rows and groups involved, conflicts, shared entities."""
+    """Copies of texts: extra rows, rows and groups involved, conflicts, shared entities.
+
+    Both aggregates read stored keys, so that a text is prepared, folded and digested once.
+    """
+    rows = cut(df.select(
+        label, entity, "address", (F.col("text") != "").alias("known"),
+        text_key(F.col("text")).alias("key"), tx.text_digest(F.col("text")).alias("digest"),
+    ))
     keys = (
-        df.where(F.col("text") != "")
-        .groupBy(text_key(F.col("text")).alias("key"))
+        rows.where(F.col("known"))
+        .groupBy("key")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.coalesce(F.min(label) < F.max(label), F.lit(False)).alias("conflict"),
@@ -143,7 +151,7 @@ def duplicate_profile(df: DataFrame, label: str = "rating", entity: str = "name_
         F.count_if(F.col("shared")).alias("cross_entity_groups"),
     )
     whole = (
-        df.groupBy(entity, "address", label, tx.text_digest(F.col("text")).alias("digest"))
+        rows.groupBy(entity, "address", label, "digest")
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("full_row_copies"))
     )

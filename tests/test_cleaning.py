@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from rateforge.functions import text as tx
 from rateforge.operators import cleaning, groups, profile
 from rateforge.plans.skew import attach
 
@@ -85,3 +86,16 @@ def test_request_validation(spark):
 def test_class_floor(spark):
     r = profile.class_floor(rows(spark)).first()
     assert r.n == 8 and abs(r.accuracy - 0.25) < 1e-12 and abs(r.macro_f1 - 2 * 0.25 / 1.25 / 5) < 1e-12
+
+
+def test_copies_are_keyed_once(spark):
+    """Statistics and rows read stored keys: no text is prepared or folded a second time."""
+    raw = rows(spark).withColumn("text", tx.normalize_text(F.col("text")))
+    marked = cleaning.mark_copies(raw)
+    profiled = profile.duplicate_profile(raw)
+    for df in (marked, profiled):
+        assert "lower(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.row_id: (r.copies, r.is_first, r.conflict) for r in marked.where("row_id < 5").collect()} == {
+        0: (3, True, True), 1: (3, False, True), 2: (3, False, True), 3: (2, True, False), 4: (2, False, False)}
+    assert {r.metric: r.value for r in profiled.collect()} == {
+        "extra_copies": 3, "rows_in_groups": 5, "groups": 2, "conflicting_groups": 1, "cross_entity_groups": 1, "full_row_copies": 1}
