@@ -13,7 +13,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
-from ..plans.materialize import cut, stored
+from ..plans.materialize import cut
 from .terms import long_words
 
 
@@ -86,23 +86,6 @@ def with_ngrams(df: DataFrame, config: TfidfConfig, out: str) -> DataFrame:
     )
 
 
-def _term_counts(df: DataFrame, config: TfidfConfig) -> DataFrame:
-    """(row_id, term, tf), counted inside each row.
-
-    In the sorted n-grams a term is a run; the distance from its first place to the next
-    run's is its frequency.
-    """
-    grams = with_ngrams(df.select("row_id", "text"), config, "terms")
-
-    def runs(t: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-        return F.transform(F.array(firsts), lambda at: F.transform(at, lambda i, k: F.struct(
-            F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("tf"))))[0]
-
-    counted = F.transform(F.array(F.sort_array("terms")), lambda t: F.when(F.size(t) > 0, runs(t)))[0]
-    return grams.select("row_id", F.explode(counted).alias("r")).select("row_id", "r.*")
-
-
 def word_grams(word: str, low: int, high: int) -> list[str]:
     """What ``char_ngrams`` gives for one word."""
     padded = f" {word} "
@@ -183,11 +166,6 @@ def term_statistics(df: DataFrame, config: TfidfConfig) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= config.min_df)
 
 
-def counted_statistics(counts: DataFrame, min_df: int) -> DataFrame:
-    """(term, df, cf) from stored (row_id, term, tf) rows."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-
-
 def vocabulary(df: DataFrame, config: TfidfConfig) -> DataFrame:
     return most_frequent(cut(term_statistics(df, config)), config)
 
@@ -290,7 +268,12 @@ def fit_tfidf(df: DataFrame, config: TfidfConfig) -> TfidfModel:
     The vocabulary is bounded by ``max_features``, which is what makes it safe to hold
     on the driver and to ship to the tasks.
     """
-    rows = vocabulary(df, config).select("term", "df", "cf").toArrow().sort_by([("cf", "descending"), ("term", "ascending")])
+    return tfidf_of(vocabulary(df, config), df, config)
+
+
+def tfidf_of(terms: DataFrame, df: DataFrame, config: TfidfConfig) -> TfidfModel:
+    """The model of a vocabulary's (term, df, cf) rows over the texts ``df``."""
+    rows = terms.select("term", "df", "cf").toArrow().sort_by([("cf", "descending"), ("term", "ascending")])
     if not len(rows):
         raise ValueError(f"no {config.analyzer} term occurs in {config.min_df} texts")
     frequency = rows["df"].to_numpy().astype(float)
@@ -305,19 +288,18 @@ def tfidf_weights(df: DataFrame, config: TfidfConfig) -> DataFrame:
     """Long form of the same weights: (row_id, term, weight).
 
     Used to inspect or export features; the vocabulary keeps at most ``max_features``
-    terms.  Texts are taken apart once: the counts are stored and aggregated.
+    terms.  Weights are row-local and only then become a row a term, so that no row of a
+    text's term is shuffled.
     """
-    tf = stored(_term_counts(df, config))
-    n = df.agg(F.count(F.lit(1))).scalar().cast("double")
-    idf = F.ln((n + 1.0) / (F.col("df") + 1).cast("double")) + 1.0
-    # The vocabulary holds at most max_features terms, which bounds the broadcast.
-    terms = most_frequent(cut(counted_statistics(tf, config.min_df)), config)
-    known = F.broadcast(terms.select("term", idf.alias("idf")))
-    raw = tf.join(known, "term").select(
-        "row_id", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("row_id")))
-    return raw.select("row_id", "term", (F.col("w") / norm).alias("weight"))
+    terms = vocabulary(df, config)
+    if terms.isEmpty():
+        return df.select("row_id", F.lit("").alias("term"), F.lit(0.0).alias("weight")).where(F.lit(False))
+    model = tfidf_of(terms, df, config)
+    names = df.sparkSession.createDataFrame(pa.table({"i": pa.array(range(len(model.weights)), pa.int32()), "term": model.counts.vocabulary}))
+    rows = add_features(df.select("row_id", "text"), [model])
+    pairs = F.arrays_zip(F.col("features")["indices"].alias("i"), F.col("features")["values"].alias("weight"))
+    return rows.select("row_id", F.explode(pairs).alias("x")).select("row_id", "x.*").join(
+        F.broadcast(names), "i").select("row_id", "term", "weight")
 
 
 def union_profile(df: DataFrame, configs: tuple[TfidfConfig, ...]) -> DataFrame:

@@ -47,6 +47,14 @@ def test_features_equal_the_long_form(spark, reviews):
     assert all(math.isclose(sum(x * x for x in v.values()), 1.0) for v in rows.values())
 
 
+def test_weights_of_terms_are_not_shuffled(spark, reviews):
+    for config in (WORDS, CHARS):
+        plan = features.tfidf_weights(reviews, config)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan
+    none = features.tfidf_weights(spark.createDataFrame([(1, "once only"), (2, None)], "row_id long, text string"), TfidfConfig("word", 1, 2, 3, 9))
+    assert none.columns == ["row_id", "term", "weight"] and none.count() == 0
+
+
 def test_vocabulary_goes_to_the_jvm_at_once(spark, reviews, monkeypatch, tmp_path):
     """Not a term a call, which took longer than the passes of a fit; same model."""
     def refused(*_):
