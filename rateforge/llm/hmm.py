@@ -10,8 +10,8 @@ has its smoothed share of the symbol's count, one share being left for unseen wo
 text's probability is the symbols' times the shares.
 
 *Training.*  Baum-Welch: each task runs the scaled forward-backward recursion over its
-texts, many side by side, and returns expected counts, which Spark sums over all tasks;
-the driver only divides them.  Every step covers the whole training part; they end when a
+texts, many side by side, in single precision, and returns expected counts, which Spark
+sums over all tasks in double precision; the driver only divides them.  Every step covers the whole training part; they end when a
 step gains less than ``TOLERANCE`` of log-likelihood (natural) a token.
 For training a text of more than ``SEGMENT`` tokens is cut into segments.
 
@@ -232,13 +232,18 @@ class HMM:
         """Expected counts of starts, moves and emissions over symbol sequences."""
         return self.expected_and_log(texts)[:3]
 
-    def expected_and_log(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """``expected`` and the sequences' log-likelihood.
+    def expected_and_log(self, texts: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """``expected`` and the sequences' log-likelihood; the recursion runs on numbers of
+        ``kind``, and sums over texts are in double precision whatever it is.
 
         Tokens lie by their place in the texts, longest text first, so that every step works
         on one stretch of the arrays and in place.  Sums are brought to one at every
-        ``SCALED``-th place and at a text's end; in between they stay far above underflow."""
+        ``SCALED``-th place and at a text's end.  A symbol's emissions are taken relative to the
+        greatest one, which no count depends on, so that in between they stay far above
+        underflow however rare the symbols are."""
         k, size = self.emit.shape
+        top = self.emit.max(axis=0)
+        top = np.where(top > 0, top, 1.0)
         texts = sorted(texts, key=len, reverse=True)
         lengths = np.array([len(t) for t in texts])
         steps = int(lengths[0])
@@ -246,10 +251,12 @@ class HMM:
         ends = np.concatenate(([0], np.cumsum(active))).tolist()
         active = [*active.tolist(), 0]
         symbols, at = np.concatenate(texts), np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        emit, ones = np.ascontiguousarray(self.emit.T), np.ones((k, 1))
+        emit, ones = np.ascontiguousarray((self.emit / top).T, kind), np.ones((k, 1), kind)
+        first, ahead_of = self.start.astype(kind), self.move.astype(kind)
         flat = np.empty(ends[-1], np.int64)
-        seen, alpha = np.empty((len(flat), k)), np.empty((len(flat), k))
-        beta, scales, log = np.ones((len(texts), k)), {}, 0.0
+        seen, alpha = np.empty((len(flat), k), kind), np.empty((len(flat), k), kind)
+        beta, scales = np.ones((len(texts), k), kind), {}
+        log = float(np.bincount(symbols, minlength=size) @ np.log(top))
         for t in range(steps):
             n, own = active[t], slice(ends[t], ends[t + 1])
             flat[own] = symbols[at[:n]]
@@ -257,19 +264,19 @@ class HMM:
             now = alpha[own]
             np.take(emit, flat[own], axis=0, out=seen[own], mode="clip")
             if t == 0:
-                np.multiply(self.start, seen[own], out=now)
+                np.multiply(first, seen[own], out=now)
             else:
-                np.dot(alpha[ends[t - 1]:ends[t - 1] + n], self.move, out=now)
+                np.dot(alpha[ends[t - 1]:ends[t - 1] + n], ahead_of, out=now)
                 now *= seen[own]
             if t % SCALED == SCALED - 1:
                 scales[t] = np.dot(now, ones)
                 now /= scales[t]
-                log += float(np.log(scales[t]).sum())
+                log += float(np.log(scales[t]).sum(dtype=float))
             if active[t + 1] < n:  # what is left of the scale where texts end
                 last = np.dot(now[active[t + 1]:], ones)
                 beta[active[t + 1]:n] /= last
-                log += float(np.log(last).sum())
-        back, move = np.ascontiguousarray(self.move.T), np.zeros((k, k))
+                log += float(np.log(last).sum(dtype=float))
+        back, move = np.ascontiguousarray(ahead_of.T), np.zeros((k, k))
         for t in range(steps - 1, 0, -1):
             n, own = active[t], slice(ends[t], ends[t + 1])
             ahead, after = seen[own], beta[:n]
@@ -283,7 +290,7 @@ class HMM:
         # One count over (symbol, state) pairs.
         pairs = (flat[:, None] * k + np.arange(k)).ravel()
         emit = np.bincount(pairs, alpha.ravel(), size * k).reshape(size, k).T
-        return alpha[:ends[1]].sum(0), move * self.move, emit, log
+        return alpha[:ends[1]].sum(0, dtype=float), move * self.move, emit, log
 
 
 def segments(texts: list[bytes]) -> list[np.ndarray]:
@@ -316,7 +323,7 @@ def baum_welch_step(sequences: DataFrame, model: HMM, overall: np.ndarray) -> tu
         total = None
         texts = (t for b in batches for s in range(0, b.num_rows, 512) for t in b.column(0).slice(s, 512).to_pylist())
         for pack in _packs(texts):
-            found = np.concatenate([np.ravel(x) for x in sent.value.expected_and_log(segments(pack))])
+            found = np.concatenate([np.ravel(x) for x in sent.value.expected_and_log(segments(pack), np.float32)])
             total = found if total is None else total + found
         if total is not None:
             # One vector of a fixed length a task, in rows of 64 numbers.

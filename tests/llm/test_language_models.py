@@ -345,3 +345,17 @@ def test_counts_do_not_depend_on_where_sums_are_scaled(monkeypatch):
             assert np.allclose(x, y, rtol=1e-9), every
     assert abs(found[4][3] / math.log(10) - model.log10(texts).sum()) < 1e-6
     assert abs(found[4][2].sum() - sum(map(len, texts))) < 1e-6
+
+
+def test_single_precision_counts_equal_double_ones():
+    """Also where every symbol is as rare as 1e-30, which four places would bring to zero."""
+    rng = np.random.default_rng(6)
+    emit = rng.random((3, 12))
+    emit[:, :11] *= 1e-30
+    model = hmm.HMM(np.ones(3) / 3, *(x / x.sum(1, keepdims=True) for x in (rng.random((3, 3)) ** 8, emit)))
+    texts = [rng.integers(0, 11, n) for n in (1, 2, 5, 400, 400, 37)]
+    want, got = model.expected_and_log(texts), model.expected_and_log(texts, np.float32)
+    assert got[3] == pytest.approx(want[3], rel=1e-6)
+    assert want[3] == pytest.approx(model.log10(texts).sum() * np.log(10), rel=1e-9)
+    for a, b in zip(got[:3], want):
+        assert a == pytest.approx(b, rel=1e-4, abs=1e-4)
