@@ -98,4 +98,4 @@ def test_copies_are_keyed_once(spark):
     assert {r.row_id: (r.copies, r.is_first, r.conflict) for r in marked.where("row_id < 5").collect()} == {
         0: (3, True, True), 1: (3, False, True), 2: (3, False, True), 3: (2, True, False), 4: (2, False, False)}
     assert {r.metric: r.value for r in profiled.collect()} == {
-        "extra_copies": 3, "rows_in_groups": 5, "groups": 2, "conflicting_groups": 1, "cross_entity_groups": 1, "full_row_copies": 1}
+        "extra_copies": 3, "rows_in_groups": 5, "groups": 2, "conflicting_groups": 1, "cross_entity_groups": 1, "full_row_copies": 0}
