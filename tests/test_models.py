@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
+from rateforge.catalog import all_queries, model_queries
 from rateforge.functions.probs import PROB_COLS
 from rateforge.operators import features, models, scoring, terms
 from rateforge.operators.features import TfidfConfig
@@ -249,3 +250,24 @@ def test_word_terms_are_counted_before_they_are_rows(spark, monkeypatch):
             for g in r.g:
                 want.setdefault(g, []).append(i)
         assert {(r.term, r.df, r.cf) for r in got.collect()} == {(g, len(set(x)), len(x)) for g, x in want.items()}
+
+
+def test_streams_read_tables_that_are_folders(spark, reviews, monkeypatch, tmp_path):
+    """More files than one batch takes: every row is scored once, as from a table of one file."""
+    model = models.fit_rating_model(reviews, (WORDS,), None, c=100.0, max_iter=5)
+    monkeypatch.setattr(model_queries, "_scorer", lambda *_: model)
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate([*TEXTS * 3, None, " ", "", "плохо " * 4000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    df.repartition(70).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file" / "documents.parquet")
+    found = {}
+    for kind in ("folder", "file"):
+        sf = str(tmp_path / kind)
+        found[kind] = [sorted(map(tuple, all_queries()[q](spark, sf).collect()), key=str)
+                       for q in ("V1_streaming_scoring", "M8_V1_batch_equals_stream", "V1_F12_double_sink")]
+    scored, same, sides = found["folder"]
+    assert found["folder"] == found["file"] and sorted(r[0] for r in scored) == list(range(94))
+    assert same == [(94, 3, 1, 0, True)]
+    assert sides == [("blank", 1, True), ("empty", 1, True), ("missing", 1, True), ("scored", 90, True), ("too_long", 1, True)]
