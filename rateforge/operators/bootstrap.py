@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.hashing import seeded_hashes
 from ..plans.materialize import cut
 from ..plans.ranking import bucket_offsets, with_hash
 from .metrics import count_cells, macro_f1
@@ -101,8 +101,8 @@ def hashed_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame
 
     Draw number d of replicate r takes the group at position hash(seed, r, d) mod G in
     hash order.  Draws travel to the block of positions they fall on as packed arrays of
-    (replicate, place in the block), four bytes each; there they are counted and multiplied
-    with the block's cells.  A block holds some eight million draws, whatever the groups.
+    (replicate, place in the block), four bytes each; there they are counted, all at once, and
+    multiplied with the block's cells.  A block holds some eight million draws, whatever the groups.
     """
     n_groups = groups.count()
     names = [f"{m}_{i}" for m in models for i in range(25)]
@@ -120,24 +120,23 @@ def hashed_draws(groups: DataFrame, models, n_boot: int, seed: int) -> DataFrame
             step = max(1, TASK_DRAWS // n_boot)
             for start in range(0, len(places), step):
                 own = [b"%d" % p for p in places[start:start + step]]
-                digests = b"".join(
-                    hashlib.md5(lead + p).digest() for lead in (b"%d|%d|" % (seed, r) for r in range(n_boot)) for p in own
-                )
-                # The first fifteen hex digits, as in functions.hashing.seeded_hash.
-                picks = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)) % np.uint64(n_groups)
-                block, place = np.divmod(picks.astype(np.int64), width)
-                packed = (np.repeat(np.arange(n_boot), len(own)) * width + place).astype(code)
+                picks = seeded_hashes([b"%d|%d|" % (seed, r) for r in range(n_boot)], own).ravel()
+                picks %= np.uint64(n_groups)
+                block = picks // np.uint64(width)
+                picks -= block * np.uint64(width)
+                picks += np.repeat(np.arange(n_boot, dtype=np.uint64) * np.uint64(width), len(own))
+                # Numbers of two bytes are sorted by radix.
+                block = block.astype(np.uint16 if n_groups <= width << 16 else np.int64)
                 order = np.argsort(block, kind="stable")
-                block, packed = block[order], packed[order]
+                block, packed = block[order], picks.astype(code)[order]
                 firsts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
                 parts = [x.tobytes() for x in np.split(packed, firsts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(block[firsts], pa.int32()), pa.array(parts, pa.binary())], ["block", "draws"])
 
     def summed(draws: pa.Table, cells: pa.Table) -> pa.Table:
         at = cells["pos"].to_numpy() % width
-        counts = np.zeros(n_boot * width, dtype=np.int64)
-        for part in draws["draws"]:
-            counts += np.bincount(np.frombuffer(part.as_buffer(), code), minlength=n_boot * width)
+        # Together: tasks times blocks is the number of parts, so a pass over the counts a part would grow with its square.
+        counts = np.bincount(np.frombuffer(b"".join(draws["draws"].to_pylist()), code), minlength=n_boot * width)
         weights = counts.reshape(n_boot, width)[:, at].astype(np.float64)
         out = weights @ np.stack([cells[c].to_numpy().astype(np.float64) for c in names], axis=1)
         return pa.table([pa.array(np.arange(n_boot), pa.int32()), *(pa.array(c) for c in out.T)], ["rep", *names])

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
-from rateforge.functions import probs
+from rateforge.functions import hashing, probs
 from rateforge.operators import bootstrap, calibration, errors, joins, metrics, parity, runs
 from rateforge.plans.quantiles import double_of, interpolated, interpolated_wide, ordered_image
 
@@ -141,6 +141,35 @@ def test_hashed_draws_travel_packed(spark, monkeypatch):
     assert got.count() == 20
 
 
+def test_hashes_side_by_side_equal_md5():
+    leads = [b"%d|%d|" % (s, r) for s in (5, -3, 42) for r in (0, 7, 10, 99, 100, 12345)] + [b"x" * 43, b"x" * 44, b"x" * 60, b""]
+    tails = [b"%d" % p for p in (0, 9, 10, 123, 4567, 10**6, 10**10, 10**11)] + [b""]
+    got = hashing.seeded_hashes(leads, tails)
+    assert got.tolist() == [[int(hashlib.md5(a + b).hexdigest()[:15], 16) for b in tails] for a in leads]
+
+
+def test_a_block_counts_its_draws_at_once(spark, monkeypatch):
+    """Not once for every task's part: parts times blocks grows with the square of the groups."""
+    calls, counted = spark.sparkContext.accumulator(0), np.bincount
+
+    def noted(*a, **b):
+        calls.add(1)
+        return counted(*a, **b)
+
+    class Arrays:
+        bincount = staticmethod(noted)
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(bootstrap, "np", Arrays())
+    monkeypatch.setattr(bootstrap, "BLOCK_DRAWS", 100)  # four blocks of ten positions
+    monkeypatch.setattr(bootstrap, "TASK_DRAWS", 20)  # twenty parts each
+    groups = spark.createDataFrame(pd.DataFrame(np.ones((40, 25), int), columns=[f"m_{i}" for i in range(25)]).assign(group=np.arange(40)))
+    assert bootstrap.hashed_draws(groups, {"m": "p"}, 10, 5).where("m_0 = 40").count() == 10
+    assert 0 < calls.value <= 8
+
+
 def _softmax_rows(n, scale, seed=0):
     rng = np.random.default_rng(seed)
     z = rng.normal(size=(n, 5)) * 1.5
