@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from rateforge.llm import fm_index, hmm, kneser_ney, neighbours
+from rateforge.llm import fm_index, hmm, kneser_ney, neighbours, ngram_shards
 
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -184,6 +184,36 @@ def test_quality_keeps_clean_and_drops_junk(spark, odd, empty):
     assert kneser_ney.kept(odd, labels).columns == odd.columns
 
 
+def test_shards_of_all_trusted_texts_equal_one_model(spark, odd, empty, monkeypatch):
+    """No trusted text of the training share is left out, and a model in shards scores alike."""
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(400)]
+    rows = [(i, random_words(rng, words, 30), rng.choice(["en", "fr", None])) for i in range(400)]
+    rows += [(1000 + i, " ".join(f"X{rng.random()}" for _ in range(40)), "en") for i in range(30)]
+    rows += [(2000, None, "en"), (2001, "", None), (None, "w1 w2", "en"), (2002, " \u00e9\u00a0x\r\n w1\x0bw2\x1c ", "fr"), *rows[:5]]
+    docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id bigint, text string, lang string, shard string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, *_ in rows if i is not None], "doc_id bigint, quality int")
+    for name, value in (("SHARD_TOKENS", 500), ("ROUND_TOKENS", 300), ("TOP", 5)):
+        monkeypatch.setattr(ngram_shards, name, value)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    one = sorted(kneser_ney.judged(docs, labels).collect(), key=key)
+    many = sorted(kneser_ney.judged(docs, labels, local_tokens=100).collect(), key=key)
+    assert len(one) == len(many) == len(rows) and not all(r.kept for r in one)
+    for a, b in zip(one, many):
+        assert (a.doc_id, a.lang, a.n_tokens, a.kept) == (b.doc_id, b.lang, b.n_tokens, b.kept)
+        assert b.log10_prob == pytest.approx(a.log10_prob, abs=1e-6) and b.threshold == pytest.approx(a.threshold, abs=2e-3)
+    kept = kneser_ney.kept(docs, labels, local_tokens=100)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect() if r.text) == sorted(
+        (r.doc_id, t) for r, t in zip(one, (t for _, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))) if r.kept and r.doc_id is not None and t)
+    # The words of every trusted text of the share are in the model.
+    trusted = labels.where("quality = 1").select("doc_id")
+    ids = {r.doc_id for r in kneser_ney.training_ids(trusted).collect()}
+    assert abs(len(ids) / trusted.distinct().count() - kneser_ney.TRAIN_SHARE) < 0.1
+    assert kneser_ney.judged(odd, labels, local_tokens=0).count() == odd.count()
+    assert kneser_ney.kept(empty, labels, local_tokens=0).count() == 0
+
+
 def test_index_equals_brute_force():
     rng = np.random.default_rng(5)
     vectors = []
