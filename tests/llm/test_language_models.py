@@ -193,7 +193,7 @@ def test_shards_of_all_trusted_texts_equal_one_model(spark, odd, empty, monkeypa
     rows += [(2000, None, "en"), (2001, "", None), (None, "w1 w2", "en"), (2002, " \u00e9\u00a0x\r\n w1\x0bw2\x1c ", "fr"), *rows[:5]]
     docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id bigint, text string, lang string, shard string").repartition(3)
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, *_ in rows if i is not None], "doc_id bigint, quality int")
-    for name, value in (("SHARD_TOKENS", 500), ("ROUND_TOKENS", 300), ("TOP", 5)):
+    for name, value in (("SHARD_TOKENS", 500), ("ROUND_BYTES", 1500), ("TOP", 5)):
         monkeypatch.setattr(ngram_shards, name, value)
     key = lambda r: (r.doc_id is None, r.doc_id or 0)
     one = sorted(kneser_ney.judged(docs, labels).collect(), key=key)
